@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from predio.llm.common import materialize
+from predio.llm.jaccard import jaccard_components
 from predio.llm.linededup import remove_shared_lines
 from predio.llm.mixing import mix_sources
 from predio.llm.packing import pack
 from predio.llm.sharding import shard_by_bytes
+from predio.llm.simhash import fingerprint_edits, near_counts
+from predio.llm.vectors import range_join
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,15 +60,71 @@ FROM documents d LEFT JOIN made m USING (doc_id)
 """
 
 
+def op4_adaptive_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
+OP4_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [hash(array_to_string(w, ' '))]
+    ELSE list_distinct([hash(array_to_string(w[i : i + 2], ' ')) FOR i IN range(1, len(w) - 1)]) END AS s
+  FROM words),
+flat AS (SELECT doc_id, unnest(s) AS t, len(s) AS n FROM sets),
+common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, a.n AS nx, b.n AS ny, count(*) AS c
+  FROM flat a JOIN flat b ON a.t = b.t AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+  GROUP BY ALL),
+links AS (SELECT x, y FROM common WHERE 100 * c >= 90 * (nx + ny - c)),
+both_ways AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+reach(x, y) AS (SELECT x, y FROM both_ways UNION SELECT r.x, b.y FROM reach r JOIN both_ways b ON r.y = b.x)
+SELECT s.doc_id, len(s.s) AS n_shingles, least(s.doc_id, coalesce(min(r.y), s.doc_id)) AS component_id
+FROM sets s LEFT JOIN reach r ON r.x = s.doc_id GROUP BY s.doc_id, len(s.s)
+"""
+
+
+def op5_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marks = materialize(fingerprint_edits(table(spark, sf_dir, "documents")), "op5")
+    fp = F.conv("fingerprint", 16, -10).cast("long")
+    near = near_counts(marks.select(fp.alias("fp")), radius=3)
+    return marks.withColumn("fp", fp).join(near, "fp").drop("fp")
+
+
 def op7_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
 
 
+def op9_pivot_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return range_join(table(spark, sf_dir, "embeddings"), 0.98)
+
+
+OP9_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0
+    AND len([c FOR c IN embedding IF c IS NULL OR NOT isfinite(c)]) = 0 AND len([c FOR c IN embedding IF c <> 0]) > 0),
+links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach(x, y) AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+component AS (SELECT x, min(y) AS y FROM reach GROUP BY x),
+degree AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+SELECT e.vec_id, coalesce(d.n, 0) AS n_links, least(e.vec_id, coalesce(c.y, e.vec_id)) AS component_id,
+       least(e.vec_id, coalesce(c.y, e.vec_id)) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN degree d ON d.x = e.vec_id LEFT JOIN component c ON c.x = e.vec_id
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hierarchical_packing": op1_hierarchical_packing,
     "op2_differencing_shards": op2_differencing_shards,
     "op3_site_spread_lines": op3_site_spread_lines,
+    "op4_adaptive_prefix_join": op4_adaptive_prefix_join,
+    "op5_simhash_fingerprints": op5_simhash_fingerprints,
     "op7_pivotal_mixing": op7_pivotal_mixing,
+    "op9_pivot_range_join": op9_pivot_range_join,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_site_spread_lines": OP3_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_site_spread_lines": OP3_SQL, "op4_adaptive_prefix_join": OP4_SQL, "op9_pivot_range_join": OP9_SQL}
