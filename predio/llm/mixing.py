@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from predio.llm.common import checked_broadcast, materialize
 
 #: Documents that one task of the first round pairs, and residuals that one of a later round does.
-CHUNK_ROWS, FAN_IN = 20_000, 1_024
+CHUNK_ROWS, FAN_IN = 2_000, 1_024
 WORD = r"[^\x20\x09-\x0D]+"
 _TINY = 1e-9
 

@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from predio.llm.common import materialize
 from predio.llm.jaccard import jaccard_components
+from predio.llm.language import identify
 from predio.llm.linededup import remove_shared_lines
 from predio.llm.mixing import mix_sources
 from predio.llm.packing import pack
+from predio.llm.quality import score_quality
 from predio.llm.sharding import shard_by_bytes
 from predio.llm.simhash import fingerprint_edits, near_counts
+from predio.llm.toxicity import held_out, toxicity
 from predio.llm.vectors import range_join
 
 
@@ -92,10 +95,18 @@ def op5_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marks.withColumn("fp", fp).join(near, "fp").drop("fp")
 
 
+def op6_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
 
 
+def op8_fused_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op9_pivot_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return range_join(table(spark, sf_dir, "embeddings"), 0.98)
 
@@ -117,14 +128,22 @@ FROM embeddings e LEFT JOIN degree d ON d.x = e.vec_id LEFT JOIN component c ON
 """
 
 
+def op10_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text_score", "metadata_score", F.col("quality_score").alias("score"), F.col("quality_keep").alias("keep"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hierarchical_packing": op1_hierarchical_packing,
     "op2_differencing_shards": op2_differencing_shards,
     "op3_site_spread_lines": op3_site_spread_lines,
     "op4_adaptive_prefix_join": op4_adaptive_prefix_join,
     "op5_simhash_fingerprints": op5_simhash_fingerprints,
+    "op6_counterfactual_toxicity": op6_counterfactual_toxicity,
     "op7_pivotal_mixing": op7_pivotal_mixing,
+    "op8_fused_language": op8_fused_language,
     "op9_pivot_range_join": op9_pivot_range_join,
+    "op10_cotrained_quality": op10_cotrained_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {"op3_site_spread_lines": OP3_SQL, "op4_adaptive_prefix_join": OP4_SQL, "op9_pivot_range_join": OP9_SQL}
