@@ -1,12 +1,57 @@
-"""Corpus preparation in stages, each written and reread as the next one's documents."""
+"""Corpus preparation in stages, each written and reread as the next one's documents.
+
+``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir).
+All but the last return the columns of documents; the last returns the pieces
+of the packed sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from predio.llm.common import materialize
+from predio.llm.packing import pack
+from predio.llm.queries import table, tokenizer_files
+from predio.llm.stages import cut_shared_lines, keep_good, keep_one_of_each, repeat_as_mixed
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return cut_shared_lines(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_one_of_each(docs, width=5, percent=80)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return repeat_as_mixed(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack(docs, **tokenizer_files())
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("line dedup", lines),
+    ("n-gram Jaccard join", near_copies),
+    ("mixing", mixing),
+    ("packing", packing),
+]
+
+#: The classifier, the rounding and the packing have no SQL form; the tests hold the stages against plain loops.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over the documents table."""
+    docs = table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = materialize(docs, f"pipeline-{name.replace(' ', '-')}")
+    return docs

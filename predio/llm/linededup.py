@@ -23,17 +23,18 @@ def boilerplate_lines(lines: DataFrame, min_sites: int, *, lg_k: int = 12, band:
     return sketched.where(F.col("estimate") > min_sites * (1 + band)).select("h1", "h2").unionByName(exact.select("h1", "h2"))
 
 
-def remove_shared_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 8) -> DataFrame:
+def remove_shared_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 8, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
     """``docs`` with the lines that stand on ``min_sites`` or more distinct sites cut from the text.
 
     Lines end at line feeds and are compared without their outer spaces;
     blank ones always stay.  A null site counts as one site of its own kind.
-    Adds n_lines and n_removed (0 for a null text, which stays null).  Rows
+    Adds the two ``counts`` (0 for a null text, which stays null); columns that
+    had these names are replaced.  Rows
     with the same id are edited alike only if their texts are equal, as each
     row is keyed by id and text.  All other columns pass through; an empty
     table stays empty.
     """
-    names = docs.columns
+    names = [c for c in docs.columns if c not in counts]
     keyed = docs.select(F.struct(*names).alias("row"), F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.coalesce(F.col(site_col).cast("string"), F.lit("\u0000")).alias("site"))
     keyed = keyed.withColumn("key", F.xxhash64("id", "text")).withColumn("lines", F.split("text", "\n", -1))
     line = F.trim("line")
@@ -47,5 +48,5 @@ def remove_shared_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     out = keyed.join(checked_broadcast(materialize(cut, "cut-lines")), "key", "left")
     return out.select(
         *[text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in names],
-        F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("cut"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias(counts[0]), F.coalesce(F.size("cut"), F.lit(0)).cast("long").alias(counts[1]),
     )
