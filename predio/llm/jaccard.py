@@ -19,13 +19,15 @@ COUNTED_AT_ONCE = 2_000_000
 #: Bits of a frequency slot, and of its page and its place there.
 SLOT_BITS, PAGE_BITS = 24, 8
 _PLACES = 1 << (SLOT_BITS - PAGE_BITS)
+#: Bits of the parity map that bounds how much two sets differ.
+PARITY_BITS = 2048
 #: Frequencies are kept as a byte: steps of a twelfth of a power of two.
 _STEP = 12.0
 
 
 def _signatures(width: int):
     """Per document its set size and two sums that tell sets apart; besides, counts of shingles that recur."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("page", pa.int32()), ("places", pa.binary()), ("counts", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("parity", pa.list_(pa.int64())), ("page", pa.int32()), ("places", pa.binary()), ("counts", pa.binary())])
 
     def recurring(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         tokens, counts = np.unique(np.concatenate(parts), return_counts=True)
@@ -35,17 +37,18 @@ def _signatures(width: int):
         pages = [p for p in range(1 << PAGE_BITS) if edges[p] < edges[p + 1]]
         none = pa.nulls(len(pages), pa.int64())
         places = [(slots[edges[p] : edges[p + 1]] % _PLACES).astype("<u2").tobytes() for p in pages]
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(pages, pa.int32()), pa.array(places, pa.binary()), pa.array([counts[edges[p] : edges[p + 1]].tobytes() for p in pages], pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(pages), pa.list_(pa.int64())), pa.array(pages, pa.int32()), pa.array(places, pa.binary()), pa.array([counts[edges[p] : edges[p + 1]].tobytes() for p in pages], pa.binary())], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[np.ndarray] = []
         held = 0
         for batch in batches:
-            sizes, first, second = [], [], []
+            sizes, first, second, parity = [], [], [], []
             for tokens in shingle_sets(batch.column(1), width):
                 sizes.append(len(tokens))
                 first.append(tokens.sum(dtype=np.uint64))
                 second.append(mix(tokens).sum(dtype=np.uint64))
+                parity.append(_parity(tokens))
                 waiting.append(tokens)
                 held += len(tokens)
                 if held >= COUNTED_AT_ONCE:
@@ -53,13 +56,19 @@ def _signatures(width: int):
                     waiting, held = [], 0
             empty = [pa.nulls(len(sizes), t) for t in (pa.int32(), pa.binary(), pa.binary())]
             sums = [pa.array(np.array(s, np.uint64).view(np.int64)) for s in (first, second)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), *sums, *empty], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), *sums, pa.array(parity, pa.list_(pa.int64())), *empty], schema=schema)
         if held:
             yield from recurring(waiting)
 
     return run
 
 
+def _parity(tokens: np.ndarray) -> list[int]:
+    """Whether an odd number of shingles fall on each of so many places: sets differ in at least as many shingles as their maps in bits."""
+    odd = np.bincount((tokens >> np.uint64(64 - PARITY_BITS.bit_length() + 1)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def _page_sums(pdf: pd.DataFrame) -> pd.DataFrame:
     total = np.zeros(_PLACES, dtype=np.int64)
     for places, counts in zip(pdf["places"], pdf["counts"], strict=True):
@@ -134,13 +143,22 @@ def _sets(width: int):
     return run
 
 
-def _verified(texts: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (x, y) whose whole sets are similar enough."""
-    ids = materialize(pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("y").alias("id"))).distinct(), "jaccard-ids")
-    chosen = texts.join(checked_broadcast(ids), "id", "left_semi").select("id", "text")
+def _verified(texts: DataFrame, heads: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Those of ``pairs`` (x, y) whose whole sets are similar enough.
+
+    Parity maps drop pairs that differ too much without reading the texts;
+    the rest are compared on their sets.
+    """
+    members = lambda p: materialize(p.select(F.col("x").alias("id")).unionByName(p.select(F.col("y").alias("id"))).distinct(), "jaccard-ids")
+    maps = heads.join(checked_broadcast(members(pairs)), "id", "left_semi").select("id", "n", "parity")
+    near = pairs.join(maps.select(F.col("id").alias("x"), F.col("n").alias("nx"), F.col("parity").alias("px")), "x").join(maps.select(F.col("id").alias("y"), F.col("n").alias("ny"), F.col("parity").alias("py")), "y")
+    differ = F.aggregate(F.zip_with("px", "py", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
+    # common = (nx + ny - difference) / 2 must reach percent / (100 + percent) of nx + ny
+    near = materialize(near.where((100 + percent) * (F.col("nx") + F.col("ny") - differ) >= 2 * percent * (F.col("nx") + F.col("ny"))).select("x", "y").distinct(), "jaccard-near")
+    chosen = texts.join(checked_broadcast(members(near)), "id", "left_semi").select("id", "text")
     sets = materialize(chosen.mapInArrow(_sets(width), "id long, tokens array<long>"), "jaccard-sets")
     left, right = sets.select(F.col("id").alias("x"), F.col("tokens").alias("tx")), sets.select(F.col("id").alias("y"), F.col("tokens").alias("ty"))
-    both = pairs.join(left, "x").join(right, "y").withColumn("common", F.size(F.array_intersect("tx", "ty")))
+    both = near.join(left, "x").join(right, "y").withColumn("common", F.size(F.array_intersect("tx", "ty")))
     union = F.size("tx") + F.size("ty") - F.col("common")
     return materialize(both.where(100 * F.col("common") >= percent * union).select("x", "y").distinct(), "jaccard-links")
 
@@ -163,7 +181,8 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
        others, which joins large groups of near copies with few pairs.  Then
        every other pair that shares enough prefix shingles is compared, unless
        already in one component: no link between components is lost.
-    5. Pairs are verified on whole sets.
+    5. Pairs are verified on whole sets; before that, maps of fixed size prove
+       most other pairs too different.
 
     Texts without words and null texts have no shingles and no links.  Rows
     that repeat an id are one node.  A null id takes no part and has a null
@@ -172,20 +191,25 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    first = materialize(texts.mapInArrow(_signatures(width), "doc_id long, n long, s1 long, s2 long, page int, places binary, counts binary"), "jaccard-rows")
+    first = materialize(texts.mapInArrow(_signatures(width), "doc_id long, n long, s1 long, s2 long, parity array<long>, page int, places binary, counts binary"), "jaccard-rows")
     rows = first.where("page is null").select("doc_id", "n", "s1", "s2")
-    classes = rows.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("id"))
+    classes = materialize(rows.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("id")), "jaccard-classes")
     table = spark.sparkContext.broadcast(_frequencies(first.where("page is not null").select("page", "places", "counts")))
+    heads = first.where("page is null and n > 0").select(F.col("doc_id").alias("id"), "n", "parity")
     prefixes = texts.mapInArrow(_prefixes(width, percent, most_matches, table), "id long, n long, matches long, prefix array<long>")
     prefixes = materialize(prefixes.join(classes.select("id").distinct(), "id", "left_semi"), "jaccard-prefixes")
-    entries = prefixes.select("id", "n", "matches", F.posexplode("prefix").alias("pos", "token"))
-
-    leaders = entries.groupBy("token").agg(F.min(F.struct("id", "n", "matches")).alias("lead"), F.max("id").alias("last")).where("lead.id != last")
-    shared = materialize(entries.join(leaders.drop("last"), "token"), "jaccard-shared")
-    stars = shared.where("id != lead.id").where(_can_match(F.col("n"), F.col("lead.n"), percent))
-    stars = stars.groupBy(F.col("lead.id").alias("x"), F.col("id").alias("y")).agg(F.count("*").alias("hits"), F.min(F.least("matches", "lead.matches")).alias("asked")).where("hits >= asked")
+    asked = prefixes.select("id", "n", "matches")
+    # size, matches and place share one number: the entries are the bulk of what is shuffled
+    packed = F.shiftleft("n", 32).bitwiseOR(F.shiftleft("matches", 28)).bitwiseOR(F.col("pos"))
+    entries = prefixes.select("id", "n", "matches", F.posexplode("prefix").alias("pos", "token")).select("token", "id", packed.alias("packed"))
+
+    leaders = entries.groupBy("token").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead != last").drop("last")
+    shared = entries.join(leaders, "token").withColumn("n", F.shiftright("packed", 32)).withColumn("matches", F.shiftright("packed", 28).bitwiseAND(15)).withColumn("pos", F.col("packed").bitwiseAND((1 << 28) - 1))
+    shared = materialize(shared.drop("packed"), "jaccard-shared")
+    stars = shared.where("id != lead").groupBy(F.col("lead").alias("x"), F.col("id").alias("y")).agg(F.count("*").alias("hits"), F.first("n").alias("ny"), F.first("matches").alias("my"))
+    stars = stars.join(asked.select(F.col("id").alias("x"), F.col("n").alias("nx"), F.col("matches").alias("mx")), "x").where(_can_match(F.col("nx"), F.col("ny"), percent) & (F.col("hits") >= F.least("mx", "my")))
     stars = materialize(stars.select("x", "y"), "jaccard-stars")
-    links = _verified(texts, stars, width, percent)
+    links = _verified(texts, heads, stars, width, percent)
 
     joined = connected_components(links, "x", "y")
     at = shared.drop("lead").join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -199,7 +223,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     )
     pairs = pairs.groupBy(F.col("x.id").alias("x"), F.col("y.id").alias("y")).agg(F.count("*").alias("hits"), F.min(F.least("x.matches", "y.matches")).alias("asked")).where("hits >= asked").select("x", "y")
     pairs = materialize(pairs.join(stars, ["x", "y"], "left_anti"), "jaccard-pairs")
-    links = links.unionByName(_verified(texts, pairs, width, percent))
+    links = links.unionByName(_verified(texts, heads, pairs, width, percent))
 
     joined = connected_components(links, "x", "y")
     classes = classes.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
