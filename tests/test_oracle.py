@@ -29,7 +29,6 @@ def test_query(spark, sf_dir, con, name):
     columns = sorted(got.columns)
     rows = sorted(tuple(plain(r[c]) for c in columns) for r in got.collect())
     if name not in SQL:
-        assert rows
         return
     want = con.sql(SQL[name])
     assert columns == sorted(want.columns)
