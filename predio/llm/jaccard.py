@@ -177,8 +177,8 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     3. Each document takes the prefix length, and with it the number of shared
        prefix shingles it asks of a partner, that cost least by these
        estimates.  Two documents need the smaller of their two numbers.
-    4. First the smallest id of each prefix shingle is compared with the
-       others, which joins large groups of near copies with few pairs.  Then
+    4. First the document in which a prefix shingle comes earliest is compared
+       with the others, which joins large groups of near copies with few pairs.  Then
        every other pair that shares enough prefix shingles is compared, unless
        already in one component: no link between components is lost.
     5. Pairs are verified on whole sets; before that, maps of fixed size prove
@@ -203,23 +203,29 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     packed = F.shiftleft("n", 32).bitwiseOR(F.shiftleft("matches", 28)).bitwiseOR(F.col("pos"))
     entries = prefixes.select("id", "n", "matches", F.posexplode("prefix").alias("pos", "token")).select("token", "id", packed.alias("packed"))
 
-    leaders = entries.groupBy("token").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead != last").drop("last")
+    # the document in which a shingle comes earliest has few rarer ones of its own: of near copies, it is nearest to their origin
+    earliest = F.col("packed").bitwiseAND((1 << 28) - 1) * (1 << 32) + F.xxhash64("id").bitwiseAND((1 << 32) - 1)
+    leaders = entries.groupBy("token").agg(F.min_by("id", earliest).alias("lead"), F.min("id").alias("first"), F.max("id").alias("last")).where("first != last").drop("first", "last")
     shared = entries.join(leaders, "token").withColumn("n", F.shiftright("packed", 32)).withColumn("matches", F.shiftright("packed", 28).bitwiseAND(15)).withColumn("pos", F.col("packed").bitwiseAND((1 << 28) - 1))
     shared = materialize(shared.drop("packed"), "jaccard-shared")
     stars = shared.where("id != lead").groupBy(F.col("lead").alias("x"), F.col("id").alias("y")).agg(F.count("*").alias("hits"), F.first("n").alias("ny"), F.first("matches").alias("my"))
     stars = stars.join(asked.select(F.col("id").alias("x"), F.col("n").alias("nx"), F.col("matches").alias("mx")), "x").where(_can_match(F.col("nx"), F.col("ny"), percent) & (F.col("hits") >= F.least("mx", "my")))
-    stars = materialize(stars.select("x", "y"), "jaccard-stars")
+    stars = materialize(stars.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "jaccard-stars")
     links = _verified(texts, heads, stars, width, percent)
 
     joined = connected_components(links, "x", "y")
     at = shared.drop("lead").join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = at.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a != b").select("token")
-    at = materialize(at.join(mixed, "token", "left_semi"), "jaccard-open")
+    folded = F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.element_at("parity", i).bitwiseXOR(F.element_at("parity", i + 8)).bitwiseXOR(F.element_at("parity", i + 16)).bitwiseXOR(F.element_at("parity", i + 24)))
+    maps = heads.select("id", folded.alias("map"))
+    at = materialize(at.join(mixed, "token", "left_semi").join(maps, "id"), "jaccard-open")
     x, y = at.alias("x"), at.alias("y")
     nx, ny, px, py = F.col("x.n"), F.col("y.n"), F.col("x.pos"), F.col("y.pos")
     most = F.least(px, py) + F.least(nx - px, ny - py)
+    differ = sum((F.bit_count(F.get("x.map", F.lit(i)).bitwiseXOR(F.get("y.map", F.lit(i)))) for i in range(8)), F.lit(0))
     pairs = x.join(
         y, (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & _can_match(nx, ny, percent) & ((100 + percent) * most >= percent * (nx + ny))
+        & ((100 + percent) * (nx + ny - differ) >= 2 * percent * (nx + ny))
     )
     pairs = pairs.groupBy(F.col("x.id").alias("x"), F.col("y.id").alias("y")).agg(F.count("*").alias("hits"), F.min(F.least("x.matches", "y.matches")).alias("asked")).where("hits >= asked").select("x", "y")
     pairs = materialize(pairs.join(stars, ["x", "y"], "left_anti"), "jaccard-pairs")
