@@ -9,10 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from predio.llm.common import checked_broadcast, materialize, shuffle_partitions, text_bytes
+from predio.llm.common import checked_broadcast, materialize, text_bytes
 
-#: Partial partitions that one task of the reduction tree combines.
-FAN_IN = 256
+#: Packets of small groups to a shard, and the part of a fair share above which a group is an item of its own.
+PACKETS = 512
 
 
 def differencing(parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -49,69 +49,48 @@ def differencing(parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return slots, sums[-1]
 
 
-def _items(shards: int):
-    """Differencing over the groups of one bucket: each starts as a partial partition with one used slot."""
+def _placed(shards: int):
+    """Differencing over all items: each starts as a partial partition with one used slot."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["bytes", "item"])
         parts = np.zeros((len(pdf), shards), dtype=np.int64)
-        parts[:, -1] = pdf["group_bytes"]
-        slots, sums = differencing(parts)
-        return pdf[["group_key", "piece", "part"]].assign(part_slot=slots[:, -1], sums=[sums.tolist()] * len(pdf))
+        parts[:, -1] = pdf["bytes"]
+        return pd.DataFrame({"item": pdf["item"], "shard": differencing(parts)[0][:, -1].astype(np.int32)})
 
     return run
 
 
-def _partials(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("part")
-    slots, sums = differencing(np.array(pdf["sums"].tolist(), dtype=np.int64))
-    return pd.DataFrame({"part": pdf["part"], "slots": slots.tolist(), "parent": pdf["parent"], "parent_sums": [sums.tolist()] * len(pdf)})
-
-
-def shard_by_bytes(docs: DataFrame, shards: int, *, id_col: str = "doc_id", text_col: str = "text", overhead: int = 16, buckets: int | None = None) -> DataFrame:
+def shard_by_bytes(docs: DataFrame, shards: int, *, id_col: str = "doc_id", text_col: str = "text", overhead: int = 16) -> DataFrame:
     """Put documents into ``shards`` shards of nearly equal bytes; equal texts stay together.
 
-    Every bucket of groups is partitioned by differencing in its own task, and
-    the buckets' partial partitions are combined the same way along a tree.
-    A group of copies with more than half a shard's fair share cannot be kept
-    whole in balance (nor in one task): it is split by document id into pieces
-    of about half a share; there are fewer than two groups to a shard of these.
+    Items are differenced: groups of equal texts above a 512th of a shard's
+    fair share each for itself, smaller groups in packets of about that size
+    by a hash.  Whatever the input, there are fewer than 1,024 items to a
+    shard, so one task combines them, and items are small enough to balance.
+    A group of copies with more than half a share cannot be kept whole in
+    balance: it is split by document id into pieces of about half a share.
 
     A null text has no bytes and stands with the empty one.  Repeated rows are
     rows like others.  An empty table gives no rows.  Returns doc_id, size,
     text_crc32, group_key, shard and slot (gapless from 0 in each shard).
     """
-    spark = docs.sparkSession
-    buckets = buckets or shuffle_partitions(spark)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = materialize(
         docs.select(F.col(id_col).cast("long").alias("doc_id"), (text_bytes(F.col(text_col)) + overhead).alias("size"), F.crc32(text).alias("text_crc32"), F.md5(text).alias("group_key")), "shard-rows"
     )
-    groups = rows.groupBy("group_key").agg(F.sum("size").alias("group_bytes"))
-    groups = materialize(groups, "shard-groups")
-    share = (groups.agg(F.sum("group_bytes")).first()[0] or 0) / shards
-    large = groups.where(F.col("group_bytes") * 2 > share).select("group_key", F.ceil(F.col("group_bytes") * 2 / F.lit(max(share, 1.0))).cast("int").alias("pieces"))
-    piece = F.pmod(F.xxhash64("doc_id"), F.coalesce("pieces", F.lit(1))).cast("int")
-    # at most two groups a shard are large, whatever the input
-    rows = rows.join(F.broadcast(large), "group_key", "left").withColumn("piece", piece).drop("pieces")
-    split = rows.join(F.broadcast(large.select("group_key")), "group_key", "left_semi").groupBy("group_key", "piece").agg(F.sum("size").alias("group_bytes"))
-    whole = groups.join(F.broadcast(large.select("group_key")), "group_key", "left_anti").select("group_key", F.lit(0).alias("piece"), "group_bytes")
-    items = whole.unionByName(split).withColumn("part", F.pmod(F.xxhash64("group_key", "piece"), F.lit(buckets)))
-    placed = materialize(items.groupBy("part").applyInPandas(_items(shards), "group_key string, piece int, part long, part_slot long, sums array<long>"), "shard-parts")
-
-    slot_of = placed.groupBy("part").agg(F.first("sums").alias("sums")).withColumn("slots", F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<long>"))
-    level, count = slot_of.select("part", "sums", F.col("part").alias("leaf"), "slots"), buckets
-    while True:
-        parents = level.select("part", "sums").distinct().withColumn("parent", F.floor(F.col("part") / FAN_IN).cast("long"))
-        combined = parents.groupBy("parent").applyInPandas(_partials, "part long, slots array<long>, parent long, parent_sums array<long>")
-        lifted = level.select("leaf", "part", F.col("slots").alias("below")).join(combined, "part")
-        level = materialize(lifted.select(F.col("parent").alias("part"), F.col("parent_sums").alias("sums"), "leaf", F.transform("below", lambda s: F.element_at("slots", (s + 1).cast("int"))).alias("slots")), "shard-level")
-        count = -(-count // FAN_IN)
-        if count <= 1:
-            break
-    leaves = level.select(F.col("leaf").alias("part"), "slots")
-    shard = F.element_at("slots", (F.col("part_slot") + 1).cast("int")).cast("int")
-    assigned = placed.drop("sums").join(checked_broadcast(leaves, buckets), "part").select("group_key", "piece", shard.alias("shard"))
-    return numbered(rows.join(assigned, ["group_key", "piece"]).drop("piece"), "shard", "slot")
+    groups = materialize(rows.groupBy("group_key").agg(F.sum("size").alias("group_bytes")), "shard-groups")
+    share = max((groups.agg(F.sum("group_bytes")).first()[0] or 0) / shards, 1.0)
+    pieces = F.when(F.col("group_bytes") * 2 > share, F.ceil(F.col("group_bytes") * 2 / F.lit(share))).otherwise(1).cast("int")
+    large = groups.where(F.col("group_bytes") * PACKETS > share).select("group_key", pieces.alias("pieces"))
+    # fewer than PACKETS groups to a shard are large
+    rows = rows.join(F.broadcast(large), "group_key", "left")
+    own = F.concat_ws(":", "group_key", F.pmod(F.xxhash64("doc_id"), F.col("pieces")).cast("string"))
+    packet = F.pmod(F.xxhash64("group_key"), F.lit(shards * PACKETS)).cast("string")
+    rows = rows.withColumn("item", F.when(F.col("pieces").isNotNull(), own).otherwise(packet)).drop("pieces")
+    items = rows.groupBy("item").agg(F.sum("size").alias("bytes"))
+    placed = materialize(items.groupBy(F.lit(0).alias("all")).applyInPandas(_placed(shards), "item string, shard int"), "shard-items")
+    return numbered(rows.join(F.broadcast(placed), "item").drop("item"), "shard", "slot")
 
 
 def numbered(rows: DataFrame, key: str, name: str, chunk_rows: int = 50_000) -> DataFrame:
