@@ -21,9 +21,15 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return scored.select([F.col(marked.get(c, c)).alias(c) for c in docs.columns])
 
 
-def cut_shared_lines(docs: DataFrame, min_sites: int = 8) -> DataFrame:
-    """Documents without the lines that many sites share; n_chars, if there is one, follows the text."""
-    out = remove_shared_lines(docs, min_sites=min_sites, counts=("_lines", "_cut"))
+def cut_shared_lines(docs: DataFrame, min_sites: int = 8, width: int = 5, percent: int = 80) -> DataFrame:
+    """Documents without the lines that many sites share; n_chars, if there is one, follows the text.
+
+    A group of near copies, as ``keep_one_of_each`` finds it, is one site:
+    else its copies would empty each other, and none would be left to keep.
+    """
+    groups = jaccard_components(docs, width=width, percent=percent)
+    classes = materialize(groups.groupBy("doc_id").agg(F.min("component_id").alias("class")), "line-groups")
+    out = remove_shared_lines(docs, min_sites=min_sites, counts=("_lines", "_cut"), classes=classes)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_cut") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(docs.columns)

@@ -94,3 +94,16 @@ def test_odd_rows_and_empty_tables(spark, odd_docs, no_docs):
         assert stage(odd_docs).columns == odd_docs.columns
     assert Counter(r.doc_id for r in keep_one_of_each(odd_docs).collect()) == Counter({None: 1, 1: 2, 2: 1, 3: 1, 4: 1, 7: 1, 8: 1})
     assert {r.doc_id for r in repeat_as_mixed(odd_docs).collect()} <= {None, 1, 4, 6, 8}
+
+
+def test_copies_on_many_sites_do_not_empty_each_other(spark):
+    body = [" ".join(f"w{i}x{j}" for j in range(12)) for i in range(30)]
+    docs = [(i, "\n".join(body), f"s{i}") for i in range(10)]  # exact copies on ten sites
+    docs += [(10 + i, "\n".join([*(x.replace("w", "v") for x in body), f"own tail {i}"]), f"s{i}") for i in range(10)]  # near copies on ten sites
+    docs += [(20 + i, f"shared menu line\nown text {i} of {i * 7}", f"s{i}") for i in range(9)]
+    docs += [(None, "\n".join(body), "t1"), (None, "no id here", "t2")]
+    out = cut_shared_lines(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()
+    want = [(i, t.replace("shared menu line\n", ""), s) for i, t, s in docs]
+    assert sorted(map(str, map(tuple, out))) == sorted(map(str, want))
+    copies = spark.createDataFrame(docs[:20], "doc_id long, text string, source string")
+    assert {r.doc_id: r.text for r in keep_one_of_each(cut_shared_lines(copies)).collect()} == {0: docs[0][1], 10: docs[10][1]}
