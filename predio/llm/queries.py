@@ -15,7 +15,7 @@ from predio.llm.mixing import mix_sources
 from predio.llm.packing import pack
 from predio.llm.quality import score_quality
 from predio.llm.sharding import shard_by_bytes
-from predio.llm.simhash import fingerprint_edits, near_counts
+from predio.llm.simhash import fingerprint_edits, near_counts, near_pairs
 from predio.llm.toxicity import held_out, toxicity
 from predio.llm.vectors import range_join
 
@@ -95,6 +95,14 @@ def op5_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marks.withColumn("fp", fp).join(near, "fp").drop("fp")
 
 
+def op5_simhash_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of distinct fingerprints within 10 bits; op5_simhash_fingerprints tells their documents, and its n_near counts those within 3."""
+    marks = materialize(fingerprint_edits(table(spark, sf_dir, "documents")).select("fingerprint"), "op5-links")
+    pairs = near_pairs(marks.select(F.conv("fingerprint", 16, -10).cast("long").alias("fp")), radius=10, blocks=12)
+    text = lambda c: F.lpad(F.lower(F.hex(c)), 16, "0")
+    return pairs.select(text("fp").alias("fingerprint"), text("other").alias("other"), "distance")
+
+
 def op6_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -139,6 +147,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_site_spread_lines": op3_site_spread_lines,
     "op4_adaptive_prefix_join": op4_adaptive_prefix_join,
     "op5_simhash_fingerprints": op5_simhash_fingerprints,
+    "op5_simhash_links": op5_simhash_links,
     "op6_counterfactual_toxicity": op6_counterfactual_toxicity,
     "op7_pivotal_mixing": op7_pivotal_mixing,
     "op8_fused_language": op8_fused_language,

@@ -159,14 +159,8 @@ def _near_counts(radius: int, masks: np.ndarray):
     return run
 
 
-def near_counts(marks: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
-    """(fp, n_near): how many other distinct fingerprints lie within ``radius`` bits of each.
-
-    Fingerprints are split in ``blocks``; each table keys them by all but
-    ``radius`` of the blocks, so any two within the radius meet in one.  An
-    entry with very many fingerprints is dealt out in blocks of pairs.  The
-    result has a row for each distinct fingerprint; none for an empty table.
-    """
+def _dealt(marks: DataFrame, radius: int, blocks: int) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """The distinct fingerprints, their table entries dealt out in blocks of pairs, and the tables' masks."""
     spark = marks.sparkSession
     masks = block_masks(radius, blocks)
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
@@ -177,5 +171,59 @@ def near_counts(marks: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("fp"), "parts")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     rows = rows.select("table", "key", F.least("chunk", "other").alias("q"), F.greatest("chunk", "other").alias("d"), "fp", "chunk")
     dealt = rows.repartition(shuffle_partitions(spark), "table", "key", "q", "d").sortWithinPartitions("table", "key", "q", "d")
-    counts = dealt.mapInArrow(_near_counts(radius, np.array(masks, dtype=np.uint64)), "fp long, n long").groupBy("fp").agg(F.sum("n").alias("n_near"))
+    return distinct, dealt, np.array(masks, dtype=np.uint64)
+
+
+def _near_pairs(radius: int, masks: np.ndarray):
+    schema = pa.schema([("fp", pa.int64()), ("other", pa.int64()), ("distance", pa.int32())])
+
+    def group(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        table, q, d, fp = int(rows[0, 0]), rows[0, 2], rows[0, 3], rows[:, 4].view(np.uint64)
+        left, right = (fp, fp) if q == d else (fp[rows[:, 5] == q], fp[rows[:, 5] == d])
+        for i in range(0, len(left), 256):
+            diff = left[i : i + 256, None] ^ right[None, :]
+            near = (np.bitwise_count(diff) <= radius) & (diff != 0)
+            if q == d:
+                near &= left[i : i + 256, None] < right[None, :]
+            a, b = np.nonzero(near)
+            first = ((diff[a, b][:, None] & masks[None, :table]) != 0).all(1)  # a pair counts in the first table where it meets
+            if first.any():
+                x, y = left[i : i + 256][a[first]], right[b[first]]
+                columns = [np.minimum(x, y).view(np.int64), np.maximum(x, y).view(np.int64), np.bitwise_count(x ^ y).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.empty((0, 6), dtype=np.int64)
+        for batch in batches:
+            held = np.concatenate([held, np.stack([batch.column(i).to_numpy() for i in range(6)], axis=1)])
+            cuts = [0, *(np.flatnonzero((held[1:, :4] != held[:-1, :4]).any(1)) + 1).tolist()]
+            for s, e in itertools.pairwise(cuts):
+                yield from group(held[s:e])
+            held = held[cuts[-1] :]
+        if len(held):
+            yield from group(held)
+
+    return run
+
+
+def near_pairs(marks: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
+    """(fp, other, distance): every pair of distinct fingerprints within ``radius`` bits, once, the smaller as unsigned first.
+
+    Met in the block tables of ``near_counts``.  Documents join by their
+    fingerprints, so copies of one fingerprint do not multiply the pairs.
+    """
+    _, dealt, masks = _dealt(marks, radius, blocks)
+    return dealt.mapInArrow(_near_pairs(radius, masks), "fp long, other long, distance int")
+
+
+def near_counts(marks: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
+    """(fp, n_near): how many other distinct fingerprints lie within ``radius`` bits of each.
+
+    Fingerprints are split in ``blocks``; each table keys them by all but
+    ``radius`` of the blocks, so any two within the radius meet in one.  An
+    entry with very many fingerprints is dealt out in blocks of pairs.  The
+    result has a row for each distinct fingerprint; none for an empty table.
+    """
+    distinct, dealt, masks = _dealt(marks, radius, blocks)
+    counts = dealt.mapInArrow(_near_counts(radius, masks), "fp long, n long").groupBy("fp").agg(F.sum("n").alias("n_near"))
     return distinct.join(counts, "fp", "left").select("fp", F.coalesce("n_near", F.lit(0)).alias("n_near"))

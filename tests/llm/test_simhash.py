@@ -59,3 +59,23 @@ def test_odd_rows_and_empty_table(spark, odd_docs, no_docs):
     one = odd_docs.where("doc_id = 8")
     assert [(r.near_next, r.n_chars) for r in fingerprint_edits(one).collect()] == [(1.0, 27)]
     assert fingerprint_edits(no_docs).count() == 0
+
+
+def test_pairs_tell_which_documents_are_near(spark, sf_dir, monkeypatch):
+    from predio.llm.queries import op5_simhash_links
+
+    rows = op5_simhash_fingerprints(spark, sf_dir).collect()
+    marks = sorted({r.fingerprint for r in rows})
+    bits = lambda a, b: (int(a, 16) ^ int(b, 16)).bit_count()
+    want = {(a, b, bits(a, b)) for i, a in enumerate(marks) for b in marks[i + 1 :] if bits(a, b) <= 10}
+    links = [tuple(r) for r in op5_simhash_links(spark, sf_dir).collect()]
+    assert len(links) == len(want) and set(links) == want
+    assert all(r.n_near == sum(r.fingerprint in p[:2] for p in want if p[2] <= 3) for r in rows)
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", 7)
+    rng = np.random.default_rng(3)
+    made = rng.integers(0, 2**63, 20, dtype=np.uint64)
+    made = np.unique(np.concatenate([made, *[made ^ (np.uint64(1) << np.uint64(b)) ^ (np.uint64(1) << np.uint64(63)) for b in range(0, 60, 7)]]))
+    table = spark.createDataFrame([(int(m),) for m in made.view(np.int64)], "fp long")
+    got = [(r.fp % 2**64, r.other % 2**64, r.distance) for r in simhash.near_pairs(table, 4, 6).collect()]
+    near = {(a, b, (a ^ b).bit_count()) for a in made.tolist() for b in made.tolist() if a < b and (a ^ b).bit_count() <= 4}
+    assert len(got) == len(near) and set(got) == near
