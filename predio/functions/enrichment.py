@@ -14,7 +14,7 @@ from predio.functions import extraction as x
 
 # How a price may be written, with the number as the first group.
 CANDIDATES = [
-    r"\$\s*([\d,\.]+)(?:\s*usd?)?", r"([\d,\.]+)\s*usd", r"([\d,\.]+)\s*dólares?", r"us\s*\$?\s*([\d,\.]+)", r"(\d{1,3}(?:\.\d{3})*(?:,\d{2})?)\s*bs", r"bs\s*([\d,\.]+)", r"bolivianos?\s*([\d,\.]+)", r"([\d,\.]+)\s*bob",
+    r"\$\s*([\d,\.]+)(?:\s*usd?)?", r"([\d,\.]+)\s*usd", r"([\d,\.]+)\s*dólares?", r"us\s*\$?\s*([\d,\.]+)", r"(\d+(?:\.\d{3})*(?:,\d{2})?)\s*bs", r"bs\s*([\d,\.]+)", r"bolivianos?\s*([\d,\.]+)", r"([\d,\.]+)\s*bob",
     r"precio[:\s]*\$?\s*([\d,\.]+)", r"costo[:\s]*\$?\s*([\d,\.]+)", r"valor[:\s]*\$?\s*([\d,\.]+)", r"monto[:\s]*\$?\s*([\d,\.]+)",
 ]
 PRICE_WORDS = ["precio", "costo", "valor", "monto", "alquiler", "venta", "mensual", "dolares", "usd", "bolivianos", "bs", "bob"]

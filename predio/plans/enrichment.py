@@ -29,7 +29,17 @@ def candidates(spark, sf):
 
 @query("x31_price_correction", "SELECT id, format('{:,.2f}', CAST(trunc(o_totalprice) AS DOUBLE)) || ' USD' AS corregido FROM crudos JOIN orders ON o_orderkey = id WHERE id % 4 = 0")
 def correction(spark, sf):
-    rows = crudos(spark, sf).where("id % 4 = 0").select("id", e.best_price(e.price_candidates("descripcion")).alias("b"))
+    return corrected(crudos(spark, sf).where("id % 4 = 0"))
+
+
+@query("x31_price_correction_all")
+def correction_all(spark, sf):
+    """Every listing, null where its text has no price."""
+    return corrected(crudos(spark, sf))
+
+
+def corrected(rows):
+    rows = rows.select("id", e.best_price(e.price_candidates("descripcion")).alias("b"))
     return rows.select("id", e.corrected_price(F.col("b")).alias("corregido"))
 
 

@@ -95,3 +95,16 @@ def test_budget(spark):
 def test_needs(spark):
     assert one(spark, ["Prestigio", "x"], x.needs_to_categories, "array<string>") == ["educacion", "salud"]
     assert one(spark, ["x"], x.needs_to_categories, "array<string>") == x.DEFAULT_NEEDS
+
+
+def test_every_listing_is_corrected(spark, sf_dir):
+    from predio.plans import registered
+    from predio.sources.views import crudos
+
+    queries = registered()[0]
+    got = {r.id: r.corregido for r in queries["x31_price_correction_all"](spark, sf_dir).collect()}
+    total = {r.o_orderkey: int(r.o_totalprice) for r in spark.read.parquet(f"{sf_dir}/orders.parquet").collect()}
+    form = {0: lambda p: f"{p:,.2f} USD", 1: lambda p: f"{p % 9000 + 500:,.2f} BOB", 2: lambda p: f"{p:,.2f} {'USD' if p > 10_000 else 'BOB'}", 3: lambda p: None}
+    assert set(got) == {r.id for r in crudos(spark, sf_dir).select("id").collect()}
+    wrong = {k % 4: (v, form[k % 4](total[k])) for k, v in got.items() if v != form[k % 4](total[k])}
+    assert not wrong
