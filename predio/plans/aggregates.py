@@ -201,10 +201,20 @@ def completeness(spark, sf):
 
 @query("a29_agent_merge", "SELECT clave, count(*) AS n, arg_min(telefono, id) FILTER (WHERE telefono IS NOT NULL) AS telefono, arg_min(empresa, id) AS empresa FROM (SELECT *, lower(trim(substr(nombre, 1, 16))) AS clave FROM agentes) GROUP BY clave")
 def agent_merge(spark, sf):
-    a = agentes(spark, sf).withColumn("clave", F.lower(F.trim(F.substring("nombre", 1, 16))))
+    return merged_agents(agentes(spark, sf), F.substring("nombre", 1, 16))
+
+
+def merged_agents(agents, name):
+    """Agents of one normalised name as one, with the first phone and company."""
+    a = agents.withColumn("clave", F.lower(F.trim(name)))
     return a.groupBy("clave").agg(F.count("*").alias("n"), F.min_by("telefono", F.when(F.col("telefono").isNotNull(), F.col("id"))).alias("telefono"), F.min_by("empresa", "id").alias("empresa"))
 
 
+@query("a29_agent_merge_names", "SELECT clave, count(*) AS n, arg_min(telefono, id) FILTER (WHERE telefono IS NOT NULL) AS telefono, arg_min(empresa, id) AS empresa FROM (SELECT *, lower(trim(nombre)) AS clave FROM agentes) GROUP BY clave")
+def agent_merge_names(spark, sf):
+    return merged_agents(agentes(spark, sf), F.col("nombre"))
+
+
 @query("a31_reconciliation", "SELECT 'propiedades' AS tabla, count(*) AS esperadas, count(DISTINCT id) AS cargadas FROM propiedades UNION ALL SELECT 'servicios', count(*), count(DISTINCT id) FROM servicios UNION ALL SELECT 'agentes', count(*), count(DISTINCT id) FROM agentes")
 def reconciliation(spark, sf):
     parts = [f(spark, sf).agg(F.count("*").alias("esperadas"), F.count_distinct("id").alias("cargadas")).select(F.lit(n).alias("tabla"), "esperadas", "cargadas") for n, f in (("propiedades", propiedades), ("servicios", servicios), ("agentes", agentes))]

@@ -108,3 +108,13 @@ def test_every_listing_is_corrected(spark, sf_dir):
     assert set(got) == {r.id for r in crudos(spark, sf_dir).select("id").collect()}
     wrong = {k % 4: (v, form[k % 4](total[k])) for k, v in got.items() if v != form[k % 4](total[k])}
     assert not wrong
+
+
+def test_agents_of_different_names_stay_apart(spark, sf_dir):
+    from predio.plans import registered
+    from predio.sources.views import agentes
+
+    queries = registered()[0]
+    names = [r.nombre.strip().lower() for r in agentes(spark, sf_dir).collect()]
+    merged = queries["a29_agent_merge_names"](spark, sf_dir).collect()
+    assert sorted(r.clave for r in merged) == sorted(set(names)) and sum(r.n for r in merged) == len(names)
