@@ -68,7 +68,7 @@ def shard_by_bytes(docs: DataFrame, shards: int, *, id_col: str = "doc_id", text
     fair share each for itself, smaller groups in packets of about that size
     by a hash.  Whatever the input, there are fewer than 1,024 items to a
     shard, so one task combines them, and items are small enough to balance.
-    A group of copies with more than half a share cannot be kept whole in
+    A group of copies with more than a whole share cannot be kept whole in
     balance: it is split by document id into pieces of about half a share.
 
     A null text has no bytes and stands with the empty one.  Repeated rows are
@@ -81,7 +81,7 @@ def shard_by_bytes(docs: DataFrame, shards: int, *, id_col: str = "doc_id", text
     )
     groups = materialize(rows.groupBy("group_key").agg(F.sum("size").alias("group_bytes")), "shard-groups")
     share = max((groups.agg(F.sum("group_bytes")).first()[0] or 0) / shards, 1.0)
-    pieces = F.when(F.col("group_bytes") * 2 > share, F.ceil(F.col("group_bytes") * 2 / F.lit(share))).otherwise(1).cast("int")
+    pieces = F.when(F.col("group_bytes") > share, F.ceil(F.col("group_bytes") * 2 / F.lit(share))).otherwise(1).cast("int")
     large = groups.where(F.col("group_bytes") * PACKETS > share).select("group_key", pieces.alias("pieces"))
     # fewer than PACKETS groups to a shard are large
     rows = rows.join(F.broadcast(large), "group_key", "left")

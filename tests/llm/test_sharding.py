@@ -62,3 +62,11 @@ def test_odd_rows_and_empty_table(spark, odd_docs, no_docs):
     assert len(rows) == odd_docs.count()
     assert {r.size for r in rows if r.doc_id in (2, 3)} == {16}
     assert shard_by_bytes(no_docs, 4).count() == 0
+
+
+def test_group_of_most_of_a_share_stays_whole(spark):
+    docs = spark.range(5000).selectExpr("id as doc_id", "case when id < 600 then repeat('c', 84) else lpad(cast(id as string), 84, 'x') end as text")
+    rows = shard_by_bytes(docs, 5).collect()  # 600 of a share's 1,000 rows
+    assert len({r.shard for r in rows if r.doc_id < 600}) == 1
+    sizes = Counter(r.shard for r in rows)
+    assert len(rows) == 5000 and len(sizes) == 5 and max(sizes.values()) <= 1.01 * 1000
