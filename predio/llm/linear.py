@@ -9,28 +9,43 @@ import numpy as np
 
 @dataclass
 class Sparse:
-    """Rows of feature numbers with values, one after the other."""
+    """Rows of feature numbers, one after the other; their values are 1 unless given."""
 
     edges: np.ndarray
     index: np.ndarray
-    value: np.ndarray
+    value: np.ndarray | None = None
+
+    def __post_init__(self) -> None:
+        counts = np.diff(self.edges)
+        self._full = np.flatnonzero(counts)
+        order = np.argsort(self.index, kind="stable").astype(np.int32)
+        self._row = np.repeat(np.arange(len(counts), dtype=np.int32), counts)[order]
+        self._order = None if self.value is None else order
+        features = self.index[order]
+        self._first = np.flatnonzero(np.concatenate([[True], features[1:] != features[:-1]])) if len(features) else np.empty(0, np.int64)
+        self._feature = features[self._first]
 
     @classmethod
     def of(cls, rows: list[np.ndarray], values: list[np.ndarray] | None = None) -> Sparse:
         edges = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
-        index = np.concatenate(rows).astype(np.int64) if rows else np.empty(0, np.int64)
-        value = np.concatenate(values).astype(np.float64) if values else np.ones(len(index))
-        return cls(edges, index, value)
-
-    @property
-    def row(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self.edges) - 1), np.diff(self.edges))
+        index = np.concatenate(rows).astype(np.int32) if rows else np.empty(0, np.int32)
+        return cls(edges, index, np.concatenate(values).astype(np.float64) if values else None)
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, self.value * w[self.index], minlength=len(self.edges) - 1)
+        """The sum of each row's weights."""
+        out = np.zeros(len(self.edges) - 1)
+        if len(self._full):
+            each = w[self.index] if self.value is None else self.value * w[self.index]
+            out[self._full] = np.add.reduceat(each, self.edges[self._full])
+        return out
 
     def back(self, g: np.ndarray, size: int) -> np.ndarray:
-        return np.bincount(self.index, self.value * g[self.row], minlength=size)
+        """The sum over rows of ``g`` for each feature."""
+        out = np.zeros(size)
+        if len(self._first):
+            each = g[self._row] if self._order is None else self.value[self._order] * g[self._row]
+            out[self._feature] = np.add.reduceat(each, self._first)
+        return out
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:

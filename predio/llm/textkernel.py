@@ -15,8 +15,8 @@ import pyarrow as pa
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
-#: Bytes of text handled at once; a longer document is handled alone.
-CHUNK_BYTES = 1 << 20
+#: Bytes of text handled at once; a longer document is handled alone, its words in runs of so many bytes.
+CHUNK_BYTES = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -44,13 +44,18 @@ _POWERS: dict[str, np.ndarray] = {}
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("up", ())) < n:
-        size = max(n, CHUNK_BYTES)
-        for key, base in (("up", _BASE), ("down", _BASE_INVERSE)):
-            steps = np.full(size, base, dtype=np.uint64)
-            steps[0] = 1
-            _POWERS[key] = np.multiply.accumulate(steps)
-    return _POWERS["up"], _POWERS["down"]
+    """Powers of the base and of its inverse; those of a run are kept, those of a longer word are not."""
+    if n <= len(_POWERS.get("up", ())):
+        return _POWERS["up"], _POWERS["down"]
+    size = max(n, CHUNK_BYTES + 1024)
+    made = {}
+    for key, base in (("up", _BASE), ("down", _BASE_INVERSE)):
+        steps = np.full(size, base, dtype=np.uint64)
+        steps[0] = 1
+        made[key] = np.multiply.accumulate(steps)
+    if size <= CHUNK_BYTES + 1024:
+        _POWERS.update(made)
+    return made["up"], made["down"]
 
 
 def text_arrays(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -93,17 +98,24 @@ def spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np
     return starts, ends, counts
 
 
-class SpanHasher:
-    """64-bit hashes of spans of one byte array."""
-
-    def __init__(self, data: np.ndarray):
-        up, self._down = _powers(len(data) + 1)
-        self._sum = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(_BYTE_VALUE[data] * up[: len(data)], out=self._sum[1:])
-
-    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        value = (self._sum[ends] - self._sum[starts]) * self._down[starts]
-        return mix(value ^ ((ends - starts).astype(np.uint64) * _U(0xA24BAED4963EE407)))
+def span_hashes(data: np.ndarray, starts: np.ndarray, *ends: np.ndarray) -> list[np.ndarray]:
+    """64-bit hashes of the spans of one byte array from ascending ``starts`` to each of ``ends``, run by run."""
+    out = [np.empty(len(starts), np.uint64) for _ in ends]
+    first = 0
+    while first < len(starts):
+        last = max(first + 1, int(np.searchsorted(starts, starts[first] + CHUNK_BYTES)))
+        base, run = starts[first], slice(first, last)
+        block = data[base : max(int(e[run].max()) for e in ends)]
+        up, down = _powers(len(block) + 1)
+        total = np.zeros(len(block) + 1, dtype=np.uint64)
+        np.cumsum(_BYTE_VALUE[block] * up[: len(block)], out=total[1:])
+        begin = starts[run] - base
+        for hashes, end in zip(out, ends, strict=True):
+            stop = end[run] - base
+            value = (total[stop] - total[begin]) * down[begin]
+            hashes[run] = mix(value ^ ((stop - begin).astype(np.uint64) * _U(0xA24BAED4963EE407)))
+        first = last
+    return out
 
 
 def chained(previous: np.ndarray, following: np.ndarray) -> np.ndarray:
@@ -137,4 +149,4 @@ def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
     for _, data, offsets in text_arrays(column):
         data = lowered(data)
         starts, ends, counts = spans(data, offsets, NOT_SPACE)
-        yield from shingles(SpanHasher(data)(starts, ends), counts, width)
+        yield from shingles(span_hashes(data, starts, ends)[0], counts, width)
