@@ -9,10 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from predio.llm.common import checked_broadcast, materialize, text_bytes
+from predio.llm.common import checked_broadcast, discard, materialize, text_bytes
 
-#: Packets of small groups to a shard, and the part of a fair share above which a group is an item of its own.
-PACKETS = 512
+#: Items that one task differences at most, and largest items' worth of bytes that a chunk has for every shard at least.
+TASK_ITEMS, CHUNK_LOAD = 16_384, 16
 
 
 def differencing(parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -48,15 +48,38 @@ def differencing(parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         slots[i, order[i]] = where[i]
     return slots, sums[-1]
 
+def levels_of(counts: dict[int, int], shards: int) -> dict[int, int]:
+    """Level by size class (the bit length of the bytes), largest first, from how many items each class has.
+
+    Where a level has more items than one task takes, its sizes differ little
+    enough that a chunk with its load has no more than that either.
+    """
+    doublings = max(1, (TASK_ITEMS // (shards * CHUNK_LOAD)).bit_length())
+    level, held, top, out = 0, 0, None, {}
+    for size in sorted(counts, reverse=True):
+        if top is not None and held + counts[size] > TASK_ITEMS and (top - size >= doublings or held <= TASK_ITEMS):
+            level, held, top = level + 1, 0, None
+        top = size if top is None else top
+        held += counts[size]
+        out[size] = level
+    return out
 
-def _placed(shards: int):
-    """Differencing over all items: each starts as a partial partition with one used slot."""
+
+def _placed(shards: int, held: np.ndarray, total: float):
+    """Differencing over the items of a chunk and, as one more partial partition, its part of what the shards hold by now."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["bytes", "item"])
-        parts = np.zeros((len(pdf), shards), dtype=np.int64)
-        parts[:, -1] = pdf["bytes"]
-        return pd.DataFrame({"item": pdf["item"], "shard": differencing(parts)[0][:, -1].astype(np.int32)})
+        pdf = pdf.sort_values(["bytes", "group_key", "piece"], ascending=[False, True, True])
+        size = pdf["bytes"].to_numpy()
+        parts = np.zeros((len(pdf) + 1, shards), dtype=np.int64)
+        parts[:-1, -1] = size
+        # shards that hold the same stand in another order in every chunk, so that what chunks leave over does not add up
+        mixed = np.random.default_rng(int(pdf["chunk"].iloc[0])).permutation(shards)
+        parts[-1] = np.rint((held - held.min()) * (size.sum() / total)).astype(np.int64)[mixed]
+        slots, _ = differencing(parts)
+        shard_at = np.empty(shards, dtype=np.int32)
+        shard_at[slots[-1]] = mixed
+        return pd.DataFrame({"group_key": pdf["group_key"], "piece": pdf["piece"], "bytes": size, "shard": shard_at[slots[:-1, -1]]})
 
     return run
 
@@ -64,33 +87,57 @@ def _placed(shards: int):
 def shard_by_bytes(docs: DataFrame, shards: int, *, id_col: str = "doc_id", text_col: str = "text", overhead: int = 16) -> DataFrame:
     """Put documents into ``shards`` shards of nearly equal bytes; equal texts stay together.
 
-    Items are differenced: groups of equal texts above a 512th of a shard's
-    fair share each for itself, smaller groups in packets of about that size
-    by a hash.  Whatever the input, there are fewer than 1,024 items to a
-    shard, so one task combines them, and items are small enough to balance.
-    A group of copies with more than a whole share cannot be kept whole in
-    balance: it is split by document id into pieces of about half a share.
+    Groups of equal texts are the items.  They are differenced in levels of
+    size, the largest first, as differencing takes them.  A level that is too
+    large for one task is dealt out in chunks, each of which combines its
+    groups to a partial partition and that with its part of what the shards
+    hold from the levels before: small groups level out what large ones left.
+    A chunk has many largest groups' worth of bytes for every shard, and what
+    chunks leave over falls on the shards at random.
+
+    Only a group of copies above a whole fair share, which cannot be whole in
+    balance, is split: by document id into pieces of about half a share.
 
     A null text has no bytes and stands with the empty one.  Repeated rows are
     rows like others.  An empty table gives no rows.  Returns doc_id, size,
-    text_crc32, group_key, shard and slot (gapless from 0 in each shard).
+    text_crc32, group_key, shard and slot (gapless from 0 in each shard, in an
+    order set by ids and texts but for rows that are equal in both).
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = materialize(
         docs.select(F.col(id_col).cast("long").alias("doc_id"), (text_bytes(F.col(text_col)) + overhead).alias("size"), F.crc32(text).alias("text_crc32"), F.md5(text).alias("group_key")), "shard-rows"
     )
-    groups = materialize(rows.groupBy("group_key").agg(F.sum("size").alias("group_bytes")), "shard-groups")
-    share = max((groups.agg(F.sum("group_bytes")).first()[0] or 0) / shards, 1.0)
-    pieces = F.when(F.col("group_bytes") > share, F.ceil(F.col("group_bytes") * 2 / F.lit(share))).otherwise(1).cast("int")
-    large = groups.where(F.col("group_bytes") * PACKETS > share).select("group_key", pieces.alias("pieces"))
-    # fewer than PACKETS groups to a shard are large
-    rows = rows.join(F.broadcast(large), "group_key", "left")
-    own = F.concat_ws(":", "group_key", F.pmod(F.xxhash64("doc_id"), F.col("pieces")).cast("string"))
-    packet = F.pmod(F.xxhash64("group_key"), F.lit(shards * PACKETS)).cast("string")
-    rows = rows.withColumn("item", F.when(F.col("pieces").isNotNull(), own).otherwise(packet)).drop("pieces")
-    items = rows.groupBy("item").agg(F.sum("size").alias("bytes"))
-    placed = materialize(items.groupBy(F.lit(0).alias("all")).applyInPandas(_placed(shards), "item string, shard int"), "shard-items")
-    return numbered(rows.join(F.broadcast(placed), "item").drop("item"), "shard", "slot")
+    groups = materialize(rows.groupBy("group_key").agg(F.sum("size").alias("bytes")), "shard-groups")
+    share = max((groups.agg(F.sum("bytes")).first()[0] or 0) / shards, 1.0)
+    # fewer than one group to a shard is larger than a share
+    split = F.broadcast(groups.where(F.col("bytes") > share).select("group_key", F.ceil(F.col("bytes") * 2 / F.lit(share)).cast("int").alias("pieces")))
+    piece = F.pmod(F.xxhash64("doc_id"), F.col("pieces")).cast("int")
+    whole = groups.where(F.col("bytes") <= share).select("group_key", F.lit(0).alias("piece"), "bytes")
+    parts = rows.join(split, "group_key").groupBy("group_key", piece.alias("piece")).agg(F.sum("size").alias("bytes"))
+    items = materialize(whole.unionByName(parts).withColumn("class", F.length(F.bin("bytes"))), "shard-items")
+
+    classes = {r["class"]: r for r in items.groupBy("class").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).collect()}
+    level_of = levels_of({c: r["n"] for c, r in classes.items()}, shards)
+    held, placed = np.zeros(shards, dtype=np.int64), []
+    for level in range(len(set(level_of.values()))):
+        own = [c for c in classes if level_of[c] == level]
+        total, n = sum(classes[c]["bytes"] for c in own), sum(classes[c]["n"] for c in own)
+        chunks = 1 if n <= TASK_ITEMS else max(1, total // (shards * CHUNK_LOAD << max(own)))
+        chunk = F.pmod(F.xxhash64("group_key", "piece"), F.lit(chunks)).alias("chunk")
+        run = _placed(shards, held.copy(), float(total))
+        placed.append(materialize(items.where(F.col("class").isin(own)).select("group_key", "piece", "bytes", chunk).groupBy("chunk").applyInPandas(run, "group_key string, piece int, bytes long, shard int"), "shard-level"))
+        for r in placed[-1].groupBy("shard").agg(F.sum("bytes").alias("bytes")).collect():
+            held[r["shard"]] += r["bytes"]
+    if not placed:
+        return numbered(rows.withColumn("shard", F.lit(0)), "shard", "slot")
+    where = placed[0]
+    for part in placed[1:]:
+        where = where.unionByName(part)
+    where = materialize(where.select("group_key", "piece", "shard"), "shard-places")
+    keyed = rows.join(split, "group_key", "left").withColumn("piece", F.coalesce(piece, F.lit(0))).drop("pieces")
+    out = numbered(keyed.join(checked_broadcast(where, row_bytes=F.lit(96)), ["group_key", "piece"]).drop("piece"), "shard", "slot")
+    discard(items, *placed)
+    return out
 
 
 def numbered(rows: DataFrame, key: str, name: str, chunk_rows: int = 50_000) -> DataFrame:
@@ -99,11 +146,11 @@ def numbered(rows: DataFrame, key: str, name: str, chunk_rows: int = 50_000) ->
     Rows are numbered within chunks of a key, and chunks start where the
     counts before them end, so that no task holds a whole key.
     """
-    rows = materialize(rows.withColumn("_chunk", F.pmod(F.xxhash64("doc_id"), F.lit(4096))), f"numbered-{name}")
+    rows = materialize(rows.withColumn("_chunk", F.pmod(F.xxhash64("doc_id", "group_key"), F.lit(4096))), f"numbered-{name}")
     total = rows.count()
     chunks = min(4096, max(1, total // chunk_rows))
     rows = rows.withColumn("_chunk", F.pmod("_chunk", F.lit(chunks)))
     counts = rows.groupBy(key, "_chunk").agg(F.count("*").alias("_n"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    within = F.row_number().over(Window.partitionBy(key, "_chunk").orderBy("doc_id"))
+    within = F.row_number().over(Window.partitionBy(key, "_chunk").orderBy("doc_id", "group_key"))
     return rows.withColumn("_rank", within).join(checked_broadcast(before), [key, "_chunk"]).withColumn(name, (F.col("_before") + F.col("_rank") - 1).cast("long")).drop("_chunk", "_rank", "_before")
