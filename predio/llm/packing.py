@@ -10,18 +10,16 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from predio.llm.common import small_batches
+from predio.llm.common import checked_broadcast, materialize, once_a_worker, small_batches, tidy
 
-PIECE = T.StructType([
-    T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()),
-    T.StructField("ids_crc32", T.LongType()), T.StructField("doc_tokens", T.LongType()), T.StructField("sequence_id", T.LongType()),
-    T.StructField("offset", T.LongType()), T.StructField("window", T.LongType()), T.StructField("step_group", T.LongType()),
-])
+#: ``place`` counts a task's sequences of one window.
+PIECE = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "window", "place")])
 IDS = T.StructField("ids", T.BinaryType())
+TASK_BITS = 40
 
 END_ID = 1
 #: Tokens that wait in a task before windows are closed, so that gaps find pieces of every length.
@@ -64,13 +62,13 @@ class _Packer:
     windows are whole powers of two and need no padding.
     """
 
-    def __init__(self, task: int, tiers: tuple[int, ...], step_tokens: int, with_ids: bool):
+    def __init__(self, task: int, tiers: tuple[int, ...], with_ids: bool):
         self.tiers, self.longest = tiers, tiers[-1]
         self.pools: dict[int, deque] = {t: deque() for t in tiers}
         self.waiting = 0
-        self.base, self.made = task << 40, 0
-        self.steps: dict[int, int] = {}
-        self.step_tokens, self.with_ids = step_tokens, with_ids
+        self.base, self.made = task << TASK_BITS, 0
+        self.places: dict[int, int] = {}
+        self.with_ids = with_ids
         self.rows: list[tuple] = []
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
@@ -139,13 +137,12 @@ class _Packer:
 
     def emit(self, window: int, content: list[tuple]) -> None:
         sequence, self.made = self.base + self.made, self.made + 1
-        used = self.steps.get(window, 0)
-        self.steps[window] = used + 1
-        step = (self.base >> 8) + (window.bit_length() << 24) + used * window // self.step_tokens
+        place = self.places.get(window, 0)
+        self.places[window] = place + 1
         offset = 0
         for doc_id, start, ids, n in content:
             data = ids.astype("<u4").tobytes()
-            row = (doc_id, start, len(ids), zlib.crc32(data), n, sequence, offset, window, step)
+            row = (doc_id, start, len(ids), zlib.crc32(data), n, sequence, offset, window, place)
             self.rows.append((*row, data) if self.with_ids else row)
             offset += len(ids)
 
@@ -165,9 +162,10 @@ def pack(
     """One row per piece of a document in a sequence; ``window`` is the sequence's length.
 
     Every task packs the rows it reads and holds at most a fixed number of
-    waiting tokens, so nothing is shuffled and a hot source or group of copies
+    waiting tokens, so no text is shuffled and a hot source or group of copies
     makes no task larger.  ``step_group`` numbers groups of sequences of one
-    window that hold ``step_tokens`` tokens each.  ``ids`` (with ``with_ids``)
+    window, which hold ``step_tokens`` tokens each whatever task packed them;
+    only the last group of a window can be short.  ``ids`` (with ``with_ids``)
     are the piece's token ids as little-endian unsigned 32-bit numbers.
 
     A null text counts as empty and has the end id alone; repeated rows are
@@ -180,8 +178,8 @@ def pack(
     tiers = tuple(sorted(tiers))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = make_encoder(tokenizer_json, rank_file, pattern)
-        packer = _Packer(TaskContext.get().partitionId(), tiers, step_tokens, with_ids)
+        encode = once_a_worker((tokenizer_json, rank_file, pattern), lambda: make_encoder(tokenizer_json, rank_file, pattern))
+        packer = _Packer(TaskContext.get().partitionId(), tiers, with_ids)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for first in range(0, len(ids), 64):
@@ -193,7 +191,22 @@ def pack(
         packer.finish()
         yield from _batches(packer, arrow)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return with_step_groups(materialize(texts.mapInArrow(tidy(run, keep=True), schema), "pieces"), step_tokens)
+
+
+def with_step_groups(pieces: DataFrame, step_tokens: int) -> DataFrame:
+    """``pieces`` with step_group in the place of ``place``: sequences of one window are numbered through all tasks and grouped in turn.
+
+    Only counts are gathered, one for each task and window.
+    """
+    task = F.shiftrightunsigned("sequence_id", TASK_BITS).alias("task")
+    counts = pieces.where("offset = 0").groupBy(task, "window").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("window").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    before = materialize(counts.select("task", "window", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")), "step-counts")
+    number = F.floor((F.col("before") + F.col("place")) * F.col("window") / step_tokens)
+    placed = pieces.withColumn("task", task).join(checked_broadcast(before), ["task", "window"])
+    return placed.select([(F.shiftleft("window", TASK_BITS) + number).alias("step_group") if c == "place" else F.col(c) for c in pieces.columns])
 
 
 def _batches(packer: _Packer, arrow: pa.Schema) -> Iterator[pa.RecordBatch]:

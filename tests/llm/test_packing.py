@@ -58,13 +58,15 @@ def test_odd_rows_and_empty_table(spark, odd_docs, no_docs, exact):
     assert pack(no_docs, **tokenizer_files()).count() == 0
 
 
-def test_step_groups_hold_equal_tokens(spark, sf_dir):
-    rows = pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), **tokenizer_files(), with_ids=False, step_tokens=8192).collect()
+def test_step_groups_hold_equal_tokens_through_all_tasks(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(7)
+    rows = pack(docs, **tokenizer_files(), with_ids=False, step_tokens=8192).collect()
     groups = defaultdict(int)
     for r in rows:
         groups[r.window, r.step_group] += r.length
     full = [t for t in groups.values() if t == 8192]
     assert max(groups.values()) == 8192 and len(full) >= len(groups) - len({w for w, _ in groups})
+    assert all(len({r.step_group for r in rows if r.sequence_id == s}) == 1 for s in list({r.sequence_id for r in rows})[:50])
 
 
 def test_fast_encoder_equals_tokenizer(exact):
