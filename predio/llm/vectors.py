@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from predio.llm.common import checked_broadcast, materialize
+from predio.llm.common import checked_broadcast, discard, materialize, tidy
 from predio.llm.components import connected_components
 
-#: Vectors from which pivots are drawn, vectors a cell should hold, pivots of one label at most.
-SAMPLE_ROWS, CELL_ROWS, MOST_PIVOTS = 4096, 1024, 64
-#: Vectors of one side of a block of a cell.
-BLOCK_ROWS = 2048
+#: Vectors from which the pivots of all cells are drawn, vectors a cell should hold, sampled vectors it needs to be divided.
+SAMPLE_ROWS, CELL_ROWS, LEAST_SAMPLE = 32_768, 8_192, 32
+#: A cell is divided in so many at most at once, and only if the pairs to compare fall to this share.
+FAN_OUT, WORTH = 16, 0.7
+#: Vectors of one side of a block of a cell, and those compared at once.
+BLOCK_ROWS, STRIP_ROWS = 8_192, 256
 
 
 def farthest_first(x: np.ndarray, k: int) -> np.ndarray:
@@ -27,62 +30,130 @@ def farthest_first(x: np.ndarray, k: int) -> np.ndarray:
     return x[taken]
 
 
-def cells_of(x: np.ndarray, pivots: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, cell, whether it is the row's own cell) of unit vectors.
+def cells_of(x: np.ndarray, pivots: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+    """The own cell of each unit vector, and whether it visits each cell.
 
-    A row belongs to its nearest pivot's cell.  Vectors of another cell lie
-    beyond the plane midway between the two pivots, so by the triangle
+    A row belongs to its nearest pivot's cell.  A cell lies, seen from any
+    other pivot, beyond the plane midway between the two.  So by the triangle
     inequality a row can have a partner there only if it is within ``radius``
-    of that plane; then it visits that cell too.
+    of all those planes or beyond them; then it visits that cell.
     """
     dots = x @ pivots.T
-    home = dots.argmax(1)
     apart = np.sqrt(np.maximum(2 - 2 * (pivots @ pivots.T), 1e-300))
-    beyond = (dots[np.arange(len(x)), home][:, None] - dots) / apart[home]
-    row, cell = np.nonzero(beyond <= radius)
-    own = cell == home[row]
-    return row, cell, own
-
-
-def local_links(q: np.ndarray, d: np.ndarray, q_id: np.ndarray, d_id: np.ndarray, d_rows: np.ndarray, least: float) -> pd.DataFrame:
-    """Rows linked to each query, and for each vector of the block a smaller id that the block's links reach."""
-    norms = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(d, axis=1)[None, :]
-    linked = (q @ d.T) / norms >= least
-    linked &= q_id[:, None] != d_id[None, :]
-    n_links = linked.astype(np.float64) @ d_rows
-    qi, di = np.nonzero(linked)
+    beyond = np.full(dots.shape, -np.inf)
+    for other in range(len(pivots)):
+        np.maximum(beyond, (dots[:, [other]] - dots) / apart[other], out=beyond, where=np.arange(len(pivots)) != other)
+    home = dots.argmax(1)
+    visits = beyond <= radius
+    visits[np.arange(len(x)), home] = True
+    return home, visits
+
+
+@dataclass
+class Node:
+    """A cell: a leaf with a number, or pivots with a cell for each."""
+
+    number: int = 0
+    pivots: np.ndarray | None = None
+    cells: list[Node] = field(default_factory=list)
+
+
+def divide(x: np.ndarray, own: np.ndarray, weight: float, radius: float, numbers: Iterator[int]) -> Node:
+    """Divide a cell, given sampled vectors in and near it, until it is small or division no longer pays.
+
+    ``own`` marks the vectors that belong to the cell, each of which stands
+    for ``weight`` rows.  Cells follow the data: tight clusters come apart,
+    while a cloud in which every part is near every other stays one cell.
+    """
+    n_own = int(own.sum())
+    if n_own * weight > CELL_ROWS and n_own >= LEAST_SAMPLE:
+        pivots = farthest_first(x[own], min(FAN_OUT, max(2, round(n_own * weight / CELL_ROWS))))
+        if len(pivots) > 1:
+            home, visits = cells_of(x, pivots, radius)
+            mine = [own & (home == c) for c in range(len(pivots))]
+            pairs = sum(float(m.sum()) * float(visits[:, c].sum()) for c, m in enumerate(mine))
+            if pairs <= WORTH * n_own * len(x):
+                return Node(pivots=pivots, cells=[divide(x[visits[:, c]], m[visits[:, c]], weight, radius, numbers) for c, m in enumerate(mine)])
+    return Node(number=next(numbers))
+
+
+def placed(x: np.ndarray, node: Node, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, cell, whether it is the row's own cell) of unit vectors."""
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def go(rows: np.ndarray, own: np.ndarray, at: Node) -> None:
+        if at.pivots is None:
+            out.append((rows, np.full(len(rows), at.number), own))
+        elif len(rows):
+            home, visits = cells_of(x[rows], at.pivots, radius)
+            for c, cell in enumerate(at.cells):
+                go(rows[visits[:, c]], (own & (home == c))[visits[:, c]], cell)
+
+    go(np.arange(len(x)), np.ones(len(x), bool), node)
+    return tuple(np.concatenate(part) for part in zip(*out, strict=True))
+
+
+def local_links(q: np.ndarray, d: np.ndarray, q_id: np.ndarray, d_id: np.ndarray, d_rows: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows linked to each of ``q``, and for each vector of both sides a smaller id that the block's links reach."""
+    q_norm, d_norm = np.linalg.norm(q, axis=1), np.linalg.norm(d, axis=1)
+    n_links = np.zeros(len(q))
+    strips: list[tuple[np.ndarray, np.ndarray]] = []
+    for i in range(0, len(q), STRIP_ROWS):
+        part = slice(i, i + STRIP_ROWS)
+        linked = (q[part] @ d.T) / (q_norm[part, None] * d_norm[None, :]) >= least
+        linked &= q_id[part, None] != d_id[None, :]
+        some = np.flatnonzero(linked.any(1))
+        if len(some):
+            n_links[i + some] = linked[some] @ d_rows
+            strips.append((i + some, np.packbits(linked[some], axis=1)))  # a bit a pair, so that many links stay small
     q_root, d_root = q_id.copy(), d_id.copy()
-    changed = len(qi) > 0
+    changed = bool(strips)
     while changed:
-        q_new, d_new = q_root.copy(), d_root.copy()
-        np.minimum.at(q_new, qi, d_root[di])
-        np.minimum.at(d_new, di, q_new[qi])
-        changed = bool((q_new != q_root).any() or (d_new != d_root).any())
-        q_root, d_root = q_new, d_new
-    moved = d_root != d_id
-    return pd.DataFrame({"id": np.concatenate([q_id, d_id[moved]]), "n": np.concatenate([n_links, np.zeros(moved.sum())]).astype(np.int64), "root": np.concatenate([q_root, d_root[moved]])})
+        changed = False
+        for rows, bits in strips:
+            linked = np.unpackbits(bits, axis=1, count=len(d)).astype(bool)
+            low = np.minimum(q_root[rows], np.where(linked, d_root[None, :], np.iinfo(np.int64).max).min(1))
+            down = np.minimum(d_root, np.where(linked, low[:, None], np.iinfo(np.int64).max).min(0))
+            changed |= bool((low != q_root[rows]).any() or (down != d_root).any())
+            q_root[rows], d_root = low, down
+    return n_links.astype(np.int64), q_root, d_root
 
 
-def _assign(pivots, radius: float):
+def _assign(trees, radius: float, kind: str):
+    """Rows with a number for each cell they belong to or visit."""
+    whole = Node()
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             for label, part in pdf.groupby("label"):
-                raw = np.array(part["v"].tolist(), dtype=np.float64)
-                unit = raw / np.linalg.norm(raw, axis=1, keepdims=True)
-                row, cell, own = cells_of(unit, pivots.value.get(label, unit[:1]), radius) if label in pivots.value else (np.arange(len(unit)), np.zeros(len(unit), int), np.ones(len(unit), bool))
-                yield part.iloc[row].assign(cell=cell, own=own)
+                raw = np.frombuffer(b"".join(part["v"]), kind).reshape(len(part), -1).astype(np.float64)
+                row, cell, own = placed(raw / np.linalg.norm(raw, axis=1, keepdims=True), trees.value.get(label, whole), radius)
+                yield part.iloc[row].assign(cell=cell.astype(np.int64), own=own)
 
     return run
 
 
-def _block(least: float):
+def _block(least: float, kind: str):
+    schema = {"id": "int64", "n": "int64", "root": "int64"}
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        query = pdf[pdf["query"]]
-        data = pdf[~pdf["query"]]
-        if query.empty or data.empty:
-            return pd.DataFrame({"id": [], "n": [], "root": []}).astype("int64")
-        vectors = [np.array(p["v"].tolist(), dtype=np.float64) for p in (query, data)]
-        return local_links(*vectors, query["id"].to_numpy(), data["id"].to_numpy(), data["rows"].to_numpy(dtype=np.float64), least)
+        if not pdf["own"].any():
+            return pd.DataFrame({c: [] for c in schema}).astype(schema)
+        chunk = pdf["chunk"].to_numpy()
+        sides = [np.flatnonzero(chunk == c) for c in sorted(set(chunk.tolist()))]
+        v = np.frombuffer(b"".join(pdf["v"]), kind).reshape(len(pdf), -1).astype(np.float64)
+        ids, rows, own = pdf["id"].to_numpy(), pdf["rows"].to_numpy(dtype=np.float64), pdf["own"].to_numpy(dtype=bool)
+        inner = pdf["q"].iloc[0] == pdf["d"].iloc[0]
+        if not inner and len(sides) < 2:
+            return pd.DataFrame({c: [] for c in schema}).astype(schema)
+        out = []
+        for a, b in [(sides[0], sides[0])] if inner else [(sides[0], sides[1]), (sides[1], sides[0])]:
+            a = a[own[a]]  # a vector's links are all found in its own cell
+            n, q_root, d_root = local_links(v[a], v[b], ids[a], ids[b], rows[b], least)
+            moved = (d_root != ids[b]).nonzero()[0]
+            told = (n > 0).nonzero()[0]
+            out.append(pd.DataFrame({"id": np.concatenate([ids[a][told], ids[b][moved]]), "n": np.concatenate([n[told], np.zeros(len(moved), np.int64)]), "root": np.concatenate([q_root[told], d_root[moved]])}))
+        return pd.concat(out)
 
     return run
 
@@ -90,11 +161,16 @@ def _block(least: float):
 def range_join(vectors: DataFrame, least: float = 0.98, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row; links join vectors of one label with cosine ``least`` or more.
 
-    Equal vectors of a label are compared as one and counted as many.  Pivots
-    of each label are chosen from a bounded sample (``SAMPLE_ROWS`` vectors)
-    and only set how work is divided.  Every vector is a query in its own cell
-    alone, which holds all its possible partners; a large cell is dealt out in
-    blocks of queries and data, so none of its tasks grows with it.
+    Equal vectors of a label, told apart by two 64-bit hashes, are compared as
+    one and counted as many.  Cells of each label come from pivots: a cell is
+    divided among pivots from a bounded sample (``SAMPLE_ROWS`` vectors) while
+    it holds more than ``CELL_ROWS`` rows and that lessens the pairs to
+    compare, so cells multiply with the vectors.  The sample only sets how
+    work is divided.  All links of a vector are found in its own cell; a cell
+    above a block's size is dealt out in pairs of chunks, so that no task
+    grows with it.  Where all vectors are near each other's cells, which many
+    dimensions bring about, blocks and not cells bound a task, and the work is
+    that of comparing all pairs of a label.
 
     Null, zero or empty vectors, those with null or non-finite components and
     rows without a label link with nothing.  A null id takes no part: its
@@ -103,38 +179,49 @@ def range_join(vectors: DataFrame, least: float = 0.98, *, id_col: str = "vec_id
     no rows.
     """
     spark = vectors.sparkSession
-    v = F.col(vector_col).cast("array<double>")
+    single = "float" in dict(vectors.dtypes)[vector_col]
+    kind = "<f4" if single else "<f8"
+    v = F.col(vector_col).cast("array<float>" if single else "array<double>")
     finite = F.coalesce(F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))), F.lit(False))
     usable = finite & F.coalesce(F.exists(v, lambda c: c != 0), F.lit(False)) & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()
     label = F.concat_ws(":", F.size(v).cast("string"), F.col(label_col).cast("string"))
-    rows = materialize(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.when(usable, label).alias("label"), F.when(usable, v).alias("v")), "vectors")
-    copies = materialize(rows.where("label is not null").groupBy("label", "v").agg(F.min("vec_id").alias("id"), F.count("*").alias("rows")), "vector-classes")
+    given = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.when(usable, label).alias("label"), F.when(usable, v).alias("list"))
+
+    def as_bytes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            yield pdf.assign(list=[None if x is None else (np.asarray(x, kind) + 0.0).astype(kind).tobytes() for x in pdf["list"]])  # + 0.0: no negative zeros
+
+    rows = given.mapInPandas(tidy(as_bytes), "vec_id long, label string, list binary").withColumnRenamed("list", "v")
+    known = F.col("label").isNotNull()
+    rows = materialize(rows.withColumn("h1", F.when(known, F.xxhash64("label", "v"))).withColumn("h2", F.when(known, F.xxhash64(F.lit("vector"), "v", "label"))), "vectors")
+    copies = materialize(rows.where("label is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("id"), F.count("*").alias("rows"), F.first("label").alias("label"), F.first("v").alias("v")), "vector-classes")
     total = copies.count()
 
-    sample = copies.select("label", "v").orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).toPandas()
-    pivots = {}
-    for key, part in sample.groupby("label"):
-        unit = np.array(part["v"].tolist(), dtype=np.float64)
-        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-        wanted = len(part) / len(sample) * total / CELL_ROWS
-        pivots[key] = farthest_first(unit, int(min(MOST_PIVOTS, max(1, round(wanted)))))
-    table = spark.sparkContext.broadcast(pivots)
     radius = float(np.sqrt(max(0.0, 2 - 2 * least))) + 1e-9
-    placed = materialize(copies.mapInPandas(_assign(table, radius), "label string, v array<double>, id long, rows long, cell long, own boolean"), "vector-cells")
-
-    sizes = placed.groupBy("label", "cell").agg(F.ceil(F.count_if("own") / BLOCK_ROWS).cast("long").alias("qs"), F.ceil(F.count("*") / BLOCK_ROWS).cast("long").alias("ds")).where("qs > 0")
-    placed = placed.join(checked_broadcast(materialize(sizes, "vector-blocks")), ["label", "cell"])
-    mine = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    columns = ["label", "cell", "q", "d", "query", "id", "rows", "v"]
-    queries = placed.where("own").withColumn("q", mine("qs")).withColumn("d", every("ds")).withColumn("query", F.lit(True)).select(columns)
-    data = placed.withColumn("d", mine("ds")).withColumn("q", every("qs")).withColumn("query", F.lit(False)).select(columns)
-    found = materialize(queries.unionByName(data).groupBy("label", "cell", "q", "d").applyInPandas(_block(least), "id long, n long, root long"), "vector-links")
+    sample = copies.select("label", "v", "id").orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).toPandas()
+    trees = {}
+    for key, part in sample.groupby("label"):
+        raw = np.frombuffer(b"".join(part["v"]), kind).reshape(len(part), -1).astype(np.float64)
+        unit = raw / np.linalg.norm(raw, axis=1, keepdims=True)
+        trees[key] = divide(unit, np.ones(len(unit), bool), total / len(sample), radius, iter(range(len(unit) + 1)))
+    table = spark.sparkContext.broadcast(trees)
+    cells = copies.select("label", "id", "rows", "v").mapInPandas(tidy(_assign(table, radius, kind)), "label string, id long, rows long, v binary, cell long, own boolean")
+    cells = materialize(cells, "vector-cells")
+    table.destroy()
+
+    sizes = materialize(cells.groupBy("label", "cell").agg(F.count_if("own").alias("mine"), F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("parts")).where("mine > 0").drop("mine"), "vector-blocks")
+    dealt = cells.join(checked_broadcast(sizes), ["label", "cell"]).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("label", "cell", F.least("chunk", "other").alias("q"), F.greatest("chunk", "other").alias("d"), "chunk", "own", "id", "rows", "v")
+    found = materialize(dealt.groupBy("label", "cell", "q", "d").applyInPandas(_block(least, kind), "id long, n long, root long"), "vector-links")
 
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
     roots = connected_components(found.select("id", "root").where("id != root"), "id", "root")
-    classes = copies.join(counts, "id", "left").join(roots, "id", "left")
-    classes = classes.select("label", "v", (F.coalesce("n", F.lit(0)) + F.col("rows") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))
-    out = rows.join(classes, ["label", "v"], "left")
+    classes = copies.select("h1", "h2", "id", "rows").join(counts, "id", "left").join(roots, "id", "left")
+    classes = classes.select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("rows") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))
+    # a vector without links needs no entry
+    classes = materialize(classes.where("n_links > 0"), "vector-results")
+    discard(cells, sizes, found)
+    out = rows.select("vec_id", "h1", "h2").join(checked_broadcast(classes), ["h1", "h2"], "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(False)).alias("kept"))

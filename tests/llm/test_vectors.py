@@ -2,7 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from predio.llm import vectors
-from predio.llm.vectors import range_join
+from predio.llm.vectors import divide, placed, range_join
 
 
 def brute(rows, least=0.98):
@@ -31,15 +31,42 @@ def test_equals_brute_force_on_the_table(spark, sf_dir):
 
 def test_many_cells_and_blocks(spark, monkeypatch):
     monkeypatch.setattr(vectors, "CELL_ROWS", 12)
+    monkeypatch.setattr(vectors, "LEAST_SAMPLE", 4)
     monkeypatch.setattr(vectors, "BLOCK_ROWS", 10)
+    monkeypatch.setattr(vectors, "STRIP_ROWS", 3)
     rng = np.random.default_rng(0)
     rows = []
     for g in range(30):
         center = rng.normal(size=8)
         for _ in range(8):
             rows.append((len(rows), (center + rng.normal(size=8) * rng.choice([0.0, 0.05, 0.2])).tolist(), g % 2))
-    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
-    assert result(range_join(table)) == brute(rows)
+    want = brute(rows)
+    for kind in ("double", "float"):
+        table = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, label int")
+        assert result(range_join(table)) == (want if kind == "double" else brute([(r.vec_id, r.embedding, r.label) for r in table.collect()]))
+
+
+def test_cells_are_complete_and_follow_the_data(monkeypatch):
+    monkeypatch.setattr(vectors, "CELL_ROWS", 40)
+    rng = np.random.default_rng(1)
+    centers = rng.normal(size=(30, 16))
+    x = np.concatenate([centers, *[c + 0.05 * rng.normal(size=(40, 16)) for c in centers]])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    radius = float(np.sqrt(2 - 2 * 0.98))
+    tree = divide(x, np.ones(len(x), bool), 1.0, radius, iter(range(10_000)))
+    row, cell, own = placed(x, tree, radius)
+    assert sorted(row[own].tolist()) == list(range(len(x)))
+    where = {}
+    for r, c in zip(row.tolist(), cell.tolist(), strict=True):
+        where.setdefault(r, set()).add(c)
+    home = dict(zip(row[own].tolist(), cell[own].tolist(), strict=True))
+    a, b = np.nonzero(x @ x.T >= 0.98)
+    assert all(home[i] in where[j] for i, j in zip(a.tolist(), b.tolist(), strict=True))
+    pairs = sum((own & (cell == c)).sum() * (cell == c).sum() for c in set(cell.tolist()))
+    assert pairs < 0.2 * len(x) ** 2  # clusters come apart
+    cloud = rng.normal(size=(1000, 64))
+    cloud /= np.linalg.norm(cloud, axis=1, keepdims=True)
+    assert divide(cloud, np.ones(1000, bool), 1.0, radius, iter(range(10_000))).pivots is None  # a cloud does not
 
 
 def test_odd_rows_and_empty_table(spark):
