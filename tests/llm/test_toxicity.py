@@ -1,10 +1,11 @@
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from predio.llm.toxicity import features, score, swapped, toxicity, train
+from predio.llm.toxicity import STEMS, Swaps, features, named_groups, score, stand_ins, toxicity, train
 
 
 def test_held_out_documents_are_told_apart(spark):
@@ -16,8 +17,49 @@ def test_held_out_documents_are_told_apart(spark):
 
 
 def test_swaps_stay_within_a_kind():
-    assert swapped("The Women said") == "The men said" and swapped("no group") is None
-    assert swapped("garçons et filles") == "femmes et garçons"
+    swap = Swaps(named_groups())
+    assert swap("The Women said") == "The men said" and swap("no group") is None and swap("womenfolk") is None
+    assert swap("garçons et filles") == "femmes et garçons"
+    assert Swaps({})("women") is None
+
+
+def test_stand_ins_are_neutral_and_of_one_kind(spark):
+    rng = random.Random(2)
+    rows = []
+    for i in range(800):
+        words = ["alpha", "beta", "gamma"] if i % 2 else ["uno", "dos", "tres"]
+        toxic = i % 8 < 2
+        rows.append((i, float(toxic), " ".join(rng.choices(words, k=8)) + (" insult" if toxic else "")))
+    found = stand_ins(spark.createDataFrame(rows, "doc_id long, label double, text string"), 800, 200)
+    assert "insult" not in found and found
+    assert all((k in ("alpha", "beta", "gamma")) == (v in ("alpha", "beta", "gamma")) and k != v for k, v in found.items())
+
+
+def test_the_penalty_lowers_false_alarms_on_the_given_tables(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    wrong, missed = {}, {}
+    for penalty in (0.0, 5.0):
+        rows = toxicity(docs, labels, swap_penalty=penalty).where("held_out").join(labels, "doc_id").select("predicted", "toxic").collect()
+        wrong[penalty] = sum(r.predicted for r in rows if not r.toxic)
+        missed[penalty] = sum(1 - r.predicted for r in rows if r.toxic)
+    assert wrong[5.0] < wrong[0.0] and missed[5.0] <= missed[0.0]
+
+
+def test_scores_equal_a_plain_loop_of_the_fitted_model(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    weight, bias = train(docs, labels, id_col="doc_id", text_col="text", label_col="toxic")
+    of = lambda word: {int(f) for f in next(features(pa.array([word])))}
+    known: dict[str, set[int]] = {}
+    for r in toxicity(docs, labels).join(docs, "doc_id").select("doc_id", "text", "score", "predicted").collect():
+        found: set[int] = set()
+        for raw in re.findall(rb"[A-Za-z\x80-\xff]+", (r.text or "").encode()):
+            word = raw.lower()  # of bytes: A to Z
+            if word not in known:
+                known[word] = of(word.decode(errors="replace")) if word.decode(errors="ignore").encode() == word else set()
+            found |= known[word]
+        p = 1 / (1 + np.exp(-(sum(float(np.float32(weight[f])) for f in found) + bias)))
+        assert abs(r.score - p) < 1e-6 and r.predicted == (r.score >= 0.5)
+    assert len(next(features(pa.array(["abcdefgh"])))) == 1 + len(STEMS)
 
 
 def test_the_penalty_spares_neutral_mentions(spark):
