@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from predio.llm.common import checked_broadcast, materialize, small_batches
+from predio.llm.common import checked_broadcast, materialize, small_batches, tidy
 from predio.llm.textkernel import lowered, text_arrays
 
 #: Labelled documents from which the text model is counted at most.
@@ -20,8 +20,9 @@ GRAM_BITS = 16
 INDEPENDENT = 40.0
 #: Pages' worth of weight that a level of the host hierarchy takes from the level above, and that each kind of evidence takes from its average.
 HOST_PRIOR, EVIDENCE_PRIOR = 5.0, 2.0
-#: Markup is taken off with one pattern: scripts, styles, comments, tags, entities.
-MARKUP = r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->|<[^>]*>|&#?\w+;"
+#: Markup is taken off with one pattern: scripts, styles, comments, tags, entities.  What is not closed runs to the end
+#: of the page (a tag: to the next one), so that no part of a page is scanned again and again.
+MARKUP = r"(?is)<(script|style)\b[^<>]*>.*?(?:</\1\s*>|\z)|<!--.*?(?:-->|\z)|<[^<>]*>?|&#?\w{1,32};"
 DECLARED = r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})"
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)"
 FOLDER = r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+/([a-z]{2})(?:[/?#]|$)"
@@ -59,7 +60,7 @@ def text_model(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     known = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
     sample = known.select(F.col(id_col).alias("_id")).orderBy(F.xxhash64("_id"), "_id").limit(train_rows).distinct()
     rows = known.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "_id")
-    counted = rows.select("lang", "text").mapInArrow(_counts, "lang string, counts binary").groupBy("lang").applyInPandas(_summed, "lang string, counts binary").orderBy("lang").collect()
+    counted = rows.select("lang", "text").mapInArrow(tidy(_counts), "lang string, counts binary").groupBy("lang").applyInPandas(_summed, "lang string, counts binary").orderBy("lang").collect()
     langs = [r["lang"] for r in counted]
     table = np.array([np.frombuffer(r["counts"], np.int64) for r in counted], dtype=float).reshape(len(langs), 1 << GRAM_BITS)
     smooth = table + 0.5
@@ -110,7 +111,8 @@ def identify(pages: DataFrame, docs: DataFrame, *, id_col: str = "page_id", url_
             found = [r.tolist() for r in text_log_likelihood(batch.column(6), table.value)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(found, pa.list_(pa.float64()))], names=[*batch.schema.names[:6], "ll"])
 
-    rows = materialize(rows.mapInArrow(run, "page_id long, host string, domain string, suffix string, declared string, folder string, ll array<double>"), "language-text")
+    rows = materialize(rows.mapInArrow(tidy(run), "page_id long, host string, domain string, suffix string, declared string, folder string, ll array<double>"), "language-text")
+    table.destroy()
     n = len(langs)
     every = range(n)
     soft = F.transform("ll", lambda v: F.exp(v))
@@ -125,7 +127,7 @@ def identify(pages: DataFrame, docs: DataFrame, *, id_col: str = "page_id", url_
         whole = [1.0] * n
     overall = sum(whole)
     for key in ("declared", "folder", "suffix", "domain", "host"):
-        rows = rows.join(checked_broadcast(sums(key)), key)
+        rows = rows.join(checked_broadcast(sums(key), row_bytes=F.octet_length(key) + 64 + 8 * n), key)
 
     def evidence(key: str, i: int) -> Column:
         """Log probability that a page of language i has this value; the average over languages is the prior."""

@@ -1,8 +1,11 @@
+import re
+import time
+
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from predio.llm.language import identify, text_log_likelihood, text_model
+from predio.llm.language import EVIDENCE_PRIOR, HOST_PRIOR, MARKUP, identify, text_log_likelihood, text_model
 from predio.llm.queries import op8_fused_language
 
 PAGES = "page_id long, url string, html string, lang string, text string"
@@ -49,3 +52,86 @@ def test_empty_tables(spark, no_docs):
     assert identify(none, docs).count() == 0
     one = spark.createDataFrame([(1, "http://x.y/", "<p>abc</p>", None, None)], PAGES)
     assert [r.lang for r in identify(one, docs.where("false")).collect()] == [None]
+
+
+def plain_text(html):
+    """Markup taken off by a loop over the page."""
+    out, i = [], 0
+    while i < len(html):
+        rest = html[i:]
+        low = rest.lower()
+        tag = re.match(r"<(script|style)\b[^<>]*>", low)
+        if tag:
+            end = re.search(rf"</{tag[1]}\s*>", low[tag.end() :])
+            i += tag.end() + end.end() if end else len(rest)
+        elif rest.startswith("<!--"):
+            end = rest.find("-->", 4)
+            i += end + 3 if end >= 0 else len(rest)
+        elif rest[0] == "<":
+            i += re.match(r"<[^<>]*>?", rest).end()
+        elif entity := re.match(r"&#?[A-Za-z0-9_]{1,32};", rest):
+            i += entity.end()
+        else:
+            out.append(rest[0])
+            i += 1
+            continue
+        out.append(" ")
+    return "".join(out)
+
+
+def test_fusion_equals_a_plain_loop(spark):
+    """The whole fusion over 200 pages, in plain Python, from counts that leave out the page itself."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").orderBy("page_id").limit(200).cache()
+    langs, model = text_model(docs)
+    rows = []
+    for r in pages.collect():
+        ll = next(text_log_likelihood(pa.array([plain_text(r.html or "")], pa.large_string()), model))
+        host = (re.match(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", r.url or "") or [0, ""])[1].lower()
+        folder = (re.match(r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+/([a-z]{2})(?:[/?#]|$)", r.url or "") or [0, ""])[1]
+        declared = (re.search(r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})", r.html or "") or [0, ""])[1].lower()
+        parts = host.split(".")
+        rows.append({"id": r.page_id, "ll": ll, "post": np.exp(ll) / np.exp(ll).sum(), "host": host, "domain": ".".join(parts[::-1][:2]), "suffix": parts[-1], "folder": folder, "declared": declared})
+    whole = sum(r["post"] for r in rows)
+    sums = {key: {} for key in ("declared", "folder", "suffix", "domain", "host")}
+    for r in rows:
+        for key, table in sums.items():
+            table[r[key]] = table.get(r[key], 0) + r["post"]
+    want = {}
+    for r in rows:
+        score = r["ll"].copy()
+        for key in ("declared", "folder", "suffix"):
+            own = np.maximum(sums[key][r[key]] - r["post"], 0)
+            mean = max((sums[key][r[key]].sum() - 1) / max(whole.sum() - 1, 1.0), 1e-9)
+            score += np.log((own + EVIDENCE_PRIOR * mean) / (whole - r["post"] + EVIDENCE_PRIOR))
+        level = (whole + 1) / (whole.sum() + len(langs))
+        for key in ("domain", "host"):
+            own = np.maximum(sums[key][r[key]] - r["post"], 0)
+            level = (own + HOST_PRIOR * level) / (max(sums[key][r[key]].sum() - 1, 0.0) + HOST_PRIOR)
+        score += np.log(level)
+        p = np.exp(score - score.max())
+        want[r["id"]] = (langs[int(score.argmax())], p.max() / p.sum(), r["declared"], r["host"])
+    got = {r.page_id: r for r in identify(pages, docs).collect()}
+    assert got.keys() == want.keys() and len(want) == 200
+    for i, (lang, p, declared, host) in want.items():
+        assert (got[i].lang, got[i].declared, got[i].host) == (lang, declared, host) and abs(got[i].probability - p) < 1e-6
+
+
+def test_broken_and_very_long_pages(spark):
+    broken = ["<script " * 40_000, "<!-- " * 40_000, "<" * 200_000, "<style>" + "x" * 200_000, "&" + "a" * 200_000, "<p>abc</p>" * 60_000]
+    begun = time.perf_counter()
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(broken)], "page_id long, html string")
+    texts = [r[0] for r in table.selectExpr("page_id", "html").select(__import__("pyspark.sql.functions", fromlist=["x"]).regexp_replace("html", MARKUP, " ")).collect()]
+    assert time.perf_counter() - begun < 20
+    assert [set(t.split()) for t in texts[:4]] == [set()] * 4 and set(texts[5].split()) == {"abc"}
+    assert plain_text("a<b>c<!-- d --> e &amp; <script>x</script>f<i") .split() == ["a", "c", "e", "f"]
+
+
+def test_ties_repeats_and_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "aaa bbb", "xx"), (2, "aaa bbb", "yy")], "doc_id long, text string, lang string")
+    schema = "page_id long, url string, html string, lang string, text string, ll string, post string, host string, declared string, probability string"
+    row = (1, "http://h.zz/", "<p>aaa bbb</p>", "own", "own", "own", "own", "own", "own", "own")
+    table = spark.createDataFrame([row, row, (None, None, None, *["own"] * 7), (3, "not an address", "", *["own"] * 7)], schema)
+    rows = identify(table, docs).collect()
+    assert len(rows) == 4 and {r.lang for r in rows} == {"xx"}  # of equal evidence the first language in order
+    assert all(abs(r.probability - 0.5) < 1e-6 and r.host in ("h.zz", "") for r in rows)
