@@ -24,17 +24,12 @@ def source_targets(sizes: list[tuple[str | None, int]], weights: tuple[float, ..
     """
     ordered = sorted(sizes, key=lambda s: (s[0] is None, (s[0] or "").encode()))
     weight = {name: weights[i % len(weights)] for i, (name, _) in enumerate(ordered)}
-    own = dict(ordered)
-    rest, open_, target = share * sum(own.values()), list(weight), {}
-    while open_:
-        unit = rest / sum(weight[s] for s in open_)
-        full = [s for s in open_ if unit * weight[s] > cap * own[s]]
-        if not full:
-            return target | {s: unit * weight[s] for s in open_}
-        for s in full:
-            target[s] = cap * own[s]
-            rest -= target[s]
-            open_.remove(s)
+    rest, open_weight, target = share * sum(n for _, n in sizes), sum(weight.values()), {}
+    # what stops first has the fewest own words for its weight; what it leaves can only raise the others
+    for name, own in sorted(ordered, key=lambda s: s[1] / weight[s[0]]):
+        target[name] = min(cap * own, rest * weight[name] / open_weight)
+        rest -= target[name]
+        open_weight -= weight[name]
     return target
 
 
@@ -94,7 +89,9 @@ def mix_sources(
     by pivotal pairing within chunks of a source, in words rather than rows, so
     that a chunk keeps its sum; the one document a chunk leaves fractional goes
     on to the next round of a reduction tree, and the last of a source is drawn.
-    Chunks follow from ids and counts alone: a rerun gives the same copies.
+    Chunks follow from ids, texts and counts alone: a rerun gives the same copies.
+    The driver holds one row for each source, as their code point order decides the weights: sources are meant to
+    be thousands, not as many as documents.
 
     Empty and null texts have no words and are never taken.  ``row_key`` tells
     rows that share an id by their text; equal rows get copies each.  A null
@@ -110,7 +107,7 @@ def mix_sources(
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(F.col("rate") + F.lit(_TINY))
     rows = rows.join(checked_broadcast(table, len(plan)), rows["source"].eqNullSafe(table["source"])).drop(table["source"])
-    rows = rows.withColumn("rate", rate).withColumn("base", F.when(F.col("size") > 0, whole).otherwise(0)).withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("long"))
+    rows = rows.withColumn("rate", rate).withColumn("base", F.when(F.col("size") > 0, whole).otherwise(0)).withColumn("chunk", F.pmod(F.xxhash64("doc_id", "row_key"), F.col("chunks")).cast("long"))
     rows = rows.withColumn("p", F.when(F.col("size") > 0, F.greatest(F.col("rate") - F.col("base"), F.lit(0.0))).otherwise(0.0))
     columns = ["doc_id", "row_key", "source_no", "source", "size", "source_size", "target", "base", "chunk", "p"]
     schema = "doc_id long, row_key long, source_no int, source string, size long, source_size long, target double, base long, chunk long, p double"
@@ -125,7 +122,7 @@ def mix_sources(
         if chunks == 1:
             break
         chunks = -(-chunks // FAN_IN)
-    draw = F.pmod(F.xxhash64(F.lit(seed), "source_no", "doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    draw = F.pmod(F.xxhash64(F.lit(seed), "source_no", "doc_id", "row_key"), F.lit(1 << 30)) / float(1 << 30)
     done.append(left.withColumn("p", F.when(draw < F.col("p"), 1.0).otherwise(0.0)).select(columns))
     out = done[0]
     for part in done[1:]:
