@@ -7,157 +7,264 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from predio.llm.common import materialize, small_batches
+from predio.llm.common import discard, materialize, small_batches, tidy, unused
 from predio.llm.linear import Linear, Sparse, calibrate, fit, sigmoid
-from predio.llm.textkernel import NOT_SPACE, SpanHasher, spans, text_arrays
+from predio.llm.textkernel import NOT_SPACE, lowered, span_hashes, spans, text_arrays
 from predio.llm.toxicity import held_out
 
-#: Labelled rows used at most, and rows without a label from which pseudo-labels come.
-LABELLED_ROWS, POOL_ROWS = 12_000, 8_000
+#: Labelled rows used at most, and pseudo-labelled rows that a view takes from the other in a round at most.
+LABELLED_ROWS, PSEUDO_ROWS = 12_000, 2_000
 FEATURE_BITS = 16
-ROUNDS, CONFIDENT, PSEUDO_WEIGHT = 4, 0.97, 0.5
+ROUNDS, CONFIDENT, PSEUDO_WEIGHT = 3, 0.97, 0.5
+#: Labelled rows that a feature of the text must be in to take part, and how strongly weights are held near 0.
+LEAST_ROWS, SHRINKAGE = 3, 3e-3
+#: Steps of the log odds by which confident rows are counted, and the highest that are told apart.
+_ODDS_STEP, _ODDS_TOP = 1 / 64, 40.0
 
 _CLASS = np.arange(256, dtype=np.uint8)
 _CLASS[97:123] = _CLASS[128:] = ord("a")
 _CLASS[65:91] = ord("A")
 _CLASS[48:58] = ord("9")
-#: A UTF-8 lead byte of the first capitals beyond ASCII is followed by a byte that tells case; both count as small letters.
-_UPPER = np.zeros(256, bool)
-_UPPER[65:91] = True
-_DIGIT = np.zeros(256, bool)
-_DIGIT[48:58] = True
-_SYMBOL = np.zeros(256, bool)
-_SYMBOL[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in ".,;:'\"-()?"]] = True
+#: Shares of kinds of bytes that describe a text; bytes beyond ASCII count as small letters.
+_KINDS = {name: np.zeros(256, bool) for name in ("capitals", "digits", "symbols")}
+_KINDS["capitals"][65:91] = True
+_KINDS["digits"][48:58] = True
+_KINDS["symbols"][[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in ".,;:'\"-()?"]] = True
+
+
+def _bucket(name: str, value: object) -> int:
+    return zlib.crc32(f"{name}={value}".encode()) >> (32 - FEATURE_BITS)
 
 
 def text_features(texts: pa.Array) -> Iterator[np.ndarray]:
-    """Shapes of a text's tokens (runs of small letters, capitals and digits shrunk to one) and how large a share they have."""
+    """What a text says and how: its words, their shapes and how large a share these have, and its layout.
+
+    A shape is a word with runs of small letters, capitals and digits shrunk
+    to one.  The layout is length, lines, repeated and distinct words, and
+    shares of capitals, digits and symbols.
+    """
     for _, data, offsets in text_arrays(texts):
         starts, ends, counts = spans(data, offsets, NOT_SPACE)
-        words = SpanHasher(data)(starts, ends)
+        (words,) = span_hashes(lowered(data), starts, ends)
         shape = _CLASS[data]
         first = np.ones(len(data), bool)
         if len(data):
             first[1:] = shape[1:] != shape[:-1]
         first[starts] = True
-        place = np.concatenate([[0], np.cumsum(first)])
-        shapes = SpanHasher(shape[first])(place[starts], place[ends])
+        place = np.concatenate([[0], np.cumsum(first, dtype=np.int64)])
+        (shapes,) = span_hashes(shape[first], place[starts], place[ends])
         again = np.zeros(len(words), bool)
         if len(words):
             again[1:] = words[1:] == words[:-1]
-        stops = np.cumsum(counts)
-        for n, stop in zip(counts.tolist(), stops.tolist(), strict=True):
-            own = slice(stop - n, stop)
+        bounds = offsets.tolist()
+        totals = {name: np.concatenate([[0], np.cumsum(kind[data], dtype=np.int32)]).astype(np.int64)[offsets].tolist() for name, kind in _KINDS.items()}
+        breaks = np.concatenate([[0], np.cumsum(data == 10, dtype=np.int32)]).astype(np.int64)[offsets].tolist()
+        stop = 0
+        for i, n in enumerate(counts.tolist()):
+            own, stop = slice(stop, stop + n), stop + n
             kinds, times = np.unique(shapes[own], return_counts=True)
+            said = np.unique(words[own])
             share = times / max(n, 1)
-            out = [kinds, kinds[share >= 0.05] ^ np.uint64(0x5555555555555555), kinds[share >= 0.25] ^ np.uint64(0xAAAAAAAAAAAAAAAA)]
-            marks = [_bucket("repeated", int(np.ceil(10 * again[own].mean())) if n else 0), _bucket("distinct", int(10 * len(np.unique(words[own])) / n) if n else -1)]
-            yield np.unique(np.concatenate([(np.concatenate(out) >> np.uint64(64 - FEATURE_BITS)).astype(np.int32), np.array(marks, np.int32)]))
+            hashed = [said ^ np.uint64(0x3333333333333333), kinds, kinds[share >= 0.05] ^ np.uint64(0x5555555555555555), kinds[share >= 0.25] ^ np.uint64(0xAAAAAAAAAAAAAAAA)]
+            size, n_lines = bounds[i + 1] - bounds[i], breaks[i + 1] - breaks[i] + 1
+            marks = [_bucket("repeated", int(np.ceil(10 * again[own].mean())) if n else 0), _bucket("distinct", int(10 * len(said) / n) if n else -1)]
+            marks += [_bucket("length", size.bit_length()), _bucket("lines", n_lines.bit_length()), _bucket("line length", (size // n_lines).bit_length())]
+            marks += [_bucket(name, min(12, int(40 * (t[i + 1] - t[i]) / size)) if size else -1) for name, t in totals.items()]
+            yield np.unique(np.concatenate([(np.concatenate(hashed) >> np.uint64(64 - FEATURE_BITS)).astype(np.uint16), np.array(marks, np.uint16)]))
 
 
-def _bucket(name: str, value: object) -> int:
-    return zlib.crc32(f"{name}={value}".encode()) >> (32 - FEATURE_BITS)
+def metadata_columns(docs: DataFrame, names: tuple[str, ...]) -> list[Column]:
+    """The record's own columns as texts; numbers by half powers of two."""
+    numbers = {f.name for f in docs.schema.fields if isinstance(f.dataType, T.NumericType)}
+    half = lambda c: F.floor(2 * F.log2(F.abs(F.col(c).cast("double")) + 1)).cast("string")
+    return [half(c) if c in numbers else F.col(c).cast("string") for c in names if c in docs.columns]
 
 
-def metadata_features(texts: pa.Array, columns: list[tuple[str, list]]) -> Iterator[np.ndarray]:
-    """What the record and its layout tell: given columns, length, lines, and shares of capitals, digits and symbols."""
-    row = 0
-    for _, data, offsets in text_arrays(texts):
-        sums = {name: np.concatenate([[0], np.cumsum(table[data])]) for name, table in (("capitals", _UPPER), ("digits", _DIGIT), ("symbols", _SYMBOL))}
-        lines = np.concatenate([[0], np.cumsum(data == 10)])
-        for begin, end in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-            n = end - begin
-            n_lines = int(lines[end] - lines[begin]) + 1
-            out = [_bucket("length", n.bit_length()), _bucket("lines", n_lines.bit_length()), _bucket("line length", (n // n_lines).bit_length())]
-            out += [_bucket(name, min(12, int(40 * (s[end] - s[begin]) / n)) if n else -1) for name, s in sums.items()]
-            out += [_bucket(name, values[row]) for name, values in columns]
-            yield np.unique(np.array(out, np.int32))
-            row += 1
-
-
-def _views(batch: pa.RecordBatch, text: str, metadata: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    texts = batch.column(batch.schema.names.index(text))
-    given = [(name, batch.column(batch.schema.names.index(name)).to_pylist()) for name in metadata]
-    return list(text_features(texts)), list(metadata_features(texts, given))
-
-
-def co_train(a: list[np.ndarray], b: list[np.ndarray], y: np.ndarray, fold: np.ndarray, rounds: int = ROUNDS) -> tuple[Linear, Linear, float]:
-    """Two calibrated views and the share of good rows; ``y`` is NaN where unknown, ``fold`` marks rows kept for calibration.
-
-    In every round each view is fitted anew, and the unlabelled rows of which
-    it is most sure join the other view's training rows, good and bad ones in
-    the proportion of the labels.
+def metadata_features(columns: list[pa.Array]) -> Iterator[np.ndarray]:
+    """One feature for each column's value, null among them."""
+    for values in zip(*(c.to_pylist() for c in columns), strict=True):
+        yield np.unique(np.array([_bucket(f"column {i}", v) for i, v in enumerate(values)], np.uint16))
+
+
+def row_key(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", metadata: tuple[str, ...]) -> Column:
+    """Equal for rows that are equal in id, text and metadata, which are scored alike."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"), *metadata_columns(docs, metadata))
+
+
+def _views(texts: pa.Array, columns: list[pa.Array]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    return list(text_features(texts)), list(metadata_features(columns)) if columns else [np.empty(0, np.uint16)] * len(texts)
+
+
+def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        views = _views(batch.column(2), batch.columns[3:])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array([x.astype("<u2").tobytes() for x in v], pa.binary()) for v in views]], names=["doc_id", "row_key", "a", "b"])
+
+
+def features_of(docs: DataFrame, *, id_col: str, text_col: str, metadata: tuple[str, ...]) -> DataFrame:
+    """(doc_id, row_key, a, b): the features of both views of every row; ``row_key`` tells rows that share an id."""
+    kinds = metadata_columns(docs, metadata)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(docs, id_col=id_col, text_col=text_col, metadata=metadata).alias("row_key"), F.col(text_col).cast("string").alias("_text"), *[c.alias(f"_{i}") for i, c in enumerate(kinds)])
+    return rows.mapInArrow(tidy(_featured), "doc_id long, row_key long, a binary, b binary")
+
+
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(b, "<u2") for b in column.to_pylist()]
+
+
+def odds(view: list[np.ndarray], model: Linear) -> np.ndarray:
+    """Calibrated log odds of each row."""
+    return model.scale * (np.array([float(model.weight[f].sum(dtype=np.float64)) for f in view]) + model.bias) + model.shift if view else np.empty(0)
+
+
+def _levels(z: np.ndarray) -> np.ndarray:
+    return (np.minimum(np.abs(z), _ODDS_TOP) / _ODDS_STEP).astype(np.int64)
+
+
+def _tallied(models: tuple[Linear, Linear]):
+    """Counts of rows by view, class and level of confidence."""
+    least = int(_levels(np.array([np.log(CONFIDENT / (1 - CONFIDENT))]))[0])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = int(_ODDS_TOP / _ODDS_STEP) + 1
+        total = np.zeros((2, 2, size), np.int64)
+        for batch in batches:
+            for v, model in enumerate(models):
+                z = odds(_lists(batch.column(v)), model)
+                level = _levels(z)
+                for good in (0, 1):
+                    total[v, good] += np.bincount(level[(level > least) & ((z > 0) == bool(good))], minlength=size)
+        v, good, level = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (v, good, level, total[v, good, level])], names=["view", "good", "level", "n"])
+
+    return run
+
+
+def _taken(models: tuple[Linear, Linear], share: dict[tuple[int, int], tuple[int, float]]):
+    """Rows above the level of their view and class, and of those at it the given share, by a hash of the row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            views = [_lists(batch.column(v)) for v in (0, 1)]
+            draw = batch.column(2).to_numpy()
+            for v, model in enumerate(models):
+                z = odds(views[v], model)
+                level = _levels(z)
+                for good in (0, 1):
+                    if (v, good) in share:
+                        at, part = share[v, good]
+                        rows = np.flatnonzero(((z > 0) == bool(good)) & ((level > at) | ((level == at) & (draw < part))))
+                        if len(rows):
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), v)), pa.array(np.full(len(rows), float(good))), batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), batch.column(2).take(pa.array(rows))], names=["view", "label", "a", "b", "draw"])
+
+    return run
+
+
+def pseudo_labels(pool: DataFrame, models: tuple[Linear, Linear], prior: float, most: int) -> list[tuple[list[np.ndarray], list[np.ndarray], np.ndarray]]:
+    """By view, the rows of which it is most sure among all of ``pool`` (a, b, draw): their features and its labels for them.
+
+    All rows are scored and counted by level of confidence; the level that
+    leaves about ``most`` rows, good and bad ones in the proportion of
+    ``prior``, decides.
+    """
+    counted = pool.mapInArrow(tidy(_tallied(models)), "view long, good long, level long, n long").groupBy("view", "good", "level").agg(F.sum("n").alias("n")).collect()
+    share: dict[tuple[int, int], tuple[int, float]] = {}
+    for v in (0, 1):
+        for good in (0, 1):
+            left = max(1, round(most * (prior if good else 1 - prior)))
+            for level, n in sorted(((r["level"], r["n"]) for r in counted if (r["view"], r["good"]) == (v, good)), reverse=True):
+                share[v, good] = (level, min(1.0, left / n))
+                left -= n
+                if left <= 0:
+                    break
+    out = []
+    rows = pool.mapInArrow(tidy(_taken(models, share)), "view long, label double, a binary, b binary, draw double").orderBy("view", "draw", "label", "a", "b").toPandas() if share else None
+    for v in (0, 1):
+        own = rows[rows["view"] == v] if rows is not None else ()
+        out.append(([np.frombuffer(b, "<u2") for b in own["a"]], [np.frombuffer(b, "<u2") for b in own["b"]], own["label"].to_numpy()) if len(own) else ([], [], np.empty(0)))
+    return out
+
+
+def train(features: DataFrame, labels: DataFrame, *, id_col: str, label_col: str, labelled_rows: int = LABELLED_ROWS, pseudo_rows: int = PSEUDO_ROWS, rounds: int = ROUNDS) -> tuple[Linear, Linear, float]:
+    """Two calibrated views and the share of good rows.
+
+    In every round each view is fitted anew to the labelled rows and to those
+    of which the other was most sure after the round before.
     """
     size = 1 << FEATURE_BITS
-    known = ~np.isnan(y)
-    learn, check = np.flatnonzero(known & ~fold), np.flatnonzero(known & fold)
+    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.min(label_col).cast("double").alias("label"))
+    sample = materialize(known.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled_rows), "quality-labelled")
+    chosen = features.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min(F.struct("a", "b")).alias("f"))  # rows that share an id count once
+    got = chosen.select("doc_id", "label", "f.a", "f.b").orderBy(F.xxhash64("doc_id"), "doc_id").toPandas()
+    if not len(got):
+        return Linear(np.zeros(size)), Linear(np.zeros(size)), 0.5
+    views = [[np.frombuffer(b, "<u2") for b in got[v]] for v in ("a", "b")]
+    y = got["label"].to_numpy(dtype=float)
+    fold = np.array([zlib.crc32(f"fold {i}".encode()) % 5 == 0 for i in got["doc_id"]])
+    learn, check = np.flatnonzero(~fold), np.flatnonzero(fold)
     prior = float(np.clip(y[learn].mean() if len(learn) else 0.5, 0.01, 0.99))
-    pool = np.flatnonzero(~known)
-    taken: tuple[dict[int, float], dict[int, float]] = ({}, {})
-    models: list[Linear] = []
+    often = np.bincount(np.concatenate([views[0][i] for i in learn] or [np.empty(0, np.uint16)]), minlength=size) >= LEAST_ROWS
+    pool = features.join(F.broadcast(sample.select("doc_id")), "doc_id", "left_anti").select("a", "b", (F.pmod(F.xxhash64("row_key"), F.lit(1 << 30)) / float(1 << 30)).alias("draw"))
+
+    taught: list[tuple[list[np.ndarray], list[np.ndarray], np.ndarray]] = [([], [], np.empty(0)), ([], [], np.empty(0))]
+    models: tuple[Linear, ...] = ()
     for r in range(rounds):
-        models = []
-        for view, own in zip((a, b), taken, strict=True):
-            rows = np.concatenate([learn, np.array(list(own), dtype=np.int64)])
-            target = np.concatenate([y[learn], np.array(list(own.values()))])
-            weight = np.concatenate([np.ones(len(learn)), np.full(len(own), PSEUDO_WEIGHT)])
-            models.append(fit(Sparse.of([view[i] for i in rows]), target, size, l2=1e-4, steps=150, row_weight=weight))
-        if r == rounds - 1 or not len(pool):
-            break
-        batch = max(1, len(pool) // 4)
-        for view, model, other in ((a, models[0], taken[1]), (b, models[1], taken[0])):
-            open_ = np.array([i for i in pool if i not in other], dtype=np.int64)
-            if not len(open_):
-                continue
-            p = sigmoid(model.logit(Sparse.of([view[i] for i in open_])))
-            for good, share, sure in ((1.0, prior, p), (0.0, 1 - prior, 1 - p)):
-                best = np.argsort(-sure, kind="stable")[: max(1, int(batch * share))]
-                other.update({int(open_[i]): good for i in best if sure[i] >= CONFIDENT})
-    rows = check if len(check) else learn
-    for view, model in zip((a, b), models, strict=True):
-        if len(rows):
-            calibrate(model, Sparse.of([view[i] for i in rows]), y[rows])
+        models = tuple(
+            fit(
+                Sparse.of([f[often[f]] if v == 0 else f for f in [*(views[v][i] for i in learn), *taught[1 - v][v]]]), np.concatenate([y[learn], taught[1 - v][2]]), size, l2=SHRINKAGE, steps=150,
+                row_weight=np.concatenate([np.ones(len(learn)), np.full(len(taught[1 - v][2]), PSEUDO_WEIGHT)]),
+            )
+            for v in (0, 1)
+        )
+        # calibrated, so that a view that is often wrong is not sure
+        rows = check if len(check) else learn
+        for v, model in enumerate(models):
+            calibrate(model, Sparse.of([views[v][i] for i in rows]), y[rows])
+        if r + 1 < rounds:
+            taught = pseudo_labels(pool, models, prior, (r + 1) * pseudo_rows)
     return models[0], models[1], prior
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, metadata: list[str], labelled_rows: int = LABELLED_ROWS, pool_rows: int = POOL_ROWS) -> tuple[Linear, Linear, float]:
-    key = F.col(id_col).cast("long").alias("doc_id")
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(key).agg(F.min(label_col).cast("double").alias("label"))
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    taken = known.where(~held_out(F.col("doc_id"))).orderBy(*order).limit(labelled_rows)
-    pool = docs.select(key).where(F.col("doc_id").isNotNull()).join(known, "doc_id", "left_anti").distinct().orderBy(*order).limit(pool_rows).withColumn("label", F.lit(None).cast("double"))
-    wanted = taken.unionByName(pool)
-    rows = docs.select(key, F.col(text_col).cast("string").alias("_text"), *[F.col(c).cast("string").alias(f"_{i}") for i, c in enumerate(metadata)]).join(F.broadcast(wanted), "doc_id")
-    names = [f"_{i}" for i in range(len(metadata))]
+def _scored(models: tuple[Linear, Linear], prior: float, views: tuple[list[np.ndarray], list[np.ndarray]]) -> list[pa.Array]:
+    a, b = (odds(view, m) for m, view in zip(models, views, strict=True))
+    both = sigmoid(a + b - np.log(prior / (1 - prior)))
+    return [pa.array(sigmoid(a)), pa.array(sigmoid(b)), pa.array(both), pa.array((both >= 0.5).astype(np.int32))]
+
+
+SCORES = "text_score double, metadata_score double, quality_score double, quality_keep int"
+METADATA = ("lang", "source", "n_chars")
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", metadata: tuple[str, ...] = METADATA, **bounds: int) -> DataFrame:
+    """(doc_id, row_key, text_score, metadata_score, quality_score, quality_keep) of every row, as ``score_quality`` gives them; texts are read once."""
+    small_batches(docs.sparkSession)
+    features = materialize(features_of(docs, id_col=id_col, text_col=text_col, metadata=metadata), "quality-features")
+    a, b, prior = train(features, labels, id_col=id_col, label_col=label_col, **bounds)
+    shared = docs.sparkSession.sparkContext.broadcast((a, b))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = _views(batch, "_text", names)
-            column = lambda n: batch.column(batch.schema.names.index(n))
-            yield pa.RecordBatch.from_arrays([column("doc_id"), column("label"), pa.array([x.tolist() for x in a], pa.list_(pa.int32())), pa.array([x.tolist() for x in b], pa.list_(pa.int32()))], names=["doc_id", "label", "a", "b"])
-
-    got = materialize(rows.mapInArrow(run, "doc_id long, label double, a array<int>, b array<int>"), "quality-train").orderBy(*order).toPandas()
-    if not len(got) or got["label"].notna().sum() == 0:
-        empty = np.zeros(1 << FEATURE_BITS)
-        return Linear(empty), Linear(empty), 0.5
-    fold = np.array([zlib.crc32(f"fold {i}".encode()) % 5 == 0 for i in got["doc_id"]])
-    return co_train([np.asarray(r, dtype=np.int64) for r in got["a"]], [np.asarray(r, dtype=np.int64) for r in got["b"]], got["label"].to_numpy(dtype=float), fold)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *_scored(shared.value, prior, (_lists(batch.column(2)), _lists(batch.column(3))))], names=["doc_id", "row_key", *[f.split()[0] for f in SCORES.split(", ")]])
+
+    return features.mapInArrow(tidy(run), f"doc_id long, row_key long, {SCORES}")
 
 
-def score_quality(
-    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", metadata: tuple[str, ...] = ("lang", "source"), labelled_rows: int = LABELLED_ROWS, pool_rows: int = POOL_ROWS
-) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", metadata: tuple[str, ...] = METADATA, **bounds: int) -> DataFrame:
     """``docs`` with text_score, metadata_score, quality_score (0 to 1) and quality_keep (1 from 0.5 on).
 
-    A classifier of token shapes and one of record metadata and layout start
-    from at most ``labelled_rows`` labelled documents, none of them held out
-    (CRC-32 of the id divisible by 5), and teach each other on at most
-    ``pool_rows`` without a label.  Both are calibrated on a fifth of the
-    labelled rows; their log odds add up, less the prior counted twice.
+    One classifier sees the text alone (``text_features``), the other the
+    record's own columns alone (``metadata``; columns that are not there are
+    left out).  Both start from at most ``labelled_rows`` labelled documents,
+    none of them held out (CRC-32 of the id divisible by 5).  In each of
+    ``rounds`` rounds every other document is scored by both, and each takes
+    the labels of about ``pseudo_rows`` of which the other is most sure, with
+    a probability of 0.97 or more: a view that is never so sure teaches
+    nothing.  Both are calibrated on a fifth of the labelled rows; their log
+    odds add up, less the prior counted twice.
 
     Null and empty texts are scored by their metadata and empty layout.  Of an
     id's conflicting labels the lowest counts; null labels are left out;
@@ -167,22 +274,19 @@ def score_quality(
     """
     spark = docs.sparkSession
     small_batches(spark)
-    kinds = [c for c in metadata if c in docs.columns]
-    a, b, prior = train(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, metadata=kinds, labelled_rows=labelled_rows, pool_rows=pool_rows)
-    shared = spark.sparkContext.broadcast([(m.weight.astype(np.float32), m.bias, m.scale, m.shift) for m in (a, b)])
-    shift = float(np.log(prior / (1 - prior)))
-    added = [T.StructField("text_score", T.DoubleType()), T.StructField("metadata_score", T.DoubleType()), T.StructField("quality_score", T.DoubleType()), T.StructField("quality_keep", T.IntegerType())]
-    docs = docs.drop(*[f.name for f in added])
-    schema = T.StructType([*docs.schema.fields, *added])
+    features = materialize(features_of(docs, id_col=id_col, text_col=text_col, metadata=metadata), "quality-features")
+    a, b, prior = train(features, labels, id_col=id_col, label_col=label_col, **bounds)
+    discard(features)
+    shared = spark.sparkContext.broadcast((a, b))
+    added = [f.split()[0] for f in SCORES.split(", ")]
+    docs = docs.drop(*added)
+    hidden = unused(docs.columns, *[f"view {i}" for i in range(len(metadata_columns(docs, metadata)) + 1)])
+    marked = docs.select("*", F.col(text_col).cast("string").alias(hidden[0]), *[c.alias(n) for c, n in zip(metadata_columns(docs, metadata), hidden[1:], strict=True)])
+    n = len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            odds = []
-            for view, (w, bias, scale, offset) in zip(_views(batch, text_col, kinds), shared.value, strict=True):
-                z = np.array([float(w[f].sum(dtype=np.float64)) for f in view]) + bias if view else np.empty(0)
-                odds.append(scale * z + offset)
-            both = sigmoid(odds[0] + odds[1] - shift)
-            new = [pa.array(sigmoid(odds[0])), pa.array(sigmoid(odds[1])), pa.array(both), pa.array((both >= 0.5).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *[f.name for f in added]])
-
-    return docs.mapInArrow(run, schema)
+            new = _scored(shared.value, prior, _views(batch.column(n), batch.columns[n + 1 :]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *new], names=[*batch.schema.names[:n], *added])
+
+    return marked.mapInArrow(tidy(run), T.StructType([*docs.schema.fields, *T.StructType.fromDDL(SCORES).fields]))

@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from predio.llm.common import materialize
+from predio.llm.common import checked_broadcast, materialize
 from predio.llm.jaccard import jaccard_components
 from predio.llm.language import identify
 from predio.llm.linededup import remove_shared_lines
 from predio.llm.mixing import mix_sources
 from predio.llm.packing import pack
-from predio.llm.quality import score_quality
+from predio.llm.quality import quality_scores
 from predio.llm.sharding import shard_by_bytes
 from predio.llm.simhash import fingerprint_edits, near_counts, near_pairs
 from predio.llm.toxicity import held_out, toxicity
@@ -91,8 +91,10 @@ FROM sets s LEFT JOIN reach r ON r.x = s.doc_id GROUP BY s.doc_id, len(s.s)
 def op5_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     marks = materialize(fingerprint_edits(table(spark, sf_dir, "documents")), "op5")
     fp = F.conv("fingerprint", 16, -10).cast("long")
-    near = near_counts(marks.select(fp.alias("fp")), radius=3)
-    return marks.withColumn("fp", fp).join(near, "fp").drop("fp")
+    # most fingerprints are near no other: only the rest are joined, so copies of one text meet no large side
+    near = materialize(near_counts(marks.select(fp.alias("fp")), radius=3).where("n_near > 0"), "op5-near")
+    joined = marks.withColumn("fp", fp).join(checked_broadcast(near), "fp", "left")
+    return joined.select(*marks.columns, F.coalesce("n_near", F.lit(0)).alias("n_near"))
 
 
 def op5_simhash_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,7 +139,7 @@ FROM embeddings e LEFT JOIN degree d ON d.x = e.vec_id LEFT JOIN component c ON
 
 
 def op10_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    scored = quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text_score", "metadata_score", F.col("quality_score").alias("score"), F.col("quality_keep").alias("keep"))
 
 

@@ -12,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from predio.llm.common import checked_broadcast, materialize, shuffle_partitions, small_batches
-from predio.llm.textkernel import NOT_SPACE, SpanHasher, chained, lowered, spans, text_arrays
+from predio.llm.common import checked_broadcast, materialize, shuffle_partitions, small_batches, tidy
+from predio.llm.textkernel import NOT_SPACE, chained, lowered, span_hashes, spans, text_arrays
 
 #: Fingerprints of one side of a block of a crowded table entry.
 BLOCK_ROWS = 4096
@@ -29,7 +29,7 @@ def fingerprints(texts: pa.Array) -> np.ndarray:
     for first, data, offsets in text_arrays(texts):
         data = lowered(data)
         starts, ends, counts = spans(data, offsets, NOT_SPACE)
-        words = SpanHasher(data)(starts, ends)
+        words = span_hashes(data, starts, ends)[0]
         pairs = chained(words[:-1], words[1:]) if len(words) > 1 else words
         stops = np.cumsum(counts)
         for i in np.flatnonzero(counts):
@@ -115,7 +115,7 @@ def fingerprint_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     others = F.transform(F.coalesce("others", F.array().cast("array<long>")), lambda r: F.struct(r.alias("range"), F.lit(True).alias("guard")))
     dealt = rows.select("doc_id", "at", "text", F.explode(F.concat(own, others)).alias("to")).select("to.range", "to.guard", "doc_id", "text", "at")
     dealt = dealt.repartition(shuffle_partitions(spark), "range").sortWithinPartitions("range", "guard", F.desc("at"), F.xxhash64("text"))
-    return dealt.select("range", "guard", "doc_id", "text").mapInArrow(_edited, OUT)
+    return dealt.select("range", "guard", "doc_id", "text").mapInArrow(tidy(_edited), OUT)
 
 
 def block_masks(radius: int, blocks: int) -> list[int]:
@@ -213,7 +213,7 @@ def near_pairs(marks: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
     fingerprints, so copies of one fingerprint do not multiply the pairs.
     """
     _, dealt, masks = _dealt(marks, radius, blocks)
-    return dealt.mapInArrow(_near_pairs(radius, masks), "fp long, other long, distance int")
+    return dealt.mapInArrow(tidy(_near_pairs(radius, masks)), "fp long, other long, distance int")
 
 
 def near_counts(marks: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
@@ -225,5 +225,5 @@ def near_counts(marks: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame
     result has a row for each distinct fingerprint; none for an empty table.
     """
     distinct, dealt, masks = _dealt(marks, radius, blocks)
-    counts = dealt.mapInArrow(_near_counts(radius, masks), "fp long, n long").groupBy("fp").agg(F.sum("n").alias("n_near"))
+    counts = dealt.mapInArrow(tidy(_near_counts(radius, masks)), "fp long, n long").groupBy("fp").agg(F.sum("n").alias("n_near"))
     return distinct.join(counts, "fp", "left").select("fp", F.coalesce("n_near", F.lit(0)).alias("n_near"))
