@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from predio.llm.common import checked_broadcast, materialize
+from predio.llm.common import checked_broadcast, discard, join_few, materialize
 
 
 def boilerplate_lines(lines: DataFrame, min_sites: int, *, lg_k: int = 12, band: float = 0.25) -> DataFrame:
@@ -31,7 +31,7 @@ def _one_site_a_class(keyed: DataFrame, classes: DataFrame) -> DataFrame:
     texts = materialize(by_id.groupBy("same").agg(F.min(of_text).alias("class"), F.min("site").alias("low"), F.max("site").alias("high")), "line-classes")
     sites = materialize(texts.groupBy("class").agg(F.min("low").alias("one_site"), F.max("high").alias("high")).where("one_site != high").select("class", "one_site"), "class-sites")
     moved = materialize(texts.join(checked_broadcast(sites), "class").select("same", "one_site"), "text-sites")
-    return keyed.withColumn("same", same).join(checked_broadcast(moved), "same", "left").withColumn("site", F.coalesce("one_site", "site"))
+    return join_few(keyed.withColumn("same", same), moved, "same", "left").withColumn("site", F.coalesce("one_site", "site"))
 
 
 def remove_shared_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 8, counts: tuple[str, str] = ("n_lines", "n_removed"), classes: DataFrame | None = None) -> DataFrame:
@@ -62,7 +62,9 @@ def remove_shared_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     cut = lines.join(checked_broadcast(shared), ["h1", "h2"], "left_semi").select("key", "pos").distinct().groupBy("key").agg(F.collect_list("pos").alias("cut"))
     kept = F.filter("lines", lambda line, i: ~F.array_contains("cut", i))
     text = F.when(F.col("cut").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    out = keyed.join(checked_broadcast(materialize(cut, "cut-lines")), "key", "left")
+    cut = materialize(cut, "cut-lines")
+    discard(lines, shared)
+    out = join_few(keyed, cut, "key", "left", row_bytes=64 + 4 * F.size("cut"))
     return out.select(
         *[text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in names],
         F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias(counts[0]), F.coalesce(F.size("cut"), F.lit(0)).cast("long").alias(counts[1]),

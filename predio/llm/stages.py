@@ -5,20 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from predio.llm.common import checked_broadcast, materialize
+from predio.llm.common import checked_broadcast, join_few, materialize, unused
 from predio.llm.jaccard import jaccard_components
 from predio.llm.linededup import remove_shared_lines
 from predio.llm.mixing import mix_sources
-from predio.llm.quality import score_quality
+from predio.llm.quality import METADATA, quality_scores, row_key
 
 _NO_ID = -(1 << 63)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Documents that the quality classifier accepts."""
-    marked = {c: f"_own_{c}" for c in docs.columns if c.endswith(("_score", "_keep"))}
-    scored = score_quality(docs.withColumnsRenamed(marked), labels).where("quality_keep = 1")
-    return scored.select([F.col(marked.get(c, c)).alias(c) for c in docs.columns])
+    """Documents that the quality classifier accepts; the texts of the others alone can be moved."""
+    scored = quality_scores(docs, labels)
+    (key,) = unused(docs.columns, "row_key")
+    bad = materialize(scored.where("quality_keep = 0").select(F.col("row_key").alias(key)).distinct(), "rejected")
+    return join_few(docs.withColumn(key, row_key(docs, metadata=METADATA)), bad, key, "left_anti").select(docs.columns)
 
 
 def cut_shared_lines(docs: DataFrame, min_sites: int = 8, width: int = 5, percent: int = 80) -> DataFrame:
@@ -29,27 +30,36 @@ def cut_shared_lines(docs: DataFrame, min_sites: int = 8, width: int = 5, percen
     """
     groups = jaccard_components(docs, width=width, percent=percent)
     classes = materialize(groups.groupBy("doc_id").agg(F.min("component_id").alias("class")), "line-groups")
-    out = remove_shared_lines(docs, min_sites=min_sites, counts=("_lines", "_cut"), classes=classes)
+    lines, cut = unused(docs.columns, "lines", "cut")
+    out = remove_shared_lines(docs, min_sites=min_sites, counts=(lines, cut), classes=classes)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_cut") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(cut) > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(docs.columns)
 
 
 def keep_one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One document, that of the smallest id, of every group of near copies; documents without an id stay."""
+    """One document, that of the smallest id, of every group of near copies; documents without an id stay.
+
+    An id that several rows share stays with all of them if one of its rows
+    stands for a group.
+    """
     groups = jaccard_components(docs, width=width, percent=percent)
-    kept = materialize(groups.where("doc_id = component_id").select("doc_id").distinct(), "kept-ids")
-    return docs.join(checked_broadcast(kept), "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(docs.columns)
+    stays = groups.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"))
+    gone = materialize(stays.where("not stays").select(F.col("doc_id")), "dropped-ids")
+    return join_few(docs, gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def repeat_as_mixed(docs: DataFrame, **parameters) -> DataFrame:
     """Every document as often as the mix takes it, so not at all if it takes none.
 
-    Rows with one id and text are one document, taken as often as all of them are.
+    Rows with one id and text are one document, taken as often as all of them
+    are.  Beyond the size of a broadcast this moves the documents once, by id.
     """
-    mix = materialize(mix_sources(docs, **parameters).groupBy(F.coalesce("doc_id", F.lit(_NO_ID)).alias("_id"), F.col("row_key").alias("_key"), F.coalesce("source", F.lit("\u0000")).alias("_source")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")), "mix-copies")
-    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))).withColumn("_key", F.xxhash64("text")).withColumn("_source", F.coalesce(F.col("source").cast("string"), F.lit("\u0000")))
-    if not mix.where("_rows > 1").isEmpty():
-        keyed = keyed.dropDuplicates(["_id", "_key", "_source"])
-    taken = keyed.join(checked_broadcast(mix.where("_copies > 0").drop("_rows")), ["_id", "_key", "_source"])
-    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_copy")).select(docs.columns)
+    no, key, source, copies, rows = unused(docs.columns, "id", "key", "site", "copies", "rows")
+    mix = mix_sources(docs, **parameters).groupBy(F.coalesce("doc_id", F.lit(_NO_ID)).alias(no), F.col("row_key").alias(key), F.coalesce("source", F.lit("\u0000")).alias(source))
+    mix = materialize(mix.agg(F.sum("copies").alias(copies), F.count("*").alias(rows)), "mix-copies")
+    keyed = docs.withColumn(no, F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))).withColumn(key, F.xxhash64("text")).withColumn(source, F.coalesce(F.col("source").cast("string"), F.lit("\u0000")))
+    if not mix.where(F.col(rows) > 1).isEmpty():
+        keyed = keyed.dropDuplicates([no, key, source])
+    taken = keyed.join(checked_broadcast(mix.where(F.col(copies) > 0).drop(rows)), [no, key, source])
+    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies))).alias(no)).select(docs.columns)
