@@ -238,7 +238,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     # the document in which a shingle comes earliest has few rarer ones of its own: of near copies, it is nearest to their origin
     earliest = F.col("packed").bitwiseAND((1 << 28) - 1) * (1 << 16) + F.xxhash64("id").bitwiseAND((1 << 16) - 1)
-    leaders = entries.groupBy("token").agg(F.min(F.struct(earliest.alias("at"), "id")).alias("lead"), F.count("*").alias("rows")).where("rows > 1").select("token", "lead.id").withColumnRenamed("id", "lead")
+    leaders = entries.groupBy("token").agg(F.min_by("id", earliest).alias("lead"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
     shared = entries.join(leaders, "token").withColumn("n", F.shiftright("packed", 32)).withColumn("matches", F.shiftright("packed", 28).bitwiseAND(15)).withColumn("pos", F.col("packed").bitwiseAND((1 << 28) - 1))
     shared = materialize(shared.drop("packed"), "jaccard-shared")
     stars = shared.where("id != lead").groupBy(F.col("lead").alias("x"), F.col("id").alias("y")).agg(F.count("*").alias("hits"), F.first("n").alias("ny"), F.first("matches").alias("my"))
