@@ -134,7 +134,7 @@ def price_validity(spark, sf):
 D = "lower(descripcion)"
 
 
-@query("x19_text_price", f"SELECT id, try_cast(coalesce(nullif(regexp_extract({D}, '\\$\\s*us\\s*([\\d,.]+)', 1), ''), nullif(regexp_extract({D}, '([\\d,.]+)\\s*bs', 1), ''), nullif(regexp_extract({D}, 'precio[:\\s]+([\\d,.]+)', 1), '')).replace(',', '').replace('.', '') AS DOUBLE) AS precio, CASE WHEN regexp_matches({D}, '\\$|us') THEN 'USD' WHEN regexp_matches({D}, '\\bbs\\b|bolivianos') THEN 'BOB' ELSE 'USD' END AS moneda FROM crudos")
+@query("x19_text_price", f"SELECT id, try_cast(coalesce(nullif(regexp_extract({D}, '\\$\\s*us\\s*([\\d,.]+)', 1), ''), nullif(regexp_extract({D}, '([\\d,.]+)\\s*bs', 1), ''), nullif(regexp_extract({D}, 'precio[:\\s]+([\\d,.]+)', 1), '')).replace(',', '').replace('.', '') AS DOUBLE) AS precio, CASE WHEN regexp_matches({D}, '\\$\\s*us|usd|d[oó]lar') THEN 'USD' WHEN regexp_matches({D}, 'bs|boliviano') THEN 'BOB' ELSE 'USD' END AS moneda FROM crudos")
 def text_price(spark, sf):
     d = F.col("descripcion")
     return crudos(spark, sf).select("id", x.price(d).alias("precio"), x.currency(d).alias("moneda"))

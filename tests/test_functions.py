@@ -87,6 +87,61 @@ def test_extraction(spark):
     assert one(spark, "sup. 3.5x2.5", x.surface) == 8.75 and one(spark, "Bs. 550 mensuales", x.price) == 550.0 and one(spark, "400bs", x.currency) == "BOB"
 
 
+@pytest.mark.parametrize(
+    ("text", "price", "currency"),
+    [
+        ("Precio: $us 400.000.-", 400000.0, "USD"), ("$1.757.200", 1757200.0, "USD"), ("Bs. 550 mensuales", 550.0, "BOB"), ("660 Bs", 660.0, "BOB"), ("$ 500 o us$ 450", 500.0, "USD"), ("us$ 450.000", 450000.0, "USD"),
+        ("450.000us", 450000.0, "USD"), ("400bs", 400.0, "BOB"), ("5000 bolivianos", 5000.0, "BOB"), ("venta en 350000", 350000.0, "USD"), ("alquiler 500 bs, uso comercial", 500.0, "BOB"), ("busco casa 700 bs", 700.0, "BOB"),
+        ("pago en dólares", None, "USD"), ("sin datos", None, "USD"), (None, None, "USD"),
+    ],
+)
+def test_text_price_and_currency(spark, text, price, currency):
+    assert one(spark, text, x.price) == price and one(spark, text, x.currency) == currency
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("Superficie: 2.500 m2", 2500.0), ("superficie construida: 12 m", 12.0), ("1.234,5 m2", 234.5), ("superficie: 1.234,5 m2", 1234.5), ("16 m²", 16.0), ("12,5 m2", 12.5), ("sup. 3.5x2.5, terreno de 200 m", 8.75),
+        ("sup.(6.50x3.25)", 21.13), ("250 mt2", 250.0), ("lote 300m", 300.0), ("área construida 120 m", 120.0), ("nada", None), (None, None),
+    ],
+)
+def test_text_surface(spark, text, want):
+    assert one(spark, text, x.surface) == want
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("Agente: ana paz, zona sur", "Ana Paz"), ("celular: 70012345", "70012345"), ("tel: 3-456789", "3-456789"), ("Correo: a@b.bo", "A@b.bo"), ("citi inmuebles ofrece", "Citi Inmuebles"), ("propiedades urbanas srl", "Propiedades Urbanas"),
+        ("grupo sol inmobiliario", "Grupo Sol Inmobiliario"), ("informes con juan", "Juan"), ("agente: xy, contactar a luis", "Luis"), ("casa amplia", None), (None, None),
+    ],
+)
+def test_agent(spark, text, want):
+    assert one(spark, text, x.agent) == want
+
+
+def test_price_candidates_equal_a_plain_loop(spark, sf_dir):
+    import re
+
+    from predio.functions import enrichment as e
+    from predio.plans import registered
+    from predio.sources.views import crudos
+
+    got = {}
+    for r in registered()[0]["x29_price_candidates"](spark, sf_dir).collect():
+        got.setdefault(r.id, []).append((r.precio, r.texto))
+    for r in crudos(spark, sf_dir).select("id", "descripcion").collect():
+        want = []
+        for pattern in e.CANDIDATES:
+            for found in re.findall(f"(?=({pattern}))", r.descripcion.lower()):
+                digits = found[1].replace(",", "")
+                if re.fullmatch(r"\d+(\.\d*)?|\.\d+", digits) and float(digits) >= 10:
+                    want.append(float(digits))
+        mine = [p for p, _ in got.get(r.id, [])]
+        assert set(mine) <= set(want) and (bool(mine) == (r.id % 4 != 3)) and all(t in r.descripcion.lower() for _, t in got.get(r.id, []))
+
+
 def test_budget(spark):
     r = one(spark, "entre 100 y 200000 usd", c.budget)
     assert (r["min"], r["max"]) == (80000.0, 240000.0) and one(spark, "sin números", c.budget) is None
