@@ -118,9 +118,15 @@ def budget_closeness(p: Profile) -> Column:
     return F.when(F.coalesce("precio_usd", F.lit(0.0)) == 0, 0.0).otherwise(F.greatest(F.lit(0.0), 1 - F.abs(F.col("precio_usd") - middle) / middle))
 
 
-def family_fit(people: int, children: int) -> Column:
-    rooms = F.when(F.col("dormitorios") >= (people + 1) // 2, 0.3).when(F.col("dormitorios") >= 1, 0.15).otherwise(0.0)
-    baths = F.when(F.col("banos") >= 2, 0.2).when(F.col("banos") >= 1, 0.1).otherwise(0.0)
-    space = F.when(F.col("superficie") >= 25 * people, 0.3).when(F.col("superficie") > 0, 0.1).otherwise(0.0)
+def family_fit(adults: int, children: int, elders: int = 0) -> Column:
+    """Rooms, baths, surface, garage and, in a closed condominium, amenities that a family of this size finds; 0 for nobody."""
+    people = adults + children + elders
+    if not people:
+        return F.lit(0.0)
+    rooms_needed, baths_needed, space_needed = max(2 if children else 1, (people + 1) // 2), max(1.0, people / 3), 25.0 * people
+    part = lambda c, needed, weight, least: F.when(F.col(c) >= needed, weight).otherwise(F.greatest(F.lit(least), F.col(c) / F.lit(needed) * weight))
+    rooms = F.when(F.col("dormitorios") > 0, part("dormitorios", rooms_needed, 0.4, 0.1)).otherwise(0.0)
+    space = F.when(F.col("superficie") > 0, part("superficie", space_needed, 0.2, 0.05)).otherwise(0.0)
     garage = F.when(F.col("garajes") > 0, 0.1).otherwise(0.0)
-    return cap(rooms + baths + space + garage + F.when((F.lit(children) == 0) | (F.col("superficie") >= 120), 0.1).otherwise(0.0))
+    amenities = F.when(F.coalesce("condominio", F.lit(False)), F.when(F.col("n_amenidades") >= 3, 0.05).when(F.col("n_amenidades") >= 1, 0.03).otherwise(0.0)).otherwise(0.0)
+    return cap(rooms + part("banos", baths_needed, 0.25, 0.05) + space + garage + amenities)

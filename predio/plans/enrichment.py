@@ -27,17 +27,21 @@ def candidates(spark, sf):
     return crudos(spark, sf).select("id", F.explode(e.price_candidates("descripcion")).alias("c")).select("id", "c.*")
 
 
-@query("x31_price_correction", "SELECT id, format('{:,.2f}', CAST(trunc(o_totalprice) AS DOUBLE)) || ' USD' AS corregido FROM crudos JOIN orders ON o_orderkey = id WHERE id % 4 = 0")
-def correction(spark, sf):
-    return corrected(crudos(spark, sf).where("id % 4 = 0"))
+X31 = """SELECT id, CASE CAST(id % 4 AS INTEGER) WHEN 0 THEN format('{:,.2f}', p::DOUBLE) || ' USD' WHEN 1 THEN format('{:,.2f}', (p % 9000 + 500)::DOUBLE) || ' BOB'
+  WHEN 2 THEN format('{:,.2f}', p::DOUBLE) || CASE WHEN p > 10000 THEN ' USD' ELSE ' BOB' END END AS corregido FROM (SELECT id, CAST(trunc(o_totalprice) AS BIGINT) AS p FROM crudos JOIN orders ON o_orderkey = id)"""
 
 
-@query("x31_price_correction_all")
-def correction_all(spark, sf):
+@query("x31_price_correction", X31)
+def correction(spark, sf):
     """Every listing, null where its text has no price."""
     return corrected(crudos(spark, sf))
 
 
+@query("x31_price_correction_all", X31)
+def correction_all(spark, sf):
+    return correction(spark, sf)
+
+
 def corrected(rows):
     rows = rows.select("id", e.best_price(e.price_candidates("descripcion")).alias("b"))
     return rows.select("id", e.corrected_price(F.col("b")).alias("corregido"))

@@ -21,20 +21,36 @@ def totals(spark, sf):
     return monitor.provider_totals(metricas(spark, sf))
 
 
-@query("m03_hourly_window", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hora, count(*) AS n, round(avg(duracion), 4) AS duracion, count(*) FILTER (WHERE estado = 'error') AS errores FROM metricas GROUP BY 1")
+@query("m03_hourly_window", "SELECT strftime(h, '%Y-%m-%d %H:%M:%S') AS hora, n, duracion, exitos, errores, round(n / greatest(1.0::DOUBLE, (3600 - date_diff('second', h, date_trunc('second', desde))) / 60.0::DOUBLE), 4) AS por_minuto FROM (SELECT date_trunc('hour', ts) AS h, count(*) AS n, round(avg(duracion), 4) AS duracion, count(*) FILTER (WHERE estado = 'exito') AS exitos, count(*) FILTER (WHERE estado = 'error') AS errores, min(ts) AS desde FROM metricas GROUP BY 1)")
 def hourly(spark, sf):
-    return monitor.hourly(metricas(spark, sf)).select(F.date_format("hora", "yyyy-MM-dd HH:mm:ss").alias("hora"), "n", "duracion", "errores")
+    return monitor.hourly(metricas(spark, sf)).withColumn("hora", F.date_format("hora", "yyyy-MM-dd HH:mm:ss"))
 
 
-@query("m04_alerts", "w AS (SELECT event_id, proveedor, duracion, count(*) OVER v AS n, 100.0 * count(*) FILTER (WHERE estado = 'exito') OVER v / count(*) OVER v AS tasa FROM metricas WINDOW v AS (PARTITION BY proveedor ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) SELECT event_id, 'tasa' AS alerta FROM w WHERE n >= 10 AND tasa < 90 UNION ALL SELECT event_id, 'duracion' FROM w WHERE duracion > 30")
+ALERTS = """w AS (SELECT event_id, ts, proveedor, duracion, count(*) OVER v AS n, 100.0 * count(*) FILTER (WHERE estado = 'exito') OVER v / count(*) OVER v AS tasa, sum(tokens) OVER v AS gasto FROM metricas WINDOW v AS (PARTITION BY proveedor ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+avisos AS (SELECT event_id, ts, proveedor, 'tasa' AS alerta, 'ALTO' AS nivel FROM w WHERE n >= 10 AND tasa < 90 UNION ALL SELECT event_id, ts, proveedor, 'duracion', 'MEDIO' FROM w WHERE duracion > 30 UNION ALL SELECT event_id, ts, proveedor, 'costo', 'ALTO' FROM w WHERE gasto > 5000)"""
+
+
+@query("m04_alerts", f"{ALERTS} SELECT event_id, alerta FROM avisos")
 def alerts(spark, sf):
     return monitor.alerts(metricas(spark, sf))
 
 
-@query("m05_periodic_report", "h AS (SELECT proveedor, CAST(hour(ts) AS INTEGER) AS hora, count(*) AS n FROM metricas GROUP BY 1, 2) SELECT proveedor, CAST(sum(n) AS BIGINT) AS n, arg_max(hora, n * 100 - hora) AS hora_pico FROM h GROUP BY proveedor")
+@query("m04_active_alerts", f"{ALERTS} SELECT event_id, proveedor, alerta, nivel FROM avisos WHERE ts > (SELECT max(ts) FROM metricas) - INTERVAL 24 HOUR")
+def active(spark, sf):
+    return monitor.active_alerts(metricas(spark, sf)).drop("ts")
+
+
+STATE = "CASE WHEN exito >= 95 AND graves = 0 THEN 'EXCELENTE' WHEN exito >= 90 AND graves <= 2 THEN 'BUENO' WHEN exito >= 80 AND graves <= 5 THEN 'ACEPTABLE' ELSE 'REQUIERE_ATENCION' END AS estado"
+
+
+@query("m05_periodic_report", f"{ALERTS}, h AS (SELECT proveedor, CAST(hour(ts) AS INTEGER) AS hora, count(*) AS n FROM metricas GROUP BY 1, 2), p AS (SELECT proveedor, CAST(sum(n) AS BIGINT) AS n, arg_max(hora, n * 100 - hora) AS hora_pico FROM h GROUP BY proveedor), t AS (SELECT proveedor, 100.0::DOUBLE * count(*) FILTER (WHERE estado = 'exito') / count(*) AS exito FROM metricas GROUP BY proveedor), a AS (SELECT proveedor, count(*) AS alertas, count(*) FILTER (WHERE nivel = 'ALTO') AS graves FROM avisos GROUP BY proveedor) SELECT proveedor, n, hora_pico, round(exito, 4) AS exito, alertas, graves, {STATE} FROM (SELECT proveedor, n, hora_pico, exito, coalesce(alertas, 0) AS alertas, coalesce(graves, 0) AS graves FROM p JOIN t USING (proveedor) LEFT JOIN a USING (proveedor))")
 def report(spark, sf):
-    h = metricas(spark, sf).groupBy("proveedor", F.hour("ts").alias("hora")).agg(F.count("*").alias("n"))
-    return h.groupBy("proveedor").agg(F.sum("n").alias("n"), F.max_by("hora", F.col("n") * 100 - F.col("hora")).alias("hora_pico"))
+    m = metricas(spark, sf)
+    h = m.groupBy("proveedor", F.hour("ts").alias("hora")).agg(F.count("*").alias("n"), F.count_if(F.col("estado") == "exito").alias("bien"))
+    p = h.groupBy("proveedor").agg(F.sum("n").alias("n"), F.max_by("hora", F.col("n") * 100 - F.col("hora")).alias("hora_pico"), (100.0 * F.sum("bien") / F.sum("n")).alias("exito"))
+    a = monitor.alerts_in_full(m).groupBy("proveedor").agg(F.count("*").alias("alertas"), F.count_if(F.col("nivel") == "ALTO").alias("graves"))
+    rows = p.join(a, "proveedor", "left").na.fill(0, ["alertas", "graves"])
+    return rows.select("proveedor", "n", "hora_pico", F.round("exito", 4).alias("exito"), "alertas", "graves", monitor.system_state(F.col("exito"), F.col("graves")).alias("estado"))
 
 
 @query("m06_minute_load", "SELECT strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M:%S') AS minuto, count(*) AS n, CASE WHEN count(*) < 5 THEN 'LENTO' WHEN count(*) > 100 THEN 'SOBRECARGA' ELSE 'NORMAL' END AS estado FROM metricas GROUP BY 1")

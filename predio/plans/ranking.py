@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from predio.operators.upsert import keep_first, keep_last, insert_ignore, upsert
 from predio.plans.registry import haversine, query
 from predio.sources.views import agentes, metricas, propiedades, servicios
+from predio.streaming import monitor
 
 def precio():
     return F.col("precio_usd")
@@ -99,15 +100,13 @@ RUNNING = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 
 @query("w06_running_success", f"SELECT event_id, proveedor, n, round(tasa, 6) AS tasa FROM (SELECT event_id, proveedor, count(*) OVER w AS n, 100.0 * count(*) FILTER (WHERE estado = 'exito') OVER w / count(*) OVER w AS tasa FROM metricas WINDOW w AS (PARTITION BY proveedor ORDER BY ts, event_id {RUNNING})) WHERE n >= 10 AND tasa < 90")
 def running(spark, sf):
-    w = Window.partitionBy("proveedor").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    m = metricas(spark, sf).withColumn("n", F.count("*").over(w)).withColumn("tasa", 100.0 * F.sum(F.when(F.col("estado") == "exito", 1).otherwise(0)).over(w) / F.col("n"))
-    return m.where("n >= 10 and tasa < 90").select("event_id", "proveedor", "n", F.round("tasa", 6).alias("tasa"))
+    m = monitor.running(metricas(spark, sf), n=F.lit(1), bien=F.when(F.col("estado") == "exito", 1).otherwise(0)).withColumn("tasa", 100.0 * F.col("bien") / F.col("n"))
+    return m.where("n >= 10 and tasa < 90").select("event_id", "proveedor", F.col("n").cast("long").alias("n"), F.round("tasa", 6).alias("tasa"))
 
 
 @query("w07_running_cost", f"SELECT proveedor, min(event_id) FILTER (WHERE alcanzado) AS primera, count(*) FILTER (WHERE alcanzado) AS n FROM (SELECT proveedor, event_id, sum(tokens) OVER (PARTITION BY proveedor ORDER BY ts, event_id {RUNNING}) > 5000 AS alcanzado FROM metricas) GROUP BY proveedor")
 def cost(spark, sf):
-    w = Window.partitionBy("proveedor").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    m = metricas(spark, sf).withColumn("alcanzado", F.coalesce(F.sum("tokens").over(w) > 5000, F.lit(False)))
+    m = monitor.running(metricas(spark, sf), gasto=F.col("tokens")).withColumn("alcanzado", F.col("gasto") > 5000)
     return m.groupBy("proveedor").agg(F.min(F.when(F.col("alcanzado"), F.col("event_id"))).alias("primera"), F.count_if("alcanzado").alias("n"))
 
 
@@ -131,6 +130,14 @@ def merged(spark, sf):
     return upsert(target, source, ["nombre"], "id", preserve=("telefono",))
 
 
+@query("p03_stamped_upsert", f"{DELIVERY} SELECT id, nombre, CAST(NULL AS VARCHAR) AS actualizado FROM destino WHERE nombre NOT IN (SELECT nombre FROM ultimas) UNION ALL SELECT id, nombre, '2025-01-01 00:00:00' FROM ultimas UNION ALL SELECT id, nombre, '2025-01-01 00:00:00' FROM fuente WHERE nombre IS NULL")
+def stamped(spark, sf):
+    target, source = deliveries(spark, sf)
+    now = F.lit("2025-01-01 00:00:00").cast("timestamp")
+    rows = upsert(target, source, ["nombre"], "id", preserve=("telefono",), stamp=("actualizado", now))
+    return rows.select("id", "nombre", F.date_format("actualizado", "yyyy-MM-dd HH:mm:ss").alias("actualizado"))
+
+
 @query("s11_insert_ignore", f"{DELIVERY} SELECT * FROM destino UNION ALL SELECT * FROM primeras WHERE nombre NOT IN (SELECT nombre FROM destino) UNION ALL SELECT * FROM fuente WHERE nombre IS NULL")
 def ignored(spark, sf):
     target, source = deliveries(spark, sf)

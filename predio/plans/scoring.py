@@ -72,9 +72,15 @@ def closeness(spark, sf):
     return propiedades(spark, sf).select("id", F.round(rec.budget_closeness(PROFILE), 4).alias("cercania"))
 
 
-@query("r09_family_fit", "SELECT id, round(CASE WHEN dormitorios >= 2 THEN 0.3 WHEN dormitorios >= 1 THEN 0.15 ELSE 0 END::DOUBLE + CASE WHEN banos >= 2 THEN 0.2 WHEN banos >= 1 THEN 0.1 ELSE 0 END::DOUBLE + CASE WHEN superficie >= 100 THEN 0.3 WHEN superficie > 0 THEN 0.1 ELSE 0 END::DOUBLE + CASE WHEN garajes > 0 THEN 0.1 ELSE 0 END::DOUBLE + CASE WHEN superficie >= 120 THEN 0.1 ELSE 0 END::DOUBLE, 4) AS ajuste FROM propiedades")
+R09 = """SELECT id, round(least(1.0, CASE WHEN dormitorios >= 2 THEN 0.4 WHEN dormitorios > 0 THEN greatest(0.1, dormitorios / 2.0 * 0.4) ELSE 0 END::DOUBLE
+  + CASE WHEN banos >= 4 / 3.0 THEN 0.25 ELSE greatest(0.05, banos / (4 / 3.0) * 0.25) END::DOUBLE + CASE WHEN superficie >= 100 THEN 0.2 WHEN superficie > 0 THEN greatest(0.05, superficie / 100 * 0.2) ELSE 0 END::DOUBLE
+  + CASE WHEN garajes > 0 THEN 0.1 ELSE 0 END::DOUBLE + CASE WHEN id % 4 <> 0 THEN 0 WHEN id % 5 >= 3 THEN 0.05 WHEN id % 5 >= 1 THEN 0.03 ELSE 0 END::DOUBLE), 4) AS ajuste FROM propiedades"""
+
+
+@query("r09_family_fit", R09)
 def fit(spark, sf):
-    return propiedades(spark, sf).select("id", F.round(rec.family_fit(4, 2), 4).alias("ajuste"))
+    rows = propiedades(spark, sf).withColumn("condominio", F.col("id") % 4 == 0).withColumn("n_amenidades", F.col("id") % 5)
+    return rows.select("id", F.round(rec.family_fit(2, 2), 4).alias("ajuste"))
 
 
 @query("x37_needs", "SELECT id, CASE CAST(id % 4 AS INTEGER) WHEN 0 THEN 'educacion,salud' WHEN 1 THEN 'abastecimiento,transporte' WHEN 2 THEN 'deporte,otros' ELSE 'educacion,salud,transporte' END AS categorias FROM agentes")
@@ -134,12 +140,12 @@ def answers(spark, sf):
     return out
 
 
-MESSAGE = "mensajes AS (SELECT conv_id, turn, role, lower(text) || CASE CAST(turn % 5 AS INTEGER) WHEN 0 THEN ' busco una casa' WHEN 1 THEN ' precio del mercado' WHEN 2 THEN ' quiero saber' WHEN 3 THEN ' de política' ELSE '' END AS q FROM conversations)"
+MESSAGE = "mensajes AS (SELECT conv_id, turn, role, lower(text) || CASE CAST(turn % 5 AS INTEGER) WHEN 0 THEN ' busco una casa' WHEN 1 THEN ' precio del mercado' WHEN 2 THEN ' quiero saber' WHEN 3 THEN ' de política' ELSE ' en otra zona' END AS q FROM conversations)"
 
 
 def messages(spark, sf):
     t = F.col("turn") % 5
-    tail = F.when(t == 0, " busco una casa").when(t == 1, " precio del mercado").when(t == 2, " quiero saber").when(t == 3, " de política").otherwise("")
+    tail = F.when(t == 0, " busco una casa").when(t == 1, " precio del mercado").when(t == 2, " quiero saber").when(t == 3, " de política").otherwise(" en otra zona")
     return table(spark, sf, "conversations").select("conv_id", "turn", "role", F.concat(F.lower("text"), tail).alias("q"))
 
 
@@ -152,10 +158,9 @@ def intents(spark, sf):
     return messages(spark, sf).select("conv_id", "turn", router.intent(F.col("q")).alias("intencion"))
 
 
-@query("r17_guard", f"{MESSAGE} SELECT conv_id, turn, CASE WHEN {_has(router.FORBIDDEN)} THEN 'tema' ELSE 'ok' END AS guardia FROM mensajes WHERE NOT regexp_matches(q, 'zona|barrio|sector')")
+@query("r17_guard", f"{MESSAGE} SELECT conv_id, turn, CASE WHEN {_has(router.FORBIDDEN)} THEN 'tema' WHEN ({_has(router.PLACE_WORDS)}) AND NOT ({_has(router.ALLOWED_ZONES)}) THEN 'zona' ELSE 'ok' END AS guardia FROM mensajes")
 def guards(spark, sf):
-    rows = messages(spark, sf).where(~F.col("q").rlike("zona|barrio|sector"))
-    return rows.select("conv_id", "turn", router.guard(F.col("q")).alias("guardia"))
+    return messages(spark, sf).select("conv_id", "turn", router.guard(F.col("q")).alias("guardia"))
 
 
 @query("f06_zone_counts", "SELECT zona, count(*) AS n FROM propiedades WHERE contains(lower(zona), 'nation_1') OR contains('nation_1', lower(zona)) GROUP BY zona")

@@ -21,41 +21,95 @@ def provider_totals(metrics: DataFrame) -> DataFrame:
 
 
 def hourly(metrics: DataFrame, late: str = "2 hours") -> DataFrame:
-    """Counts, mean duration and errors by hour; over a stream, rows later than ``late`` are left out."""
+    """Counts, mean duration, states and runs a minute by hour; over a stream, rows later than ``late`` are left out.
+
+    Runs a minute count from an hour's first run to its end, a minute at least.
+    """
     source = metrics.withWatermark("ts", late) if metrics.isStreaming else metrics
-    by_hour = source.groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"), F.round(F.avg("duracion"), 4).alias("duracion"), F.count_if(F.col("estado") == "error").alias("errores"))
-    return by_hour.select(F.col("w.start").alias("hora"), "n", "duracion", "errores")
+    state = lambda s: F.count_if(F.col("estado") == s)
+    by_hour = source.groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"), F.round(F.avg("duracion"), 4).alias("duracion"), state("exito").alias("exitos"), state("error").alias("errores"), F.min("ts").alias("desde"))
+    minutes = F.greatest(F.lit(1.0), (F.unix_timestamp("w.end") - F.unix_timestamp(F.date_trunc("second", "desde"))) / 60.0)
+    return by_hour.select(F.col("w.start").alias("hora"), "n", "duracion", "exitos", "errores", F.round(F.col("n") / minutes, 4).alias("por_minuto"))
+
+
+def running(metrics: DataFrame, **sums: Column) -> DataFrame:
+    """``metrics`` with running sums of each provider, by time and event.
+
+    Hours are summed first and added up in turn, which takes a row for each
+    provider and hour; rows are then run through within their hour alone, so
+    that no task holds a whole provider.
+    """
+    hour, who = F.coalesce(F.date_trunc("hour", "ts"), F.lit("0001-01-01").cast("timestamp")), F.coalesce(F.col("proveedor").cast("string"), F.lit(""))
+    rows = metrics.withColumns({"_hora": hour, "_quien": who, **{f"_{k}": v for k, v in sums.items()}})
+    earlier = Window.partitionBy("_quien").orderBy("_hora").rowsBetween(Window.unboundedPreceding, -1)
+    hours = rows.groupBy("_quien", "_hora").agg(*[F.sum(f"_{k}").alias(f"_en_{k}") for k in sums])
+    before = hours.select("_quien", "_hora", *[F.coalesce(F.sum(f"_en_{k}").over(earlier), F.lit(0)).alias(f"_antes_{k}") for k in sums])
+    within = Window.partitionBy("_quien", "_hora").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    joined = rows.join(before, ["_quien", "_hora"])
+    return joined.select(*metrics.columns, *[(F.col(f"_antes_{k}") + F.coalesce(F.sum(f"_{k}").over(within), F.lit(0))).alias(k) for k in sums])
+
+
+#: Kinds of alerts and how grave they are.
+LEVELS = {"tasa": "ALTO", "duracion": "MEDIO", "costo": "ALTO"}
+
 
+def alerts_in_full(metrics: DataFrame, min_rate: float = 90, min_events: int = 10, max_seconds: float = 30, max_cost: float = 50, token_cost: float = 0.01) -> DataFrame:
+    """(event_id, ts, proveedor, alerta, nivel): a provider's running success rate too low, a run too long, a provider's running cost too high."""
+    one = F.lit(1)
+    rows = running(metrics, _n=one, _bien=F.when(F.col("estado") == "exito", 1).otherwise(0), _gasto=F.col("tokens"))
+    found = F.array_compact(
+        F.array(
+            F.when((F.col("_n") >= min_events) & (100.0 * F.col("_bien") / F.col("_n") < min_rate), "tasa"), F.when(F.col("duracion") > max_seconds, "duracion"),
+            F.when(F.col("_gasto") * token_cost > max_cost, "costo"),
+        )
+    )
+    level = F.create_map(*[F.lit(v) for pair in LEVELS.items() for v in pair])
+    return rows.select("event_id", "ts", "proveedor", F.explode(found).alias("alerta")).withColumn("nivel", level[F.col("alerta")])
 
-def alerts(metrics: DataFrame, min_rate: float = 90, min_events: int = 10, max_seconds: float = 30) -> DataFrame:
-    """(event_id, alerta): a provider's running success rate too low, or a run too long."""
-    w = Window.partitionBy("proveedor").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    rate = 100.0 * F.sum(F.when(F.col("estado") == "exito", 1).otherwise(0)).over(w) / F.count("*").over(w)
-    rows = metrics.select("event_id", "duracion", F.count("*").over(w).alias("n"), rate.alias("tasa"))
-    found = F.array_compact(F.array(F.when((F.col("n") >= min_events) & (F.col("tasa") < min_rate), "tasa"), F.when(F.col("duracion") > max_seconds, "duracion")))
-    return rows.select("event_id", F.explode(found).alias("alerta"))
+
+def alerts(metrics: DataFrame, **limits: float) -> DataFrame:
+    """(event_id, alerta) of ``alerts_in_full``."""
+    return alerts_in_full(metrics, **limits).select("event_id", "alerta")
+
+
+def active_alerts(metrics: DataFrame, hours: int = 24, **limits: float) -> DataFrame:
+    """Alerts of the last ``hours`` before the latest run."""
+    last = metrics.agg(F.max("ts").alias("ultima"))
+    return alerts_in_full(metrics, **limits).join(F.broadcast(last)).where(F.col("ts") > F.col("ultima") - F.expr(f"INTERVAL {hours} HOURS")).drop("ultima")  # one row
+
+
+def system_state(rate: Column, grave: Column) -> Column:
+    """By success rate and number of grave alerts."""
+    return F.when((rate >= 95) & (grave == 0), "EXCELENTE").when((rate >= 90) & (grave <= 2), "BUENO").when((rate >= 80) & (grave <= 5), "ACEPTABLE").otherwise("REQUIERE_ATENCION")
 
 
 def _alert_state(key, frames, state):
-    """Running success of one provider over the micro-batches."""
+    """Running success and cost of one provider over the micro-batches."""
     import pandas as pd
 
-    n, good = state.get if state.exists else (0, 0)
+    n, good, spent = state.get if state.exists else (0, 0, 0)
     rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
     out = []
     for r in rows.itertuples():
-        n, good = n + 1, good + (r.estado == "exito")
+        n, good, spent = n + 1, good + (r.estado == "exito"), spent + (0 if pd.isna(r.tokens) else int(r.tokens))
         if n >= 10 and 100 * good / n < 90:
             out.append((r.event_id, "tasa"))
         if r.duracion > 30:
             out.append((r.event_id, "duracion"))
-    state.update((n, int(good)))
+        if spent * 0.01 > 50:
+            out.append((r.event_id, "costo"))
+    state.update((n, int(good), spent))
     yield pd.DataFrame(out, columns=["event_id", "alerta"])
 
 
 def streamed_alerts(metrics: DataFrame) -> DataFrame:
-    """``alerts`` with the running counts of each provider kept as state."""
-    return metrics.groupBy("proveedor").applyInPandasWithState(_alert_state, "event_id long, alerta string", "n long, good long", "append", "NoTimeout")
+    """``alerts`` with the running counts of each provider kept as state.
+
+    Runs are taken in the order of their time within a micro-batch, and
+    micro-batches in the order in which they come: a run that comes late counts
+    when it comes.  State is one row a provider and is kept for good.
+    """
+    return metrics.groupBy("proveedor").applyInPandasWithState(_alert_state, "event_id long, alerta string", "n long, good long, spent long", "append", "NoTimeout")
 
 
 def error_kind(text: Column) -> Column:

@@ -147,6 +147,30 @@ def test_sinks_round_trip(spark, tmp_path):
     assert io.read_files(spark, str(tmp_path / "b")).select("archivo").distinct().count() >= 1
 
 
+def test_tab_output_folds_lines_into_the_last_field(spark, tmp_path):
+    (tmp_path / "out.txt").write_text("1\tana\tuna línea\n2\tluis\tdos líneas\nla segunda\n\n3\tmar\tfin\n")
+    rows = sorted(map(tuple, io.read_tab_output(spark, str(tmp_path / "out.txt"), ["id", "nombre", "nota"]).collect()))
+    assert rows == [("1", "ana", "una línea"), ("2", "luis", "dos líneas\nla segunda"), ("3", "mar", "fin")]
+    (tmp_path / "none.txt").write_text("")
+    assert io.read_tab_output(spark, str(tmp_path / "none.txt"), ["id"]).count() == 0
+
+
+def test_delimited_files_and_catalog(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,t\n1,"dos\nlíneas"\n2,x\n')
+    assert sorted(r.id for r in io.read_delimited(spark, str(tmp_path / "a.csv"), "id int, t string").collect()) == [1, 2]
+    spark.range(3).createOrReplaceTempView("vista_catalogo")
+    assert io.missing_tables(spark, ["vista_catalogo", "otra"]) == ["otra"]
+    rows = [tuple(r) for r in io.catalog_report(spark, ["vista_catalogo", "otra"], ["upper", "no_hay"]).collect()]
+    assert rows == [("tabla", "vista_catalogo", True, 3), ("tabla", "otra", False, None), ("funcion", "upper", True, None), ("funcion", "no_hay", False, None)]
+
+
+def test_family_fit_by_hand(spark):
+    rows = spark.createDataFrame([(2, 1, 50.0, 1, True, 2), (0, 2, 0.0, 0, False, 9), (3, 2, 100.0, 0, True, 3)], "dormitorios int, banos int, superficie double, garajes int, condominio boolean, n_amenidades int")
+    got = [round(r[0], 4) for r in rows.select(recommend.family_fit(2, 2)).collect()]
+    assert got == pytest.approx([0.4 + 0.1875 + 0.1 + 0.1 + 0.03, 0.25, 0.4 + 0.25 + 0.2 + 0.05])
+    assert rows.select(recommend.family_fit(0, 0)).first()[0] == 0.0
+
+
 def test_columns(spark):
     df = spark.createDataFrame([(None, 1.0, -17.0, 3, 2)], "`Precio USD` double, Price double, Latitude double, Dormitorios int, Bathrooms int")
     assert io.standardise(df).columns == ["precio", "latitud", "habitaciones", "banos"] and io.standardise(df).first().precio == 1.0
