@@ -5,17 +5,29 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_LOCAL: dict[str, str] = {}
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """The shared checkpoint folder; a temporary one of this application only where the master is local."""
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir")
+    if base:
+        return base.rstrip("/")
+    if context.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _LOCAL.setdefault(context.applicationId, f"file://{tempfile.mkdtemp(prefix='predio-')}")
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared checkpoint folder (a temporary one where none is set) and read back."""
-    spark = df.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}/predio-scratch"
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """``df`` written to the scratch folder and read back."""
+    path = f"{scratch_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def groups(pairs: DataFrame) -> DataFrame:

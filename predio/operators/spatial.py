@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from predio.operators.graph import written
+
 from predio.functions.geo import haversine_km
 
 #: Kilometres of a degree of latitude, a little short, so that a cell is never smaller than the radius.
@@ -55,7 +57,8 @@ def nearest(left: DataFrame, right: DataFrame, k: int, start_km: float, *, right
     """The ``k`` rows of ``right`` nearest to every row of ``left``, with their rank.
 
     Radii double until every row has ``k`` within one; rows already served
-    leave after each round, so a round costs what it still has to find.
+    leave after each round, so a round costs what it still has to find.  Each
+    round is written, so that the next does not run it again.
     """
     from pyspark.sql import Window
 
@@ -66,9 +69,9 @@ def nearest(left: DataFrame, right: DataFrame, k: int, start_km: float, *, right
         rank = F.row_number().over(Window.partitionBy(key).orderBy("km", tie))
         found = found.withColumn("rank", rank).where(F.col("rank") <= want)
         served = found.where(F.col("rank") == want).select(key)
-        done = found.join(served, key, "left_semi")
+        done = written(found.join(served, key, "left_semi"), "nearest")
         out = done if out is None else out.unionByName(done)
-        open_ = open_.join(served, key, "left_anti")
+        open_ = written(open_.join(done.select(key).distinct(), key, "left_anti"), "not-served")
         if open_.isEmpty():
             break
         km *= 2

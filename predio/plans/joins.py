@@ -81,9 +81,13 @@ COUNTS = ", ".join(f"count(*) FILTER (WHERE categoria = '{c}' AND km <= {r}) AS
 
 @query("j11_lateral_counts", f"{PAIRS}, n AS (SELECT id, {COUNTS} FROM pares GROUP BY id) SELECT p.id, coalesce(educacion, 0) AS educacion, coalesce(salud, 0) AS salud, coalesce(comercio, 0) AS comercio, coalesce(transporte, 0) AS transporte FROM propiedades p LEFT JOIN n USING (id)")
 def lateral(spark, sf):
-    kinds = (("educacion", 0.5), ("salud", 1.0), ("comercio", 0.5), ("transporte", 0.3))
-    n = pairs(spark, sf).groupBy("id").agg(*[F.count_if((F.col("categoria") == c) & (F.col("km") <= r)).alias(c) for c, r in kinds])
-    return propiedades(spark, sf).select("id").join(n, "id", "left").na.fill(0)
+    radii = {0.3: ["transporte"], 0.5: ["educacion", "comercio"], 1.0: ["salud"]}
+    p, near = propiedades(spark, sf).select("id", "lat", "lng"), None
+    for km, kinds in radii.items():  # every category by its own radius, so that no pair is made to be dropped
+        found = radius_join(p, servicios(spark, sf).where(F.col("categoria").isin(kinds)), km, right_columns={"categoria": "categoria"}).select("id", "categoria")
+        near = found if near is None else near.unionByName(found)
+    n = near.groupBy("id").agg(*[F.count_if(F.col("categoria") == c).alias(c) for c in ("educacion", "salud", "comercio", "transporte")])
+    return p.select("id").join(n, "id", "left").na.fill(0)
 
 
 @query("j12_scalar_subquery", "SELECT zona, count(*) AS n, (SELECT count(*) FROM nation x JOIN customer ON c_nationkey = n_nationkey WHERE x.n_name = p.zona) AS agentes_zona FROM propiedades p GROUP BY zona")

@@ -37,6 +37,24 @@ def read_delimited(spark: SparkSession, path: str, schema: str, sep: str = ",")
     return spark.read.csv(path, schema=schema, header=True, sep=sep, multiLine=True)
 
 
+def read_tab_output(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
+    """Records of tab-separated query output, one file read whole for each row of files; all columns are texts.
+
+    A record has as many fields as the first line; a line with another number
+    is more of the last field of the record before it.
+    """
+    files = spark.read.text(path, wholetext=True).select(F.filter(F.split(F.trim("value"), "\n"), lambda line: F.trim(line) != "").alias("lines"))
+    width = F.size(F.split(F.get("lines", F.lit(0)), "\t"))
+    whole = lambda line: F.size(F.split(line, "\t")) == width
+    starts = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: whole(F.get("lines", i)))
+    at = files.where(F.size("lines") > 0).select("lines", F.posexplode(starts).alias("k", "start"), starts.alias("starts"))
+    stop = F.coalesce(F.get("starts", F.col("k") + 1), F.size("lines"))
+    more = F.transform(F.slice("lines", F.col("start") + 2, stop - F.col("start") - 1), lambda line: F.trim(line))
+    fields = F.transform(F.split(F.get("lines", "start"), "\t"), lambda v: F.trim(v))
+    rows = at.select(fields.alias("f"), more.alias("more"))
+    return rows.select([(F.array_join(F.concat(F.array(F.get("f", F.lit(i))), "more"), "\n") if i == len(names) - 1 else F.get("f", F.lit(i))).alias(n) for i, n in enumerate(names)])
+
+
 def read_table(spark: SparkSession, url: str, table: str, properties: dict[str, str], key: str | None = None, bounds: tuple[int, int, int] | None = None) -> DataFrame:
     """A database table, read in ``bounds`` = (low, high, parts) ranges of ``key`` if they are given."""
     if key and bounds:
@@ -124,3 +142,11 @@ def missing_tables(spark: SparkSession, expected: list[str]) -> list[str]:
     """Expected tables that the catalog lacks."""
     there = {t.name for t in spark.catalog.listTables()}
     return sorted(set(expected) - there)
+
+
+def catalog_report(spark: SparkSession, tables: list[str], functions: list[str]) -> DataFrame:
+    """(clase, nombre, existe, filas) of the tables and functions that a migration must have; rows are counted for tables that are there."""
+    named = {f.name.rpartition(".")[2] for f in spark.catalog.listFunctions()}
+    missing = set(missing_tables(spark, tables))
+    found = [("tabla", t, t not in missing, None if t in missing else spark.table(t).count()) for t in tables]
+    return spark.createDataFrame(found + [("funcion", f, f in named, None) for f in functions], "clase string, nombre string, existe boolean, filas long")

@@ -36,7 +36,7 @@ def pick(values: list[str], k: Column) -> Column:
 
 def propiedades(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
-    rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 rows
     return rows.select(
         k.alias("id"), F.col("o_custkey").alias("agente_id"), F.concat_ws(" ", F.col("o_orderpriority"), F.lit("en"), F.col("n_name"), (k % 700).cast("string")).alias("titulo"),
         F.when(k % 89 != 0, F.col("o_totalprice")).alias("precio_usd"), F.col("n_name").alias("zona"), F.col("o_orderstatus").alias("estado"), F.col("o_orderpriority").alias("tipo"),
