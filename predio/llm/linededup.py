@@ -23,14 +23,19 @@ def boilerplate_lines(lines: DataFrame, min_sites: int, *, lg_k: int = 12, band:
     return sketched.where(F.col("estimate") > min_sites * (1 + band)).select("h1", "h2").unionByName(exact.select("h1", "h2"))
 
 
-def _one_site_a_class(keyed: DataFrame, classes: DataFrame) -> DataFrame:
-    """``keyed`` with the smallest site of its class as each row's site; rows of equal text are of one class even without an id."""
+def _one_site_a_class(keyed: DataFrame, classes: DataFrame | None) -> DataFrame:
+    """``keyed`` with the smallest site of its class as each row's site; rows of equal text are of one class, with or without ``classes``."""
     same = F.xxhash64("text").alias("same")
-    by_id = keyed.select("id", "site", same).join(classes, "id", "left")
-    of_text = F.coalesce("class", F.concat(F.lit("text "), F.col("same").cast("string")))
-    texts = materialize(by_id.groupBy("same").agg(F.min(of_text).alias("class"), F.min("site").alias("low"), F.max("site").alias("high")), "line-classes")
-    sites = materialize(texts.groupBy("class").agg(F.min("low").alias("one_site"), F.max("high").alias("high")).where("one_site != high").select("class", "one_site"), "class-sites")
-    moved = materialize(texts.join(checked_broadcast(sites), "class").select("same", "one_site"), "text-sites")
+    if classes is None:
+        sites = keyed.groupBy(same).agg(F.min("site").alias("one_site"), F.max("site").alias("high"))
+        moved = materialize(sites.where("one_site != high").select("same", "one_site"), "text-sites")
+    else:
+        by_id = keyed.select("id", "site", same).join(classes, "id", "left")
+        of_text = F.coalesce("class", F.concat(F.lit("text "), F.col("same").cast("string")))
+        texts = materialize(by_id.groupBy("same").agg(F.min(of_text).alias("class"), F.min("site").alias("low"), F.max("site").alias("high")), "line-classes")
+        sites = materialize(texts.groupBy("class").agg(F.min("low").alias("one_site"), F.max("high").alias("high")).where("one_site != high").select("class", "one_site"), "class-sites")
+        moved = materialize(texts.join(checked_broadcast(sites), "class").select("same", "one_site"), "text-sites")
+        discard(texts, sites)
     return join_few(keyed.withColumn("same", same), moved, "same", "left").withColumn("site", F.coalesce("one_site", "site"))
 
 
@@ -39,11 +44,10 @@ def remove_shared_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
 
     Lines end at line feeds and are compared without their outer spaces;
     blank ones always stay.  A null site counts as one site of its own kind.
-    Without ``classes`` every row's site counts, so a document copied to
-    ``min_sites`` sites loses all its lines in every copy.  With ``classes``
-    (``id_col``, class: the groups of near copies by id) a group, and likewise
-    a set of rows of equal text, counts as one site, its smallest, so
-    copies of one document alone never make its lines shared.
+    Rows of equal text count as one site, the smallest of theirs, so that
+    copies of one document alone never make its lines shared; else they would
+    empty each other.  With ``classes`` (``id_col``, class: the groups of near
+    copies by id) a whole group of near copies counts as one site too.
     Adds the two ``counts`` (0 for a null text, which stays null); columns that
     had these names are replaced.  Rows
     with the same id are edited alike only if their texts are equal, as each
@@ -53,7 +57,8 @@ def remove_shared_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     names = [c for c in docs.columns if c not in counts]
     keyed = docs.select(F.struct(*names).alias("row"), F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.coalesce(F.col(site_col).cast("string"), F.lit("\u0000")).alias("site"))
     keyed = keyed.withColumn("key", F.xxhash64("id", "text")).withColumn("lines", F.split("text", "\n", -1))
-    sited = keyed if classes is None else _one_site_a_class(keyed, classes.select(F.col(id_col).cast("string").alias("id"), F.col("class").cast("string").alias("class")))
+    groups = None if classes is None else classes.select(F.col(id_col).cast("string").alias("id"), F.col("class").cast("string").alias("class"))
+    sited = _one_site_a_class(keyed, groups)
     line = F.trim("line")
     lines = materialize(
         sited.select("key", "site", F.posexplode("lines").alias("pos", "line")).where(line != "").select("key", "site", "pos", F.xxhash64(line).alias("h1"), F.xxhash64(F.lit("line"), line).alias("h2")), "lines"

@@ -46,9 +46,8 @@ def op3_site_spread_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP3_SQL = """
 WITH lines AS (
-  SELECT doc_id, coalesce(source, chr(1)) AS site, unnest(string_split(text, chr(10))) AS line,
-         generate_subscripts(string_split(text, chr(10)), 1) AS pos
-  FROM documents),
+  SELECT doc_id, site, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
+  FROM (SELECT doc_id, text, min(coalesce(source, chr(1))) OVER (PARTITION BY text) AS site FROM documents)),
 shared AS (
   SELECT trim(line) AS k FROM lines WHERE trim(line) <> '' GROUP BY 1 HAVING count(DISTINCT site) >= 8),
 marked AS (
