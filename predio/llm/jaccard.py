@@ -25,6 +25,8 @@ MAP_BITS, MOST_PARITY_BITS = 512, 1 << 17
 PAGE_ROWS = 256
 #: Documents of one side of a block of a shingle that very many prefixes share.
 BLOCK_ROWS = 2048
+#: Partners of a document that meet one copy of its map or set.
+PARTNER_ROWS = 512
 #: Frequencies are kept as a byte: steps of a twelfth of a power of two.
 _STEP = 12.0
 
@@ -162,6 +164,22 @@ def _sets(width: int, members):
     return run
 
 
+def _hot(pairs: DataFrame, end: str) -> DataFrame:
+    """(id, parts) of the documents at ``end`` with very many partners."""
+    counts = pairs.groupBy(F.col(end).alias("id")).agg(F.ceil(F.count("*") / PARTNER_ROWS).cast("int").alias("parts"))
+    return checked_broadcast(materialize(counts.where("parts > 1"), "jaccard-hot"))
+
+
+def _joined_at(end: str, pairs: DataFrame, values: DataFrame, hot: DataFrame, **columns: str) -> DataFrame:
+    """``pairs`` with columns of ``values`` (by id) for the document at ``end``; a hot one is copied, and its partners are dealt out to its copies."""
+    other = "y" if end == "x" else "x"
+    part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(other), F.col("parts"))).cast("int").alias("part")
+    dealt = pairs.join(hot.withColumnRenamed("id", end), end, "left").select(*pairs.columns, part)
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part")
+    values = values.join(hot, "id", "left").select(F.col("id").alias(end), *[F.col(c).alias(name) for name, c in columns.items()], copies)
+    return dealt.join(values, [end, "part"]).drop("part")
+
+
 def _verified(texts: DataFrame, heads: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (x, y) whose whole sets are similar enough.
 
@@ -172,7 +190,8 @@ def _verified(texts: DataFrame, heads: DataFrame, pairs: DataFrame, width: int,
     members = lambda p: materialize(p.select(F.col("x").alias("id")).unionByName(p.select(F.col("y").alias("id"))).distinct(), "jaccard-ids")
     ids = members(pairs)
     maps = heads.join(checked_broadcast(ids), "id", "left_semi").select("id", "n", "parity")
-    near = pairs.join(maps.select(F.col("id").alias("x"), F.col("n").alias("nx"), F.col("parity").alias("px")), "x").join(maps.select(F.col("id").alias("y"), F.col("n").alias("ny"), F.col("parity").alias("py")), "y")
+    hot_x, hot_y = _hot(pairs, "x"), _hot(pairs, "y")
+    near = _joined_at("y", _joined_at("x", pairs, maps, hot_x, nx="n", px="parity"), maps, hot_y, ny="n", py="parity")
     differ = F.when(F.greatest(F.size("px"), F.size("py")) <= 2 * F.least(F.size("px"), F.size("py")), _differ("px", "py")).otherwise(0)
     # common = (nx + ny - difference) / 2 must reach percent / (100 + percent) of nx + ny
     near = materialize(near.where((100 + percent) * (F.col("nx") + F.col("ny") - differ) >= 2 * percent * (F.col("nx") + F.col("ny"))).select("x", "y").distinct(), "jaccard-near")
@@ -181,8 +200,7 @@ def _verified(texts: DataFrame, heads: DataFrame, pairs: DataFrame, width: int,
     sets = texts.where(F.col("id").isNotNull()).select("id", "text", table.slot(F.col("id")).alias("slot")).mapInArrow(tidy(_sets(width, table.table)), "id long, tokens array<long>")
     sets = materialize(sets, "jaccard-sets")
     table.table.destroy()
-    left, right = sets.select(F.col("id").alias("x"), F.col("tokens").alias("tx")), sets.select(F.col("id").alias("y"), F.col("tokens").alias("ty"))
-    both = near.join(left, "x").join(right, "y").withColumn("common", F.size(F.array_intersect("tx", "ty")))
+    both = _joined_at("y", _joined_at("x", near, sets, hot_x, tx="tokens"), sets, hot_y, ty="tokens").withColumn("common", F.size(F.array_intersect("tx", "ty")))
     union = F.size("tx") + F.size("ty") - F.col("common")
     links = materialize(both.where(100 * F.col("common") >= percent * union).select("x", "y").distinct(), "jaccard-links")
     discard(ids, near, wanted, sets)
@@ -231,7 +249,6 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     prefixes = materialize(prefixes, "jaccard-prefixes")
     table.destroy()
     discard(own)
-    asked = prefixes.select("id", "n", "matches")
     # size, matches and place share one number: the entries are the bulk of what is shuffled
     packed = F.shiftleft("n", 32).bitwiseOR(F.shiftleft("matches", 28)).bitwiseOR(F.col("pos"))
     entries = prefixes.select("id", "n", "matches", F.posexplode("prefix").alias("pos", "token")).select("token", "id", packed.alias("packed"))
@@ -241,9 +258,10 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     leaders = entries.groupBy("token").agg(F.min_by("id", earliest).alias("lead"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
     shared = entries.join(leaders, "token").withColumn("n", F.shiftright("packed", 32)).withColumn("matches", F.shiftright("packed", 28).bitwiseAND(15)).withColumn("pos", F.col("packed").bitwiseAND((1 << 28) - 1))
     shared = materialize(shared.drop("packed"), "jaccard-shared")
-    stars = shared.where("id != lead").groupBy(F.col("lead").alias("x"), F.col("id").alias("y")).agg(F.count("*").alias("hits"), F.first("n").alias("ny"), F.first("matches").alias("my"))
-    stars = stars.join(asked.select(F.col("id").alias("x"), F.col("n").alias("nx"), F.col("matches").alias("mx")), "x").where(_can_match(F.col("nx"), F.col("ny"), percent) & (F.col("hits") >= F.least("mx", "my")))
+    met = materialize(shared.where("id != lead").groupBy(F.col("lead").alias("x"), F.col("id").alias("y")).agg(F.count("*").alias("hits"), F.first("n").alias("ny"), F.first("matches").alias("my")), "jaccard-met")
+    stars = _joined_at("x", met, prefixes, _hot(met, "x"), nx="n", mx="matches").where(_can_match(F.col("nx"), F.col("ny"), percent) & (F.col("hits") >= F.least("mx", "my")))
     stars = materialize(stars.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "jaccard-stars")
+    discard(met)
     links = _verified(texts, heads, stars, width, percent)
 
     joined = connected_components(links, "x", "y")

@@ -47,6 +47,7 @@ def test_equals_brute_force_on_the_table(spark, sf_dir, width, percent):
 
 def test_equals_brute_force_on_near_copies(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "COUNTED_AT_ONCE", 500)
+    monkeypatch.setattr(jaccard, "PARTNER_ROWS", 3)
     rng = random.Random(5)
     docs, common = {}, "this line stands on very many pages of the corpus and says nothing at all"
     for g in range(6):
