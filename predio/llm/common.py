@@ -58,10 +58,16 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete tables that ``materialize`` returned and that nothing will read again."""
-    for table in tables:
-        if path := _PATHS.pop(table, None):
-            _delete(table.sparkSession, path)
+    """Delete tables that ``materialize`` returned and that nothing will read again.
+
+    The shuffle files of the steps that made them go too: Spark deletes those
+    once the driver's JVM has collected the plans, so it is asked to collect.
+    """
+    found = [(table.sparkSession, path) for table in tables if (path := _PATHS.pop(table, None))]
+    for spark, path in found:
+        _delete(spark, path)
+    if found:
+        found[0][0]._jvm.java.lang.System.gc()
 
 
 def drop_scratch(spark: SparkSession) -> None:

@@ -268,9 +268,10 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     at = shared.drop("lead").join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = at.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("rows")).where("a != b").select("token", F.ceil(F.col("rows") / BLOCK_ROWS).cast("int").alias("parts"))
     maps = heads.select("id", "map")
-    at = materialize(at.join(materialize(mixed, "jaccard-mixed"), "token").join(maps, "id"), "jaccard-open")
+    opened = materialize(at.join(materialize(mixed, "jaccard-mixed"), "token").join(maps, "id"), "jaccard-open")
+    discard(prefixes, shared)
     # the documents of a shingle that very many share meet in blocks, each pair of their chunks in one
-    at = at.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    at = opened.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     at = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("q", F.least("chunk", "other")).withColumn("d", F.greatest("chunk", "other"))
     x, y = at.alias("x"), at.alias("y")
     nx, ny, px, py = F.col("x.n"), F.col("y.n"), F.col("x.pos"), F.col("y.pos")
@@ -283,9 +284,10 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     )
     pairs = pairs.groupBy(F.col("x.id").alias("x"), F.col("y.id").alias("y")).agg(F.count("*").alias("hits"), F.min(F.least("x.matches", "y.matches")).alias("asked")).where("hits >= asked").select("x", "y")
     pairs = materialize(pairs.join(stars, ["x", "y"], "left_anti"), "jaccard-pairs")
+    discard(opened)
     links = links.unionByName(_verified(texts, heads, pairs, width, percent))
 
     joined = materialize(connected_components(links, "x", "y"), "jaccard-components")
-    discard(prefixes, shared, stars, pairs)
+    discard(stars, pairs)
     classes = classes.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
     return rows.join(classes.drop("id"), ["n", "s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
