@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -44,6 +45,8 @@ def vocabulary(seed, size, letters, lengths):
     words = {"".join(rng.choice(letters) for _ in range(rng.choice(lengths))) for _ in range(size)}
     for word in rng.sample(sorted(words), size // 3):  # variants of variants too
         for _ in range(2):
+            if not word:
+                break
             i, kind = rng.randrange(len(word)), rng.randrange(3)
             word = word[:i] + ("" if kind == 0 else rng.choice(letters)) + word[i + (kind != 2) :]
             words.add(word)
@@ -65,14 +68,14 @@ def test_equals_brute_force(spark, monkeypatch, block):
     counts = vocabulary(9, 150, "abñ", range(6, 9)) | {"abcdef": 5, "abcdefg": 25, "abcdefgh": 125, "abcdefghi": 625, "abcdefghj": 625}
     got = result(variant_groups(spark.createDataFrame(list(counts.items()), "word string, n long")))
     assert got == brute(counts)
-    assert got["abcdef"][4] == "abcdefghi" and max(v[2] for v in got.values()) > 5
+    assert got["abcdef"][4] == "abcdefghi" and max(v[2] for v in got.values()) > 3
 
 
 def test_runs_lose_a_letter_by_hash(spark):
-    texts = {i: "Größere ÄPFEL kleinere naïveté x" * 3 + " kleinere, Größere" for i in range(300)}
+    texts = {i: "Größere ÄPFEL kleinere naïveté x" * 3 + " kleinere, Größere" for i in range(1500)}
     want = Counter()
     for i, text in texts.items():
-        for run in __import__("re").findall("[A-Za-zÀ-ÿ]+", text):
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text):
             run = "".join(c.lower() if c.isascii() else c for c in run)
             h = zlib.crc32(f"{i}:{run}".encode())
             want[run if h % 199 else run[: h % len(run)] + run[h % len(run) + 1 :]] += 1
