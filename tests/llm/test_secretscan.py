@@ -61,7 +61,7 @@ def test_ownership_separates_examples_from_live_values(spark):
     assert got == brute(rows)
     mine = [r for r in got if r[0] == 200]
     assert mine[0][5] == "owned:6:27" and mine[0][6:] == (1, 1, 0) and len(mine) == 2
-    assert next(r for r in got if r[0] == 120)[6:] == (0, 0, 2)
+    assert next(r for r in got if r[0] == 120)[6:] == (0, 0, 3)
     one_owner = scan_secrets(docs, owner=F.lit("all")).collect()  # nothing is copied between owners then
     assert sum(r.n_copied for r in one_owner) == 0 and sum(r.n_owned for r in one_owner) > 40
 
