@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from predio.llm.common import checked_broadcast, materialize
@@ -81,6 +81,7 @@ def mix_sources(
     share: float = 1.5,
     cap: float = 2.0,
     seed: int = 7,
+    row_key: Column | None = None,
 ) -> DataFrame:
     """How often the mix takes each document: doc_id, source, row_key, size, source_size, target, copies, taken.
 
@@ -94,11 +95,11 @@ def mix_sources(
     be thousands, not as many as documents.
 
     Empty and null texts have no words and are never taken.  ``row_key`` tells
-    rows that share an id by their text; equal rows get copies each.  A null
+    rows that share an id by their text, or by the given long; equal rows get copies each.  A null
     source is a source.  An empty table gives no rows.
     """
     words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(text_col).alias("row_key"), words.alias("size")), "mix-rows")
+    rows = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), (F.xxhash64(text_col) if row_key is None else row_key).alias("row_key"), words.alias("size")), "mix-rows")
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).collect()
     target = source_targets([(r["source"], r["source_size"]) for r in sources], weights, share, cap)
     plan = [(i, r["source"], r["source_size"], float(target[r["source"]]), max(1, -(-r["n"] // CHUNK_ROWS))) for i, r in enumerate(sorted(sources, key=lambda r: (r["source"] is None, (r["source"] or "").encode())))]

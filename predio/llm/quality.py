@@ -19,10 +19,12 @@ from predio.llm.toxicity import held_out
 #: Labelled rows used at most, and pseudo-labelled rows that a view takes from the other in a round at most.
 LABELLED_ROWS, PSEUDO_ROWS = 12_000, 2_000
 FEATURE_BITS = 16
-ROUNDS, CONFIDENT, PSEUDO_WEIGHT = 3, 0.97, 0.5
+ROUNDS, PSEUDO_WEIGHT = 3, 0.5
+#: A view keeps what the other taught it unless its mean log loss on the check fold rises by more than this.
+WORSE = 0.002
 #: Labelled rows that a feature of the text must be in to take part, and how strongly weights are held near 0.
 LEAST_ROWS, SHRINKAGE = 3, 3e-3
-#: Steps of the log odds by which confident rows are counted, and the highest that are told apart.
+#: Steps of the log odds, from the prior's, by which rows are counted, and the furthest that are told apart.
 _ODDS_STEP, _ODDS_TOP = 1 / 64, 40.0
 
 _CLASS = np.arange(256, dtype=np.uint8)
@@ -125,27 +127,25 @@ def _levels(z: np.ndarray) -> np.ndarray:
     return (np.minimum(np.abs(z), _ODDS_TOP) / _ODDS_STEP).astype(np.int64)
 
 
-def _tallied(models: tuple[Linear, Linear]):
-    """Counts of rows by view, class and level of confidence."""
-    least = int(_levels(np.array([np.log(CONFIDENT / (1 - CONFIDENT))]))[0])
+def _tallied(models: tuple[Linear, Linear], base: float):
+    """Counts of rows by view, side of the prior and level of confidence."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = int(_ODDS_TOP / _ODDS_STEP) + 1
-        total = np.zeros((2, 2, size), np.int64)
+        total = np.zeros((2, 2, int(_ODDS_TOP / _ODDS_STEP) + 1), np.int64)
         for batch in batches:
             for v, model in enumerate(models):
-                z = odds(_lists(batch.column(v)), model)
+                z = odds(_lists(batch.column(v)), model) - base
                 level = _levels(z)
                 for good in (0, 1):
-                    total[v, good] += np.bincount(level[(level > least) & ((z > 0) == bool(good))], minlength=size)
+                    total[v, good] += np.bincount(level[(z > 0) == bool(good)], minlength=total.shape[2])
         v, good, level = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (v, good, level, total[v, good, level])], names=["view", "good", "level", "n"])
 
     return run
 
 
-def _taken(models: tuple[Linear, Linear], share: dict[tuple[int, int], tuple[int, float]]):
-    """Rows above the level of their view and class, and of those at it the given share, by a hash of the row."""
+def _taken(models: tuple[Linear, Linear], base: float, share: dict[tuple[int, int], tuple[int, float]]):
+    """Rows above the level of their view and side, and of those at it the given share, by a hash of the row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,25 +153,33 @@ def _taken(models: tuple[Linear, Linear], share: dict[tuple[int, int], tuple[int
             draw = batch.column(2).to_numpy()
             for v, model in enumerate(models):
                 z = odds(views[v], model)
-                level = _levels(z)
+                level = _levels(z - base)
                 for good in (0, 1):
                     if (v, good) in share:
                         at, part = share[v, good]
-                        rows = np.flatnonzero(((z > 0) == bool(good)) & ((level > at) | ((level == at) & (draw < part))))
+                        rows = np.flatnonzero(((z > base) == bool(good)) & ((level > at) | ((level == at) & (draw < part))))
                         if len(rows):
-                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), v)), pa.array(np.full(len(rows), float(good))), batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), batch.column(2).take(pa.array(rows))], names=["view", "label", "a", "b", "draw"])
+                            own = pa.array(rows)
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), v)), pa.array(sigmoid(z[rows])), *(batch.column(c).take(own) for c in range(3))], names=["view", "label", "a", "b", "draw"])
 
     return run
 
 
-def pseudo_labels(pool: DataFrame, models: tuple[Linear, Linear], prior: float, most: int) -> list[tuple[list[np.ndarray], list[np.ndarray], np.ndarray]]:
-    """By view, the rows of which it is most sure among all of ``pool`` (a, b, draw): their features and its labels for them.
+Taught = tuple[list[np.ndarray], list[np.ndarray], np.ndarray]
+
+
+def pseudo_labels(pool: DataFrame, models: tuple[Linear, Linear], prior: float, most: int) -> list[Taught]:
+    """By view, the rows of which it is most sure among all of ``pool`` (a, b, draw): their features and its label for them.
 
-    All rows are scored and counted by level of confidence; the level that
-    leaves about ``most`` rows, good and bad ones in the proportion of
-    ``prior``, decides.
+    A view is sure of a row as far as its calibrated log odds lie from the
+    prior's, so that a weak view has rows to teach as well.  The label is the
+    view's calibrated probability, not 0 or 1: it says no more than the
+    view knows.  All rows are scored and counted by level; the level that
+    leaves about ``most`` rows, above and below the prior in its proportion,
+    decides.
     """
-    counted = pool.mapInArrow(tidy(_tallied(models)), "view long, good long, level long, n long").groupBy("view", "good", "level").agg(F.sum("n").alias("n")).collect()
+    base = float(np.log(prior / (1 - prior)))
+    counted = pool.mapInArrow(tidy(_tallied(models, base)), "view long, good long, level long, n long").groupBy("view", "good", "level").agg(F.sum("n").alias("n")).collect()
     share: dict[tuple[int, int], tuple[int, float]] = {}
     for v in (0, 1):
         for good in (0, 1):
@@ -182,18 +190,25 @@ def pseudo_labels(pool: DataFrame, models: tuple[Linear, Linear], prior: float,
                 if left <= 0:
                     break
     out = []
-    rows = pool.mapInArrow(tidy(_taken(models, share)), "view long, label double, a binary, b binary, draw double").orderBy("view", "draw", "label", "a", "b").toPandas() if share else None
+    rows = pool.mapInArrow(tidy(_taken(models, base, share)), "view long, label double, a binary, b binary, draw double").orderBy("view", "draw", "label", "a", "b").toPandas() if share else None
     for v in (0, 1):
         own = rows[rows["view"] == v] if rows is not None else ()
         out.append(([np.frombuffer(b, "<u2") for b in own["a"]], [np.frombuffer(b, "<u2") for b in own["b"]], own["label"].to_numpy()) if len(own) else ([], [], np.empty(0)))
     return out
 
 
-def train(features: DataFrame, labels: DataFrame, *, id_col: str, label_col: str, labelled_rows: int = LABELLED_ROWS, pseudo_rows: int = PSEUDO_ROWS, rounds: int = ROUNDS) -> tuple[Linear, Linear, float]:
+def _loss(model: Linear, x: Sparse, y: np.ndarray) -> float:
+    p = np.clip(sigmoid(model.calibrated(x)), 1e-9, 1 - 1e-9)
+    return float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
+
+
+def train(features: DataFrame, labels: DataFrame, *, id_col: str, label_col: str, labelled_rows: int = LABELLED_ROWS, pseudo_rows: int = PSEUDO_ROWS, rounds: int = ROUNDS, report: list | None = None) -> tuple[Linear, Linear, float]:
     """Two calibrated views and the share of good rows.
 
     In every round each view is fitted anew to the labelled rows and to those
-    of which the other was most sure after the round before.
+    of which the other was most sure after the round before.  Where that makes
+    it worse on the check fold than the labelled rows alone, it keeps its fit
+    to these.  ``report`` gets (round, view, rows taught, whether kept).
     """
     size = 1 << FEATURE_BITS
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.min(label_col).cast("double").alias("label"))
@@ -209,23 +224,24 @@ def train(features: DataFrame, labels: DataFrame, *, id_col: str, label_col: str
     prior = float(np.clip(y[learn].mean() if len(learn) else 0.5, 0.01, 0.99))
     often = np.bincount(np.concatenate([views[0][i] for i in learn] or [np.empty(0, np.uint16)]), minlength=size) >= LEAST_ROWS
     pool = features.join(F.broadcast(sample.select("doc_id")), "doc_id", "left_anti").select("a", "b", (F.pmod(F.xxhash64("row_key"), F.lit(1 << 30)) / float(1 << 30)).alias("draw"))
-
-    taught: list[tuple[list[np.ndarray], list[np.ndarray], np.ndarray]] = [([], [], np.empty(0)), ([], [], np.empty(0))]
-    models: tuple[Linear, ...] = ()
-    for r in range(rounds):
-        models = tuple(
-            fit(
-                Sparse.of([f[often[f]] if v == 0 else f for f in [*(views[v][i] for i in learn), *taught[1 - v][v]]]), np.concatenate([y[learn], taught[1 - v][2]]), size, l2=SHRINKAGE, steps=150,
-                row_weight=np.concatenate([np.ones(len(learn)), np.full(len(taught[1 - v][2]), PSEUDO_WEIGHT)]),
-            )
-            for v in (0, 1)
-        )
-        # calibrated, so that a view that is often wrong is not sure
-        rows = check if len(check) else learn
-        for v, model in enumerate(models):
-            calibrate(model, Sparse.of([views[v][i] for i in rows]), y[rows])
-        if r + 1 < rounds:
-            taught = pseudo_labels(pool, models, prior, (r + 1) * pseudo_rows)
+    rows = check if len(check) else learn
+    checked = [Sparse.of([view[i] for i in rows]) for view in views]
+
+    def fitted(v: int, taught: Taught) -> Linear:
+        x = [f[often[f]] if v == 0 else f for f in [*(views[v][i] for i in learn), *taught[v]]]
+        weight = np.concatenate([np.ones(len(learn)), np.full(len(taught[2]), PSEUDO_WEIGHT)])
+        model = fit(Sparse.of(x), np.concatenate([y[learn], taught[2]]), size, l2=SHRINKAGE, steps=150, row_weight=weight)
+        return calibrate(model, checked[v], y[rows])  # so that a view that is often wrong is not sure
+
+    models = alone = tuple(fitted(v, ([], [], np.empty(0))) for v in (0, 1))
+    for r in range(1, rounds):
+        taught = pseudo_labels(pool, models, prior, r * pseudo_rows)
+        tried = [fitted(v, taught[1 - v]) if len(taught[1 - v][2]) else alone[v] for v in (0, 1)]
+        kept = [_loss(tried[v], checked[v], y[rows]) <= _loss(alone[v], checked[v], y[rows]) + WORSE for v in (0, 1)]
+        models = tuple(tried[v] if kept[v] else alone[v] for v in (0, 1))
+        if report is not None:
+            report += [(r, v, len(taught[1 - v][2]), kept[v]) for v in (0, 1)]
+    discard(sample)
     return models[0], models[1], prior
 
 
@@ -261,9 +277,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     left out).  Both start from at most ``labelled_rows`` labelled documents,
     none of them held out (CRC-32 of the id divisible by 5).  In each of
     ``rounds`` rounds every other document is scored by both, and each takes
-    the labels of about ``pseudo_rows`` of which the other is most sure, with
-    a probability of 0.97 or more: a view that is never so sure teaches
-    nothing.  Both are calibrated on a fifth of the labelled rows; their log
+    the labels of about ``pseudo_rows`` of which the other is most sure,
+    relative to the prior, unless that makes it worse on the check fold.
+    Both are calibrated on a fifth of the labelled rows; their log
     odds add up, less the prior counted twice.
 
     Null and empty texts are scored by their metadata and empty layout.  Of an

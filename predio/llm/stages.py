@@ -52,14 +52,20 @@ def keep_one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
 def repeat_as_mixed(docs: DataFrame, **parameters) -> DataFrame:
     """Every document as often as the mix takes it, so not at all if it takes none.
 
-    Rows with one id and text are one document, taken as often as all of them
-    are.  Beyond the size of a broadcast this moves the documents once, by id.
+    Rows are told apart by all their columns.  Only rows equal in every one
+    are taken for each other: one of them is repeated as often as all of them
+    together are, and they alone are gathered for that.  Beyond the size of a
+    broadcast this moves the documents once, by id.
     """
     no, key, source, copies, rows = unused(docs.columns, "id", "key", "site", "copies", "rows")
-    mix = mix_sources(docs, **parameters).groupBy(F.coalesce("doc_id", F.lit(_NO_ID)).alias(no), F.col("row_key").alias(key), F.coalesce("source", F.lit("\u0000")).alias(source))
+    hashed = [F.col(f.name) if not f.dataType.simpleString().startswith("map") else F.to_json(f.name) for f in docs.schema.fields]
+    whole = F.xxhash64(*hashed, F.concat(*[c.isNull().cast("int").cast("string") for c in hashed]))  # a null adds nothing to a hash of several columns
+    mix = mix_sources(docs, row_key=whole, **parameters).groupBy(F.coalesce("doc_id", F.lit(_NO_ID)).alias(no), F.col("row_key").alias(key), F.coalesce("source", F.lit("\u0000")).alias(source))
     mix = materialize(mix.agg(F.sum("copies").alias(copies), F.count("*").alias(rows)), "mix-copies")
-    keyed = docs.withColumn(no, F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))).withColumn(key, F.xxhash64("text")).withColumn(source, F.coalesce(F.col("source").cast("string"), F.lit("\u0000")))
-    if not mix.where(F.col(rows) > 1).isEmpty():
-        keyed = keyed.dropDuplicates([no, key, source])
-    taken = keyed.join(checked_broadcast(mix.where(F.col(copies) > 0).drop(rows)), [no, key, source])
-    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies))).alias(no)).select(docs.columns)
+    keyed = docs.withColumn(key, whole).withColumn(no, F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))).withColumn(source, F.coalesce(F.col("source").cast("string"), F.lit("\u0000")))
+    by, taken = [no, key, source], mix.where(F.col(copies) > 0)
+    out = keyed.join(checked_broadcast(taken.where(F.col(rows) == 1).drop(rows)), by)
+    again = taken.where(F.col(rows) > 1).drop(rows)
+    if not again.isEmpty():
+        out = out.unionByName(keyed.join(checked_broadcast(again), by).dropDuplicates(by))
+    return out.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies))).alias(no)).select(docs.columns)

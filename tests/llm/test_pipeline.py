@@ -107,3 +107,11 @@ def test_copies_on_many_sites_do_not_empty_each_other(spark):
     assert sorted(map(str, map(tuple, out))) == sorted(map(str, want))
     copies = spark.createDataFrame(docs[:20], "doc_id long, text string, source string")
     assert {r.doc_id: r.text for r in keep_one_of_each(cut_shared_lines(copies)).collect()} == {0: docs[0][1], 10: docs[10][1]}
+
+
+def test_mix_tells_rows_apart_by_all_columns(spark):
+    text = "one two three four"
+    rows = [(1, text, "en", "s"), (1, text, "de", "s"), (1, text, None, "s"), (2, text, "en", "s"), (2, text, "en", "s"), (2, text, "en", "s"), (3, text, None, "en"), (3, text, "en", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(5)
+    got = Counter(tuple(r) for r in repeat_as_mixed(docs, share=2.0, cap=2.0).collect())
+    assert got == {r: 2 * n for r, n in Counter(rows).items()}

@@ -18,6 +18,14 @@ def test_held_out_documents_are_told_apart(spark):
     assert np.mean([r.quality_keep for r in good]) > 0.99 and np.mean([r.quality_keep for r in bad]) < 0.1
 
 
+def test_both_views_teach_on_the_given_tables(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    features, report = features_of(docs, id_col="doc_id", text_col="text", metadata=METADATA), []
+    train(features, labels, id_col="doc_id", label_col="quality", report=report)
+    print(report)
+    assert {(r, v) for r, v, n, _ in report if n > 0} == {(r, v) for r in (1, 2) for v in (0, 1)}
+
+
 def made(spark, n, seed=0):
     """Documents whose words and whose source tell their quality, each on its own and neither surely."""
     rng = np.random.default_rng(seed)
