@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import count
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from predio.llm.common import checked_broadcast, discard, materialize, tidy
+from predio.llm.common import checked_broadcast, discard, materialize, small_batches, tidy
 from predio.llm.components import connected_components
 
-#: Vectors from which the pivots of all cells are drawn, vectors a cell should hold, sampled vectors it needs to be divided.
-SAMPLE_ROWS, CELL_ROWS, LEAST_SAMPLE = 32_768, 8_192, 32
-#: A cell is divided in so many at most at once, and only if the pairs to compare fall to this share.
-FAN_OUT, WORTH = 16, 0.7
+#: Vectors of a cell from which its pivots are drawn, rows a cell should hold, sampled vectors it needs to be divided.
+SAMPLE_ROWS, CELL_ROWS, LEAST_SAMPLE = 4_096, 8_192, 32
+#: A cell is divided in so many at most at once, whichever is best, and only if its work falls to this share.
+FAN_OUTS, WORTH = (16, 64, 256), 0.7
+#: Cells that a vector may take part in, on average over its label; moving one to a block costs as much as so many comparisons.
+MOST_COPIES, MOVE = 4.0, 256.0
 #: Vectors of one side of a block of a cell, and those compared at once.
 BLOCK_ROWS, STRIP_ROWS = 8_192, 256
 
@@ -58,27 +62,50 @@ class Node:
     cells: list[Node] = field(default_factory=list)
 
 
-def divide(x: np.ndarray, own: np.ndarray, weight: float, radius: float, numbers: Iterator[int]) -> Node:
-    """Divide a cell, given sampled vectors in and near it, until it is small or division no longer pays.
+def work(own: float, rows: float) -> float:
+    """What a cell of ``own`` and visiting ``rows`` costs: comparisons, and rows moved to its blocks."""
+    return own * rows + MOVE * rows * np.ceil(rows / BLOCK_ROWS)
+
+
+def divide(x: np.ndarray, own: np.ndarray, weight: float, radius: float, allowed: float = MOST_COPIES) -> tuple[Node, float]:
+    """Divide a cell, given sampled vectors in and near it, until it is small or division no longer pays; and the copies this makes.
 
     ``own`` marks the vectors that belong to the cell, each of which stands
-    for ``weight`` rows.  Cells follow the data: tight clusters come apart,
-    while a cloud in which every part is near every other stays one cell.
+    for ``weight`` rows.  A division must lessen the work, which counts
+    the rows moved as well as the pairs compared, and the cells may hold no more than
+    ``allowed`` times the rows of the first one.  Cells follow the data: tight
+    clusters come apart, while a cloud in which every part is near every
+    other stays one cell, whatever its size.
     """
-    n_own = int(own.sum())
-    if n_own * weight > CELL_ROWS and n_own >= LEAST_SAMPLE:
-        pivots = farthest_first(x[own], min(FAN_OUT, max(2, round(n_own * weight / CELL_ROWS))))
-        if len(pivots) > 1:
+    numbers, held = count(), float(len(x))
+
+    def go(x: np.ndarray, own: np.ndarray) -> Node:
+        nonlocal held
+        n_own, best = int(own.sum()), None
+        limit = WORTH * work(n_own * weight, len(x) * weight)
+        for fan_out in FAN_OUTS if n_own * weight > CELL_ROWS and n_own >= LEAST_SAMPLE else ():
+            pivots = farthest_first(x[own], min(fan_out, max(2, round(n_own * weight / CELL_ROWS))))
             home, visits = cells_of(x, pivots, radius)
-            mine = [own & (home == c) for c in range(len(pivots))]
-            pairs = sum(float(m.sum()) * float(visits[:, c].sum()) for c, m in enumerate(mine))
-            if pairs <= WORTH * n_own * len(x):
-                return Node(pivots=pivots, cells=[divide(x[visits[:, c]], m[visits[:, c]], weight, radius, numbers) for c, m in enumerate(mine)])
-    return Node(number=next(numbers))
-
-
-def placed(x: np.ndarray, node: Node, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, cell, whether it is the row's own cell) of unit vectors."""
+            mine = np.stack([own & (home == c) for c in range(len(pivots))])
+            visits = visits & mine.any(1)  # cells that nothing belongs to are not kept
+            more = float(visits.sum()) - len(x)
+            after = sum(work(m.sum() * weight, v.sum() * weight) for m, v in zip(mine, visits.T, strict=True))
+            if len(pivots) > 1 and after <= limit and held + more <= allowed * whole:
+                limit, best = after, (pivots, mine, visits, more)
+            if len(pivots) < fan_out:
+                break
+        if best:
+            pivots, mine, visits, more = best
+            held += more
+            return Node(pivots=pivots, cells=[go(x[v], m[v]) for m, v in zip(mine, visits.T, strict=True)])
+        return Node(number=next(numbers))
+
+    whole = max(1, len(x))
+    return go(x, own), held / whole
+
+
+def placed(x: np.ndarray, own: np.ndarray, node: Node, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, cell, whether it is the row's own cell) of unit vectors of a cell; ``own`` marks those that belong to it."""
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def go(rows: np.ndarray, own: np.ndarray, at: Node) -> None:
@@ -89,7 +116,7 @@ def placed(x: np.ndarray, node: Node, radius: float) -> tuple[np.ndarray, np.nda
             for c, cell in enumerate(at.cells):
                 go(rows[visits[:, c]], (own & (home == c))[visits[:, c]], cell)
 
-    go(np.arange(len(x)), np.ones(len(x), bool), node)
+    go(np.arange(len(x)), own, node)
     return tuple(np.concatenate(part) for part in zip(*out, strict=True))
 
 
@@ -119,20 +146,68 @@ def local_links(q: np.ndarray, d: np.ndarray, q_id: np.ndarray, d_id: np.ndarray
     return n_links.astype(np.int64), q_root, d_root
 
 
-def _assign(trees, radius: float, kind: str):
-    """Rows with a number for each cell they belong to or visit."""
-    whole = Node()
+def _unit(v: pd.Series, kind: str) -> np.ndarray:
+    raw = np.frombuffer(b"".join(v), kind).reshape(len(v), -1).astype(np.float64)
+    return raw / np.linalg.norm(raw, axis=1, keepdims=True)
+
+
+def _planned(radius: float, kind: str):
+    """How to divide each cell of which a sample is given; cells that stay whole give no row."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        tree, copies = divide(_unit(pdf["v"], kind), pdf["own"].to_numpy(dtype=bool), pdf["size"].iloc[0] / len(pdf), radius, MOST_COPIES / pdf["spread"].iloc[0])
+        rows = [(pdf["label"].iloc[0], pdf["cell"].iloc[0], copies, pickle.dumps(tree))] if tree.pivots is not None else []
+        return pd.DataFrame(rows, columns=["label", "cell", "copies", "tree"])
+
+    return run
+
+
+def _assign(radius: float, kind: str):
+    """Rows of cells that are divided, one for each part that they belong to or visit."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            for label, part in pdf.groupby("label"):
-                raw = np.frombuffer(b"".join(part["v"]), kind).reshape(len(part), -1).astype(np.float64)
-                row, cell, own = placed(raw / np.linalg.norm(raw, axis=1, keepdims=True), trees.value.get(label, whole), radius)
-                yield part.iloc[row].assign(cell=cell.astype(np.int64), own=own)
+            for _, part in pdf.groupby(["label", "cell"]):
+                row, cell, own = placed(_unit(part["v"], kind), part["own"].to_numpy(dtype=bool), pickle.loads(part["tree"].iloc[0]), radius)
+                out = part.iloc[row].assign(own=own)
+                out["cell"] = out["cell"] + "." + pd.Series(cell.astype(str), index=out.index)
+                yield out.assign(spread=out["spread"] * out["copies"]).drop(columns=["tree", "copies"])
 
     return run
 
 
+def divided(copies: DataFrame, radius: float, kind: str) -> DataFrame:
+    """``copies`` (label, id, rows, v) with cell and own: a row for each cell that a vector belongs to (own) or visits.
+
+    In each round every cell above ``CELL_ROWS`` that the round before made is
+    divided from a sample of its own rows, so cells multiply with the vectors of
+    a label, however many labels there are; samples are bounded by cell, and no
+    sample passes through the driver.
+    """
+    columns = ["label", "cell", "own", "spread", "id", "rows", "v"]
+    schema = "label string, cell string, own boolean, spread double, id long, rows long, v binary"
+    open_ = copies.select("label", F.lit("").alias("cell"), F.lit(True).alias("own"), F.lit(1.0).alias("spread"), "id", "rows", "v")
+    done, made = None, []
+    while True:
+        sizes = open_.groupBy("label", "cell").agg(F.count("*").alias("size")).where(F.col("size") > CELL_ROWS)
+        share = F.pmod(F.xxhash64("id", F.lit("pivots")), F.lit(1 << 30)) * F.col("size") < SAMPLE_ROWS * float(1 << 30)
+        sample = open_.join(checked_broadcast(materialize(sizes, "cell-sizes")), ["label", "cell"]).where(share)
+        plans = sample.groupBy("label", "cell").applyInPandas(_planned(radius, kind), "label string, cell string, copies double, tree binary")
+        plans = materialize(plans, "cell-plans")
+        if plans.isEmpty():
+            break
+        plans = checked_broadcast(plans, row_bytes=64 + F.octet_length("tree"))
+        settled = open_.join(plans.select("label", "cell"), ["label", "cell"], "left_anti").select(columns)
+        done = settled if done is None else done.unionByName(settled)
+        parts = open_.join(plans, ["label", "cell"]).select(*columns, "copies", "tree").mapInPandas(tidy(_assign(radius, kind)), schema)
+        open_ = materialize(parts, "vector-cells")
+        made.append(open_)
+    out = materialize((open_.select(columns) if done is None else done.unionByName(open_.select(columns))).drop("spread"), "vector-cells")
+    discard(*made)
+    return out
+
+
 def _block(least: float, kind: str):
     schema = {"id": "int64", "n": "int64", "root": "int64"}
 
@@ -162,15 +237,15 @@ def range_join(vectors: DataFrame, least: float = 0.98, *, id_col: str = "vec_id
     """(vec_id, n_links, component_id, kept) for every row; links join vectors of one label with cosine ``least`` or more.
 
     Equal vectors of a label, told apart by two 64-bit hashes, are compared as
-    one and counted as many.  Cells of each label come from pivots: a cell is
-    divided among pivots from a bounded sample (``SAMPLE_ROWS`` vectors) while
-    it holds more than ``CELL_ROWS`` rows and that lessens the pairs to
-    compare, so cells multiply with the vectors.  The sample only sets how
+    one and counted as many.  Cells of each label come from pivots: a cell of
+    more than ``CELL_ROWS`` rows is divided while that lessens the work, rows
+    moved included, with ``MOST_COPIES`` copies of a vector at most on average.
+    Samples only set how
     work is divided.  All links of a vector are found in its own cell; a cell
     above a block's size is dealt out in pairs of chunks, so that no task
-    grows with it.  Where all vectors are near each other's cells, which many
-    dimensions bring about, blocks and not cells bound a task, and the work is
-    that of comparing all pairs of a label.
+    grows with it.  Where all vectors are near each other's cells, as in a
+    cloud of many dimensions, cells would cost more than they save: the label
+    then stays one cell, and the work is that of comparing all its pairs in blocks.
 
     Null, zero or empty vectors, those with null or non-finite components and
     rows without a label link with nothing.  A null id takes no part: its
@@ -178,7 +253,7 @@ def range_join(vectors: DataFrame, least: float = 0.98, *, id_col: str = "vec_id
     compared.  Repeated rows are copies of each other.  An empty table gives
     no rows.
     """
-    spark = vectors.sparkSession
+    small_batches(vectors.sparkSession)
     single = "float" in dict(vectors.dtypes)[vector_col]
     kind = "<f4" if single else "<f8"
     v = F.col(vector_col).cast("array<float>" if single else "array<double>")
@@ -195,19 +270,8 @@ def range_join(vectors: DataFrame, least: float = 0.98, *, id_col: str = "vec_id
     known = F.col("label").isNotNull()
     rows = materialize(rows.withColumn("h1", F.when(known, F.xxhash64("label", "v"))).withColumn("h2", F.when(known, F.xxhash64(F.lit("vector"), "v", "label"))), "vectors")
     copies = materialize(rows.where("label is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("id"), F.count("*").alias("rows"), F.first("label").alias("label"), F.first("v").alias("v")), "vector-classes")
-    total = copies.count()
-
     radius = float(np.sqrt(max(0.0, 2 - 2 * least))) + 1e-9
-    sample = copies.select("label", "v", "id").orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).toPandas()
-    trees = {}
-    for key, part in sample.groupby("label"):
-        raw = np.frombuffer(b"".join(part["v"]), kind).reshape(len(part), -1).astype(np.float64)
-        unit = raw / np.linalg.norm(raw, axis=1, keepdims=True)
-        trees[key] = divide(unit, np.ones(len(unit), bool), total / len(sample), radius, iter(range(len(unit) + 1)))
-    table = spark.sparkContext.broadcast(trees)
-    cells = copies.select("label", "id", "rows", "v").mapInPandas(tidy(_assign(table, radius, kind)), "label string, id long, rows long, v binary, cell long, own boolean")
-    cells = materialize(cells, "vector-cells")
-    table.destroy()
+    cells = divided(copies, radius, kind)
 
     sizes = materialize(cells.groupBy("label", "cell").agg(F.count_if("own").alias("mine"), F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("parts")).where("mine > 0").drop("mine"), "vector-blocks")
     dealt = cells.join(checked_broadcast(sizes), ["label", "cell"]).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))

@@ -53,8 +53,9 @@ def test_cells_are_complete_and_follow_the_data(monkeypatch):
     x = np.concatenate([centers, *[c + 0.05 * rng.normal(size=(40, 16)) for c in centers]])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     radius = float(np.sqrt(2 - 2 * 0.98))
-    tree = divide(x, np.ones(len(x), bool), 1.0, radius, iter(range(10_000)))
-    row, cell, own = placed(x, tree, radius)
+    tree, copies = divide(x, np.ones(len(x), bool), 1.0, radius)
+    row, cell, own = placed(x, np.ones(len(x), bool), tree, radius)
+    assert copies <= vectors.MOST_COPIES and len(row) <= copies * len(x)
     assert sorted(row[own].tolist()) == list(range(len(x)))
     where = {}
     for r, c in zip(row.tolist(), cell.tolist(), strict=True):
@@ -64,9 +65,35 @@ def test_cells_are_complete_and_follow_the_data(monkeypatch):
     assert all(home[i] in where[j] for i, j in zip(a.tolist(), b.tolist(), strict=True))
     pairs = sum((own & (cell == c)).sum() * (cell == c).sum() for c in set(cell.tolist()))
     assert pairs < 0.2 * len(x) ** 2  # clusters come apart
-    cloud = rng.normal(size=(1000, 64))
-    cloud /= np.linalg.norm(cloud, axis=1, keepdims=True)
-    assert divide(cloud, np.ones(1000, bool), 1.0, radius, iter(range(10_000))).pivots is None  # a cloud does not
+
+
+def test_a_cloud_stays_one_cell_and_clusters_come_apart_at_any_size(monkeypatch):
+    radius = float(np.sqrt(2 - 2 * 0.98))
+    rng = np.random.default_rng(2)
+    for size in (10**6, 10**8):
+        for seed in range(3):
+            cloud = np.random.default_rng(seed).normal(size=(4000, 64))
+            cloud /= np.linalg.norm(cloud, axis=1, keepdims=True)
+            tree, copies = divide(cloud, np.ones(len(cloud), bool), size / len(cloud), radius)
+            assert tree.pivots is None and copies == 1
+        centers = rng.normal(size=(40, 64))
+        x = np.concatenate([c + 0.02 * rng.normal(size=(100, 64)) for c in centers])
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        tree, copies = divide(x, np.ones(len(x), bool), size / len(x), radius)
+        row, cell, own = placed(x, np.ones(len(x), bool), tree, radius)
+        assert copies <= vectors.MOST_COPIES and len(set(cell.tolist())) >= 30
+
+
+def test_cells_divide_again_in_later_rounds(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "CELL_ROWS", 20)
+    monkeypatch.setattr(vectors, "LEAST_SAMPLE", 4)
+    monkeypatch.setattr(vectors, "SAMPLE_ROWS", 64)
+    monkeypatch.setattr(vectors, "FAN_OUTS", (2,))
+    monkeypatch.setattr(vectors, "MOVE", 0.0)
+    rng = np.random.default_rng(5)
+    centers = rng.normal(size=(16, 8)) * 4
+    rows = [(i, (centers[i % 16] + rng.normal(size=8) * 0.1).tolist(), 1) for i in range(640)]
+    assert result(range_join(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))) == brute(rows)
 
 
 def test_odd_rows_and_empty_table(spark):
