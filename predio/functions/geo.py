@@ -19,13 +19,24 @@ def in_box(lat: Column, lng: Column, box: tuple[float, float, float, float]) ->
     return lat.between(box[0], box[1]) & lng.between(box[2], box[3])
 
 
+#: Metres of a degree in planar distances, and the closeness of points less than so many metres apart.
+PLANAR_METRES = 111_320
+CLOSENESS = ((100, 1.0), (500, 0.8), (1000, 0.5))
+
+
 def planar_closeness(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
-    """1, 0.8, 0.5 or 0 for points within 100, 500, 1000 metres or further; degrees of longitude shrink with |lat| / 90."""
-    dy = F.abs(lat1 - lat2) * 111_000
-    dx = F.abs(lng1 - lng2) * 111_000 * (F.abs(lat1) / 90)
+    """1, 0.8, 0.5 or 0 for points less than 100, 500, 1000 metres apart or further; degrees of longitude shrink with |lat1| / 90.
+
+    A missing or zero coordinate is close to nothing.
+    """
+    dy = F.abs(lat1 - lat2) * PLANAR_METRES
+    dx = F.abs(lng1 - lng2) * PLANAR_METRES * F.abs(lat1) / 90
     metres = F.sqrt(dx * dx + dy * dy)
-    known = lat1.isNotNull() & lng1.isNotNull() & lat2.isNotNull() & lng2.isNotNull()
-    return F.when(~known, 0.0).when(metres <= 100, 1.0).when(metres <= 500, 0.8).when(metres <= 1000, 0.5).otherwise(0.0)
+    known = F.coalesce((lat1 != 0) & (lng1 != 0) & (lat2 != 0) & (lng2 != 0), F.lit(False))
+    chain = F.when(~known, 0.0)
+    for limit, value in CLOSENESS:
+        chain = chain.when(metres < limit, value)
+    return chain.otherwise(0.0)
 
 
 def repair_coordinates(lat: Column, lng: Column, box: tuple[float, float, float, float]) -> Column:

@@ -23,6 +23,15 @@ def scratch_folder(spark: SparkSession) -> str:
     return _LOCAL.setdefault(context.applicationId, f"file://{tempfile.mkdtemp(prefix='predio-')}")
 
 
+#: A side of a join is broadcast only when it was counted at so many rows or fewer.
+BROADCAST_ROWS = 500_000
+
+
+def checked_broadcast(small: DataFrame) -> DataFrame:
+    """Hint a broadcast of narrow rows only if they were counted within ``BROADCAST_ROWS``; else leave it to a shuffle join."""
+    return F.broadcast(small) if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else small
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the scratch folder and read back."""
     path = f"{scratch_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

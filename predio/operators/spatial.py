@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from predio.functions.geo import PLANAR_METRES, haversine_km
 from predio.operators.graph import written
 
-from predio.functions.geo import haversine_km
-
 #: Kilometres of a degree of latitude, a little short, so that a cell is never smaller than the radius.
 KM_PER_DEGREE = 111.0
 
@@ -43,6 +42,31 @@ def radius_join(left: DataFrame, right: DataFrame, km: float, *, right_columns:
     return joined.where(F.col("km") <= km).drop("_lat", "_lng", *keys)
 
 
+def planar_neighbours(rows: DataFrame, metres: float) -> DataFrame:
+    """All pairs of ``rows`` (id, lat, lng, others) less than ``metres`` apart by the planar measure of ``planar_closeness``, as structs a and b, a's id the smaller.
+
+    The measure stretches longitudes by the latitude of ``a``.  Cells are bands of
+    latitude, cut by longitude as widely as the band's flattest part needs; a
+    band at the equator, where the measure knows no longitude, is one cell.
+    """
+    height = metres / PLANAR_METRES * (1 + 1e-9)
+
+    def column(band: Column, lng: Column) -> Column:
+        flattest = F.when(band >= 0, band * F.lit(height)).otherwise(-(band + 1) * F.lit(height))
+        return F.when(flattest > 0, F.floor(lng / (F.lit(height * 90) / flattest))).otherwise(F.lit(0)).cast("long")
+
+    known = rows.where("lat != 0 and lng != 0").withColumn("_band", F.floor(F.col("lat") / height).cast("long"))
+    names = rows.columns
+    left = known.select(F.struct(*names).alias("a"), "_band", column(F.col("_band"), F.col("lng")).alias("_x"))
+    bands = known.withColumn("_band", F.explode(F.array(F.col("_band") - 1, F.col("_band"), F.col("_band") + 1)))
+    x = column(F.col("_band"), F.col("lng"))
+    right = bands.select(F.struct(*names).alias("b"), "_band", F.explode(F.array_distinct(F.when((F.col("_band") == 0) | (F.col("_band") == -1), F.array(x)).otherwise(F.array(x - 1, x, x + 1)))).alias("_x"))
+    pairs = left.join(right, ["_band", "_x"]).where("a.id < b.id").select("a", "b")
+    dy = F.abs(F.col("a.lat") - F.col("b.lat")) * PLANAR_METRES
+    dx = F.abs(F.col("a.lng") - F.col("b.lng")) * PLANAR_METRES * F.abs(F.col("a.lat")) / 90
+    return pairs.where(F.sqrt(dx * dx + dy * dy) < metres)
+
+
 def within(df: DataFrame, lat: float, lng: float, km: float) -> DataFrame:
     """Rows within ``km`` of a point; the box around it is what a scan can prune by."""
     import math

@@ -212,6 +212,6 @@ def money(spark, sf):
     return propiedades(spark, sf).where(p - F.floor(p) != 0.5).select("id", F.concat(F.lit("$"), F.format_number(F.round(p), 0)).alias("texto"))
 
 
-@query("x03_planar_closeness", "SELECT id, CASE WHEN lat IS NULL THEN 0.0 WHEN m <= 100 THEN 1.0 WHEN m <= 500 THEN 0.8 WHEN m <= 1000 THEN 0.5 ELSE 0.0 END::DOUBLE AS cercania FROM (SELECT id, lat, sqrt(pow(abs(lat - -17.80::DOUBLE) * 111000, 2) + pow(abs(lng - -63.20::DOUBLE) * 111000 * (abs(lat) / 90), 2)) AS m FROM propiedades)")
+@query("x03_planar_closeness", "SELECT id, CASE WHEN lat IS NULL THEN 0.0 WHEN m < 100 THEN 1.0 WHEN m < 500 THEN 0.8 WHEN m < 1000 THEN 0.5 ELSE 0.0 END::DOUBLE AS cercania FROM (SELECT id, lat, sqrt(pow(abs(lat - -17.80::DOUBLE) * 111320, 2) + pow(abs(lng - -63.20::DOUBLE) * 111320 * abs(lat) / 90, 2)) AS m FROM propiedades)")
 def closeness(spark, sf):
     return propiedades(spark, sf).select("id", planar_closeness(F.col("lat"), F.col("lng"), F.lit(-17.80), F.lit(-63.20)).alias("cercania"))

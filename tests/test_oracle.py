@@ -12,7 +12,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 #: Checked in test_plain_loops and test_functions.
-PLAIN = {"j17_scored_duplicates", "x39_title_similarity", "x42_same_agent", "x28_found_fields", "x29_price_candidates", "r15_question_answers", "r18_chat_search", "r19_briefing"}
+PLAIN = {"j17_scored_duplicates", "j17_scored_greedy", "x39_title_similarity", "x42_same_agent", "x28_found_fields", "x29_price_candidates", "r15_question_answers", "r18_chat_search", "r19_briefing"}
 
 
 def test_no_query_goes_unchecked():

@@ -1,15 +1,17 @@
 """Queries without SQL against plain Python over the same rows."""
 
 import difflib
+import random
 import re
 
 import pytest
 
 from predio.functions import enrichment as e
 from predio.functions import extraction as x
-from predio.operators.duplicates import WEIGHTS
+from predio.operators.duplicates import scored_pairs
+from predio.operators.similar import similar_candidates
 from predio.plans import registered
-from predio.plans.resolution import repeated
+from predio.plans.resolution import people, repeated
 from predio.plans.scoring import QUESTIONS
 from predio.sources.views import agentes, crudos, propiedades
 
@@ -20,8 +22,16 @@ def plain(text):
     return re.sub(r"\s+", " ", re.sub(r"[^\w\s]", "", (text or "").lower())).strip()
 
 
+MATCHERS = {}
+
+
 def ratio(a, b):
-    return difflib.SequenceMatcher(None, a, b).ratio() if a and b else 0.0
+    if not a or not b:
+        return 0.0
+    if b not in MATCHERS:
+        MATCHERS[b] = difflib.SequenceMatcher(None, "", b)
+    MATCHERS[b].set_seq1(a)
+    return MATCHERS[b].ratio()
 
 
 def test_title_similarity(spark, sf_dir):
@@ -29,35 +39,108 @@ def test_title_similarity(spark, sf_dir):
     assert {r.id: r.parecido for r in QUERIES["x39_title_similarity"](spark, sf_dir).collect()} == pytest.approx(want, abs=1e-6)
 
 
+def one_agent(x, y):
+    """The rule by which two records are of one agent, in its own words."""
+    if x.email and y.email and x.email == y.email:
+        return "correo"
+    if x.telefono and y.telefono and x.telefono == y.telefono:
+        return "teléfono"
+    alike = ratio(plain(x.nombre), plain(y.nombre))
+    if alike > 0.8 and ((x.email and y.email) or (x.telefono and y.telefono)):
+        return "nombre y contacto"
+    if alike > 0.95:
+        return "nombre"
+    if alike > 0.7 and x.empresa and x.empresa == y.empresa:
+        return "nombre y empresa"
+    return None
+
+
 def test_same_agent(spark):
-    sf, by_phone, want = "/root/testdata/sf0.01", {}, set()
-    for r in agentes(spark, sf).where("telefono is not null").collect():
-        by_phone.setdefault(r.telefono, []).append((r.id, plain(r.nombre)))
-    for people in by_phone.values():
-        want |= {(a, b) for a, m in people for b, n in people if a < b and ratio(m, n) >= 0.8}
-    got = [tuple(r) for r in QUERIES["x42_same_agent"](spark, sf).collect()]
-    assert len(got) == len(want) and set(got) == want and want
+    rows = sorted(people(spark, "/root/testdata/sf0.01").where("id <= 700").collect(), key=lambda r: r.id)
+    want = {(x.id, y.id): rule for i, x in enumerate(rows) for y in rows[i + 1 :] if (rule := one_agent(x, y))}
+    got = {(r.a, r.b): r.regla for r in QUERIES["x42_same_agent"](spark, "/root/testdata/sf0.01").collect()}
+    assert {k: v for k, v in got.items() if k[1] <= 700} == want
+    assert set(want.values()) == {"correo", "teléfono", "nombre y contacto", "nombre", "nombre y empresa"}
+
+
+def places(x, y):
+    if not (x.lat and x.lng and y.lat and y.lng):
+        return 0.0
+    dy, dx = abs(x.lat - y.lat) * 111320, abs(x.lng - y.lng) * 111320 * abs(x.lat) / 90
+    metres = (dx * dx + dy * dy) ** 0.5
+    return 1.0 if metres < 100 else 0.8 if metres < 500 else 0.5 if metres < 1000 else 0.0
+
+
+def duplicate(x, y, tx, ty):
+    """(score, reason) of two listings, or None; every part is worked out for every pair."""
+    title, place = ratio(tx, ty), places(x, y)
+    price = max(0, 1 - abs(x.precio_usd - y.precio_usd) / ((x.precio_usd + y.precio_usd) / 2)) if x.precio_usd and y.precio_usd else 0.0
+    same = [bool(x.dormitorios and x.dormitorios == y.dormitorios), bool(x.banos and x.banos == y.banos), bool(x.superficie and y.superficie and abs(x.superficie - y.superficie) / ((x.superficie + y.superficie) / 2) < 0.1)]
+    zone = 1.0 if x.zona and y.zona and x.zona.lower() == y.zona.lower() else 0.0
+    score = (title * 0.7 + price * 0.6 + place * 0.8 + sum(same) / 3 * 0.5 + zone * 0.4) / 3
+    if title > 0.8 and price > 0.9:
+        return score, "Título y precio muy similares"
+    if title > 0.6 and place > 0.8:
+        return score, "Título similar y coordenadas idénticas"
+    if score > 0.75:
+        return score, "Coordenadas exactamente iguales" if place > 0.9 else "Precio exactamente igual" if price > 0.95 else "Múltiples características similares"
+    return None
+
+
+def all_duplicates(rows):
+    rows = sorted((r for r in rows if r.url), key=lambda r: r.id)
+    titles = [plain(r.titulo) for r in rows]
+    return {(x.id, y.id): found for i, x in enumerate(rows) for j, y in enumerate(rows[i + 1 :], i + 1) if x.url != y.url and (found := duplicate(x, y, titles[i], titles[j]))}
+
+
+def one_pass(pairs):
+    """What a pass by id keeps: a listing matched before is skipped."""
+    gone, out = set(), set()
+    for a, b in sorted(pairs):
+        if a not in gone and b not in gone:
+            out.add((a, b))
+            gone.add(b)
+    return out
 
 
 def test_scored_duplicates(spark, sf_dir):
-    rows = [r for r in repeated(spark, sf_dir).collect() if r.zona and r.precio_usd and r.precio_usd > 0]
-    zones, want = {}, {}
-    for r in rows:
-        zones.setdefault(r.zona.lower(), []).append(r)
-    near = lambda a, b: 0.0 if None in (a.lat, a.lng, b.lat, b.lng) else next((v for most, v in ((100, 1.0), (500, 0.8), (1000, 0.5)) if ((abs(a.lat - b.lat) * 111_000) ** 2 + (abs(a.lng - b.lng) * 111_000 * (abs(a.lat) / 90)) ** 2) ** 0.5 <= most), 0.0)
-    for own in zones.values():
-        for i, p in enumerate(own):
-            for q in own[i + 1 :]:
-                a, b = sorted((p, q), key=lambda r: r.id)
-                if abs(a.precio_usd - b.precio_usd) > 0.1 * min(a.precio_usd, b.precio_usd):
-                    continue
-                price = max(0.0, 1 - abs(a.precio_usd - b.precio_usd) / ((a.precio_usd + b.precio_usd) / 2))
-                title, place, kind = ratio(plain(a.titulo), plain(b.titulo)), near(a, b), float(a.tipo.lower() == b.tipo.lower())
-                score = (title * WEIGHTS["titulo"] + price * WEIGHTS["precio"] + place * WEIGHTS["coordenadas"] + WEIGHTS["zona"] + kind * WEIGHTS["tipo"]) / sum(WEIGHTS.values())
-                if (place >= 0.8 and price >= 0.95) or (title >= 0.95 and price >= 0.98) or score >= 0.85:
-                    want[a.id, b.id] = score
-    got = {(r.a, r.b): r.puntaje for r in QUERIES["j17_scored_duplicates"](spark, sf_dir).collect()}
-    assert got == pytest.approx(want, abs=1e-4) and want
+    """The given listings with their second entries: 1,500 and 300 rows, every pair."""
+    want = all_duplicates(repeated(spark, sf_dir).collect())
+    got = {(r.a, r.b): (r.puntaje, r.motivo) for r in QUERIES["j17_scored_duplicates"](spark, sf_dir).collect()}
+    assert got.keys() == want.keys() and len(want) > 100
+    assert all(v[1] == want[k][1] and abs(v[0] - want[k][0]) < 1e-6 for k, v in got.items())
+    assert {(r.a, r.b) for r in QUERIES["j17_scored_greedy"](spark, sf_dir).collect()} == one_pass(want)
+
+
+def test_scored_duplicates_of_made_listings(spark):
+    """Texts from none to long, points from the equator to the pole, gaps and zeros everywhere."""
+    rng = random.Random(11)
+    bases = ["", "a", "ab", "casa", "Casa en venta", "Departamento 2 dormitorios, Equipetrol!", "Terreno en la zona norte con todos los servicios y papeles al día", "xyz " * 60]
+    rows = []
+    for i in range(420):
+        t = list(rng.choice(bases))
+        for _ in range(rng.randrange(4)):
+            t[rng.randrange(len(t) + 1) : rng.randrange(len(t) + 1)] = rng.choice(["", "x", "ñ", " 9"])
+        lat = rng.choice([0.0, 0.001, -0.004, -17.8, -17.8, 64.2, None])
+        near = rng.choice([0, 0.0003, 0.003, 0.02, 0.4])
+        rows.append((i, rng.choice([None, "u1", "u2", *[f"u{i}"] * 8]), rng.choice(["".join(t), None]) if rng.random() < 0.1 else "".join(t), rng.choice([None, 0.0, 100_000.0, 104_000.0, 109_000.0, 111_000.0, 150_000.0]),
+                     None if lat is None else lat + rng.random() * near / 10, rng.choice([-63.2, 0.0, 20.0]) + rng.random() * near, rng.choice([None, "", "Norte", "NORTE", "sur"]), rng.choice([None, 0, 2, 3]), rng.choice([0, 1, 2]), rng.choice([None, 0.0, 100.0, 105.0])))
+    df = spark.createDataFrame(rows, "id long, url string, titulo string, precio_usd double, lat double, lng double, zona string, dormitorios int, banos int, superficie double")
+    want = all_duplicates(df.collect())
+    got = {(r.a, r.b): (r.puntaje, r.motivo) for r in scored_pairs(df).collect()}
+    assert got.keys() == want.keys() and {m for _, m in want.values()} >= {"Título y precio muy similares", "Título similar y coordenadas idénticas", "Coordenadas exactamente iguales"}
+    assert all(v[1] == want[k][1] and abs(v[0] - want[k][0]) < 1e-9 for k, v in got.items())
+    assert scored_pairs(df.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("percent", [70, 80, 90])
+def test_candidates_lose_no_similar_pair(spark, percent):
+    rng = random.Random(percent)
+    texts = ["".join(rng.choice("abc ") for _ in range(rng.randrange(12))).strip() for _ in range(160)] + ["".join(rng.choice("abcdefghij ") for _ in range(40)) for _ in range(5)]
+    texts += [t[:i] + rng.choice("axz") + t[i + rng.randrange(2) :] for t in texts for i in [rng.randrange(len(t) + 1)]]
+    got = {(r.a, r.b) for r in similar_candidates(spark.createDataFrame(list(enumerate(texts)), "id long, t string"), percent).collect()}
+    want = {(i, j) for i, x in enumerate(texts) for j, y in enumerate(texts[i + 1 :], i + 1) if ratio(x, y) > percent / 100}
+    assert want <= got and len(got) < len(texts) ** 2 / 2
 
 
 def test_found_fields(spark, sf_dir):
