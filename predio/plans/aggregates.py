@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from predio import schema
 from predio.functions.geo import in_box
+from predio.operators.quantiles import exact_quantiles
 from predio.plans.registry import query
 from predio.sources.views import agentes, crudos, metricas, propiedades, servicios
 
@@ -181,12 +182,15 @@ def rules(spark, sf):
     return joined.select("precio_lleno", "sin_negativos", "zonas_suficientes", (F.col("mayor") * 2 < F.col("todas")).alias("sin_monopolio"), "pocos_tipos", "ids_unicos", "coordenadas_repetidas")
 
 
-@query("a27_price_outliers", "q AS (SELECT quantile_cont(precio_usd, 0.25) AS q1, quantile_cont(precio_usd, 0.75) AS q3 FROM propiedades WHERE zona <> 'x') SELECT id, precio_usd FROM propiedades, q WHERE precio_usd < q1 - 0.15 * (q3 - q1) OR precio_usd > q3 + 0.35 * (q3 - q1)")
+@query("a27_price_outliers", "q AS (SELECT quantile_cont(precio_usd, 0.25) AS q1, quantile_cont(precio_usd, 0.75) AS q3 FROM propiedades WHERE precio_usd <> 0) SELECT id, precio_usd FROM propiedades, q WHERE precio_usd <> 0 AND (precio_usd < q1 - 1.5 * (q3 - q1) OR precio_usd > q3 + 1.5 * (q3 - q1))")
 def outliers(spark, sf):
-    p = propiedades(spark, sf)
-    q = p.agg(F.percentile(precio(), F.array(F.lit(0.25), F.lit(0.75))).alias("q")).select(F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
-    span = F.col("q3") - F.col("q1")
-    return p.join(F.broadcast(q), F.lit(True)).where((precio() < F.col("q1") - 0.15 * span) | (precio() > F.col("q3") + 0.35 * span)).select("id", "precio_usd")  # one row is broadcast
+    return price_outliers(propiedades(spark, sf).select("id", "precio_usd").where(precio() != 0))
+
+
+def price_outliers(p, factor=1.5):
+    """Rows with a price further than ``factor`` times the middle half's width from that half."""
+    q1, q3 = exact_quantiles(p, "precio_usd", [0.25, 0.75]) or (0.0, 0.0)
+    return p.where((precio() < q1 - factor * (q3 - q1)) | (precio() > q3 + factor * (q3 - q1)))
 
 
 COMPLETE = "(CASE WHEN titulo <> '' THEN 20 ELSE 0 END + CASE WHEN precio_usd > 0 THEN 25 ELSE 0 END + CASE WHEN lat IS NOT NULL AND lng IS NOT NULL THEN 30 ELSE 0 END + CASE WHEN superficie > 0 THEN 15 ELSE 0 END + CASE WHEN url IS NOT NULL THEN 10 ELSE 0 END)"

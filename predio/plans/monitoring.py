@@ -59,10 +59,9 @@ def load(spark, sf):
     return m.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("minuto"), "n", F.when(F.col("n") < 5, "LENTO").when(F.col("n") > 100, "SOBRECARGA").otherwise("NORMAL").alias("estado"))
 
 
-@query("m07_recommendations", "SELECT proveedor, concat_ws('; ', CASE WHEN exito < 90 THEN 'revisar errores' END, CASE WHEN duracion > 50 THEN 'optimizar tiempos' END, CASE WHEN tokens > 1000 THEN 'reducir tokens' END) AS consejo FROM (SELECT proveedor, 100.0 * count(*) FILTER (WHERE estado = 'exito') / count(*) AS exito, avg(duracion) AS duracion, sum(tokens) AS tokens FROM metricas GROUP BY proveedor)")
+@query("m07_recommendations", f"{ALERTS}, t AS (SELECT proveedor, round(100.0::DOUBLE * count(*) FILTER (WHERE estado = 'exito') / count(*), 4) AS exito, round(avg(duracion), 4) AS duracion, sum(tokens) AS tokens FROM metricas GROUP BY proveedor), c AS (SELECT 1 AS orden, proveedor AS de, 'Revisar estrategia del Proveedor ' || proveedor || ' - tasa de éxito baja' AS consejo FROM t WHERE exito < 90 UNION ALL SELECT 2, proveedor, 'Optimizar procesamiento del Proveedor ' || proveedor || ' - tiempo promedio alto' FROM t WHERE duracion > 20 UNION ALL SELECT 3, NULL, 'Considerar optimizar el uso de IA para reducir costos' FROM (SELECT sum(tokens) AS n FROM t) WHERE n * 0.01 > 10 UNION ALL SELECT 4, NULL, 'Investigar causas de alertas críticas frecuentes' FROM (SELECT count(*) AS n FROM avisos WHERE nivel = 'ALTO') WHERE n > 5) SELECT CAST(orden AS INTEGER) AS orden, consejo FROM c UNION ALL SELECT 5, 'Sistema funcionando dentro de parámetros normales' WHERE NOT EXISTS (SELECT 1 FROM c)")
 def advice(spark, sf):
-    t = monitor.provider_totals(metricas(spark, sf))
-    return t.select("proveedor", F.concat_ws("; ", F.when(F.col("exito") < 90, "revisar errores"), F.when(F.col("duracion") > 50, "optimizar tiempos"), F.when(F.col("tokens") > 1000, "reducir tokens")).alias("consejo"))
+    return monitor.recommendations(metricas(spark, sf))
 
 
 @query("x48_error_kinds", "SELECT clase, count(*) AS n FROM (SELECT CASE WHEN contains(texto, 'timeout') THEN 'tiempo' WHEN contains(texto, '429') THEN 'limite' WHEN regexp_matches(texto, '\\b5\\d\\d\\b') THEN 'servidor' ELSE 'otro' END AS clase FROM (SELECT CASE CAST(event_id % 4 AS INTEGER) WHEN 0 THEN 'request timeout' WHEN 1 THEN 'HTTP 429' WHEN 2 THEN 'HTTP 503' ELSE '' END AS texto FROM metricas WHERE estado = 'error')) GROUP BY clase")

@@ -83,6 +83,24 @@ def system_state(rate: Column, grave: Column) -> Column:
     return F.when((rate >= 95) & (grave == 0), "EXCELENTE").when((rate >= 90) & (grave <= 2), "BUENO").when((rate >= 80) & (grave <= 5), "ACEPTABLE").otherwise("REQUIERE_ATENCION")
 
 
+# What is recommended, in its order.
+ADVICE = (
+    "Revisar estrategia del Proveedor %s - tasa de éxito baja", "Optimizar procesamiento del Proveedor %s - tiempo promedio alto", "Considerar optimizar el uso de IA para reducir costos",
+    "Investigar causas de alertas críticas frecuentes", "Sistema funcionando dentro de parámetros normales",
+)
+
+
+def recommendations(metrics: DataFrame, min_rate: float = 90, max_seconds: float = 20, max_cost: float = 10, max_grave: int = 5, token_cost: float = 0.01) -> DataFrame:
+    """(orden, consejo): per provider a low success rate and long runs, then the whole cost, many grave alerts, or that all is normal."""
+    totals = provider_totals(metrics)
+    of_provider = lambda i, rule: totals.where(rule).select(F.lit(i + 1).alias("orden"), F.format_string(ADVICE[i], F.col("proveedor").cast("string")).alias("consejo"))
+    of_all = lambda i, df: df.select(F.lit(i + 1).alias("orden"), F.lit(ADVICE[i]).alias("consejo"))
+    cost = totals.agg(F.sum("tokens").alias("n")).where(F.col("n") * token_cost > max_cost)
+    grave = alerts_in_full(metrics).where("nivel = 'ALTO'").agg(F.count("*").alias("n")).where(F.col("n") > max_grave)
+    found = of_provider(0, F.col("exito") < min_rate).unionByName(of_provider(1, F.col("duracion") > max_seconds)).unionByName(of_all(2, cost)).unionByName(of_all(3, grave))
+    return found.unionByName(of_all(4, found.agg(F.count("*").alias("n")).where("n = 0")))
+
+
 def _alert_state(key, frames, state):
     """Running success and cost of one provider over the micro-batches."""
     import pandas as pd

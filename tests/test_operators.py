@@ -3,12 +3,14 @@
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from predio.functions.geo import haversine_km
 from predio.operators import duplicates, filters, leads, recommend, router
 from predio.operators.graph import groups
+from predio.operators.quantiles import exact_quantiles
 from predio.operators.spatial import nearest, radius_join, within
 from predio.operators.upsert import insert_ignore, upsert
 from predio.sources import io
@@ -188,3 +190,14 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
         q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
         q.awaitTermination(120)
         assert sorted(map(str, map(tuple, spark.table(name).collect()))) == sorted(map(str, map(tuple, want.collect())))
+
+
+@pytest.mark.parametrize("few", [0, 7, 10_000])
+def test_exact_quantiles(spark, few):
+    rng = random.Random(few)
+    cases = [[5.0], [1.0, 2.0], [rng.random() * 10 ** rng.randrange(-3, 9) for _ in range(997)], [7.0] * 300 + [1.0, 9.0] * 40, [-1e308, 1e308, 0.0, 3.0] * 5, [float(i) for i in range(100)]]
+    for values in cases:
+        df = spark.createDataFrame([(v,) for v in values] + [(None,), (float("nan"),)], "v double")
+        shares = [0.0, 0.25, 0.5, 0.75, 0.99, 1.0]
+        assert exact_quantiles(df, "v", shares, few) == pytest.approx(list(np.quantile(np.array(values, dtype=np.longdouble), shares).astype(float)), rel=1e-12)
+    assert exact_quantiles(spark.createDataFrame([(None,)], "v double"), "v", [0.5]) is None
