@@ -101,23 +101,27 @@ def recommendations(metrics: DataFrame, min_rate: float = 90, max_seconds: float
     return found.unionByName(of_all(4, found.agg(F.count("*").alias("n")).where("n = 0")))
 
 
+def _exceeded(rows, n, good, spent):
+    """Alerts (event_id, ts, alerta) of a provider's next runs, and its counts after them; runs go by time and event."""
+    import numpy as np
+    import pandas as pd
+
+    rows = rows.sort_values(["ts", "event_id"], ignore_index=True)
+    count = n + np.arange(1, len(rows) + 1)
+    right = good + (rows["estado"] == "exito").to_numpy().cumsum()
+    cost = spent + rows["tokens"].fillna(0).to_numpy(dtype=np.int64).cumsum()
+    found = {"tasa": (count >= 10) & (100 * right < 90 * count), "duracion": (rows["duracion"] > 30).to_numpy(), "costo": cost * 0.01 > 50}
+    alerts = pd.concat([rows.loc[hit, ["event_id", "ts"]].assign(alerta=kind) for kind, hit in found.items()])
+    return alerts.sort_values(["ts", "event_id"], kind="stable"), (int(count[-1]), int(right[-1]), int(cost[-1]))
+
+
 def _alert_state(key, frames, state):
     """Running success and cost of one provider over the micro-batches."""
     import pandas as pd
 
-    n, good, spent = state.get if state.exists else (0, 0, 0)
-    rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-    out = []
-    for r in rows.itertuples():
-        n, good, spent = n + 1, good + (r.estado == "exito"), spent + (0 if pd.isna(r.tokens) else int(r.tokens))
-        if n >= 10 and 100 * good / n < 90:
-            out.append((r.event_id, "tasa"))
-        if r.duracion > 30:
-            out.append((r.event_id, "duracion"))
-        if spent * 0.01 > 50:
-            out.append((r.event_id, "costo"))
-    state.update((n, int(good), spent))
-    yield pd.DataFrame(out, columns=["event_id", "alerta"])
+    found, counts = _exceeded(pd.concat(list(frames)), *(state.get if state.exists else (0, 0, 0)))
+    state.update(counts)
+    yield found[["event_id", "alerta"]]
 
 
 def streamed_alerts(metrics: DataFrame) -> DataFrame:
@@ -130,6 +134,89 @@ def streamed_alerts(metrics: DataFrame) -> DataFrame:
     return metrics.groupBy("proveedor").applyInPandasWithState(_alert_state, "event_id long, alerta string", "n long, good long, spent long", "append", "NoTimeout")
 
 
+def _log_state(hours: int, most: int):
+    span = hours * 3600 * 1_000_000
+
+    def run(key, frames, state):
+        import pandas as pd
+
+        *counts, ids, times, kinds = state.get if state.exists else (0, 0, 0, [], [], [])
+        counts, log = tuple(counts), pd.DataFrame({"event_id": ids, "at": times, "alerta": kinds})
+        if not state.hasTimedOut:
+            rows = pd.concat(list(frames))
+            new, counts = _exceeded(rows, *counts)
+            at = pd.to_datetime(new["ts"]).astype("datetime64[us]").astype("int64")
+            log = pd.concat([log, new.assign(at=at)[["event_id", "at", "alerta"]]]) if len(log) else new.assign(at=at)[["event_id", "at", "alerta"]]
+            latest = int(pd.to_datetime(rows["ts"]).max().to_datetime64().astype("datetime64[us]").astype("int64"))
+        else:
+            latest = state.getCurrentWatermarkMs() * 1000
+        latest = max([latest, *log["at"].tolist()[-1:]]) if not state.hasTimedOut else latest
+        log = log[log["at"] > latest - span].sort_values(["at", "event_id"], kind="stable").tail(most)
+        state.update((*counts, log["event_id"].tolist(), log["at"].tolist(), log["alerta"].tolist()))
+        if len(log):
+            # the log is looked at again when its oldest alert is too old
+            state.setTimeoutTimestamp(max(int(log["at"].iloc[0] + span) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"proveedor": [key[0]], "alertas": [len(log)], "ultimas": [[f"{i}:{k}" for i, k in zip(log["event_id"], log["alerta"], strict=True)]]})
+
+    return run
+
+
+def streamed_alert_log(metrics: DataFrame, hours: int = 24, most: int = 100, late: str = "2 hours") -> DataFrame:
+    """(proveedor, alertas, ultimas) whenever a provider's alert log changes: its alerts of the last ``hours``, the last ``most`` of them.
+
+    State holds the running counts and the log alone.  An alert leaves when it
+    is older than ``hours`` before the provider's latest run, or before the
+    watermark if no run comes: a timer then brings the shorter log.
+    """
+    state = "n long, good long, spent long, ids array<long>, times array<long>, kinds array<string>"
+    return metrics.withWatermark("ts", late).groupBy("proveedor").applyInPandasWithState(_log_state(hours, most), "proveedor long, alertas long, ultimas array<string>", state, "update", "EventTimeTimeout")
+
+
+def _pair_state(most_seconds: int):
+    def run(key, frames, state):
+        import pandas as pd
+
+        start, end, told = state.get if state.exists else (None, None, False)
+        out = []
+        if state.hasTimedOut:
+            if not told:
+                out.append((start, end, "sin fin" if end is None else "sin inicio"))
+            state.remove()
+        else:
+            rows = pd.concat(list(frames))
+            micros = pd.to_datetime(rows["ts"]).astype("datetime64[us]").astype("int64")
+            starts, ends = micros[(rows["tipo"] == "inicio").to_numpy()], micros[(rows["tipo"] == "fin").to_numpy()]
+            if not told:  # what comes after a pair was told is a repetition
+                start = min([x for x in (start, *starts.tolist()) if x is not None], default=None)
+                end = min([x for x in (end, *ends.tolist()) if x is not None], default=None)
+                if start is not None and end is not None:
+                    told = True
+                    out.append((start, end, "completa"))
+            state.update((start, end, told))
+            wake = int(micros.max()) // 1000 + most_seconds * 1000
+            state.setTimeoutTimestamp(max(wake, state.getCurrentWatermarkMs() + 1))
+        stamp = lambda v: pd.NaT if v is None else pd.Timestamp(v, unit="us")
+        told_rows = [(key[0], stamp(a), stamp(b), None if a is None or b is None else (b - a) / 1e6, how) for a, b, how in out]
+        frame = pd.DataFrame(told_rows, columns=["operacion", "inicio", "fin", "segundos", "estado"])
+        yield frame.astype({"inicio": "datetime64[us]", "fin": "datetime64[us]", "segundos": "float64"})
+
+    return run
+
+
+def streamed_durations(marks: DataFrame, most_seconds: int = 3600, late: str = "10 minutes") -> DataFrame:
+    """(operacion, inicio, fin, segundos, estado) of operations whose start and finish come as rows (operacion, tipo, ts) of a stream.
+
+    ``tipo`` is inicio or fin.  A pair is told once, as soon as both are there,
+    in whichever order; repeated marks change nothing.  Where ``most_seconds``
+    after the last mark the other one has not come, the operation is told as
+    "sin fin" or "sin inicio".  State is one small row for each operation of
+    the time that ``late`` and ``most_seconds`` span, and goes when its timer does.
+    """
+    source = marks.where("operacion is not null and tipo in ('inicio', 'fin') and ts is not null").withWatermark("ts", late)
+    schema = "operacion string, inicio timestamp, fin timestamp, segundos double, estado string"
+    return source.groupBy("operacion").applyInPandasWithState(_pair_state(most_seconds), schema, "start long, end long, told boolean", "append", "EventTimeTimeout")
+
+
 def error_kind(text: Column) -> Column:
     low = F.lower(text)
     return F.when(low.contains("timeout"), "tiempo").when(low.contains("429"), "limite").when(low.rlike(r"\b5\d\d\b"), "servidor").otherwise("otro")

@@ -201,3 +201,62 @@ def test_exact_quantiles(spark, few):
         shares = [0.0, 0.25, 0.5, 0.75, 0.99, 1.0]
         assert exact_quantiles(df, "v", shares, few) == pytest.approx(list(np.quantile(np.array(values, dtype=np.longdouble), shares).astype(float)), rel=1e-12)
     assert exact_quantiles(spark.createDataFrame([(None,)], "v double"), "v", [0.5]) is None
+
+
+def fed(spark, tmp_path, name, schema, batches, make, mode):
+    """What a streamed operator gives for each file in turn, and the rows of its state at the end."""
+    folder, table = tmp_path / "in", f"t_{name}"
+    folder.mkdir()
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(folder))
+        q = make(source).writeStream.format("memory").queryName(table).outputMode(mode).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True)
+        out = []
+        q = q.foreachBatch(lambda df, i, out=out: out.extend(df.collect())).start()
+        q.awaitTermination(120)
+        left = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+        yield out, left[-1] if left else 0
+
+
+def test_durations_over_a_stream(spark, tmp_path):
+    import datetime
+
+    at = lambda m: datetime.datetime(2025, 1, 1, 8) + datetime.timedelta(minutes=m)
+    batches = [
+        [("a", "inicio", at(0)), ("b", "fin", at(3)), ("c", "inicio", at(1)), (None, "fin", at(1)), ("x", "otro", at(1)), ("e", "fin", at(2))],
+        [("a", "fin", at(5)), ("a", "fin", at(6)), ("b", "inicio", at(2))],  # repeated finish; finish before start
+        [("a", "inicio", at(0)), ("d", "inicio", at(200))],  # repeated start; time goes on
+        [("d", "fin", at(201))], [("f", "inicio", at(600))], [("g", "inicio", at(601))],
+    ]
+    got, states = [], []
+    for rows, state in fed(spark, tmp_path, "durations", "operacion string, tipo string, ts timestamp", batches, monitor.streamed_durations, "append"):
+        got.append(sorted((r.operacion, r.segundos, r.estado) for r in rows))
+        states.append(state)
+    assert got[0] == [] and got[1] == [("a", 300.0, "completa"), ("b", 60.0, "completa")]
+    told = [r for rows in got for r in rows]
+    assert sorted(told, key=str) == sorted([("a", 300.0, "completa"), ("b", 60.0, "completa"), ("c", None, "sin fin"), ("d", 60.0, "completa"), ("e", None, "sin inicio")], key=str)
+    assert max(states) == 4 and states[-1] <= 2
+
+
+def test_alert_log_over_a_stream(spark, tmp_path):
+    import datetime
+
+    rng = random.Random(5)
+    at = lambda h: datetime.datetime(2025, 1, 1) + datetime.timedelta(hours=h)
+    schema = "event_id long, ts timestamp, proveedor long, estado string, duracion double, tokens long"
+    hours = [0, 5, 10, 20, 30, 31, 60]
+    batches = [[(100 * i + j, at(h + rng.random() * 2), j % 2, rng.choice(["exito"] * 9 + ["error"]), rng.choice([5.0, 31.0]), 1) for j in range(30)] for i, h in enumerate(hours)]
+    seen, last = [], {}
+    for i, (rows, _) in enumerate(fed(spark, tmp_path, "log", schema, batches, lambda s: monitor.streamed_alert_log(s, most=40), "update")):
+        seen += batches[i]
+        last |= {r.proveedor: r.ultimas for r in rows}
+        for provider in (0, 1):
+            n = good = 0
+            log = []
+            for event, ts, p, state, seconds, _ in sorted(seen, key=lambda r: (r[0] // 100, r[1], r[0])):
+                if p == provider:
+                    n, good = n + 1, good + (state == "exito")
+                    log += [(ts, event, "tasa")] * (n >= 10 and 100 * good < 90 * n) + [(ts, event, "duracion")] * (seconds > 30)
+            latest = max(r[1] for r in seen if r[2] == provider)
+            want = [f"{e}:{k}" for t, e, k in sorted(log, key=lambda r: r[:2]) if t > latest - datetime.timedelta(hours=24)][-40:]
+            assert sorted(last[provider]) == sorted(want)
