@@ -8,13 +8,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from predio.functions.geo import haversine_km
-from predio.operators import duplicates, filters, leads, recommend, router
+from predio.operators import duplicates, filters, incremental, leads, recommend, router
 from predio.operators.graph import groups
 from predio.operators.quantiles import exact_quantiles
 from predio.operators.spatial import nearest, radius_join, within
 from predio.operators.upsert import insert_ignore, upsert
 from predio.sources import io
-from predio.sources.views import metricas
+from predio.sources.views import metricas, propiedades
 from predio.streaming import monitor
 
 
@@ -260,3 +260,33 @@ def test_alert_log_over_a_stream(spark, tmp_path):
             latest = max(r[1] for r in seen if r[2] == provider)
             want = [f"{e}:{k}" for t, e, k in sorted(log, key=lambda r: r[:2]) if t > latest - datetime.timedelta(hours=24)][-40:]
             assert sorted(last[provider]) == sorted(want)
+
+
+def test_zone_coverage_refreshed_from_changes(spark, sf_dir, tmp_path):
+    """Inserts, updates, deletes and retries of nothing: the same as recomputing; untouched buckets keep their files."""
+    folder = str(tmp_path / "zones")
+    rows = [tuple(r) for r in propiedades(spark, sf_dir).select("id", "zona", "tipo", "lat", "precio_usd").collect()] + [(-1, None, None, None, None), (-2, "alone", "x", 1.0, 0.0)]
+    schema = "id long, zona string, tipo string, lat double, precio_usd double"
+    frame = lambda data: spark.createDataFrame(data, schema)
+    files = lambda: {str(f): f.stat().st_mtime_ns for f in (tmp_path / "zones").rglob("part-*")}
+    incremental.create(incremental.counted(frame(rows)), folder)
+    now = {r[0]: r for r in rows}
+    zones = sorted({r[1] for r in rows if r[1]})
+    rng = random.Random(3)
+    for touched in ([zones[0]], [zones[1], zones[2], "brand new"], ["alone"], []):
+        old = [r for r in now.values() if r[1] in touched]
+        gone = old if touched == ["alone"] else rng.sample(old, len(old) // 2)
+        fresh = [(r[0], rng.choice(touched), "nuevo", rng.choice([None, 2.0]), rng.choice([None, -5.0, 0.0, 123.45])) for r in gone[::2]] if touched != ["alone"] else []
+        fresh += [(10**9 + len(now) + i, z, "otro", 1.0, 10.05) for i, z in enumerate(touched) if z != "alone"]
+        for r in gone:
+            del now[r[0]]
+        now |= {r[0]: r for r in fresh}
+        before = files()
+        incremental.refresh(spark, folder, incremental.changes(frame(gone), frame(fresh)))
+        after = files()
+        cut = [f for f in before if after.get(f) != before[f]]
+        assert len(cut) <= len(touched) and (touched or before == after)
+        got = {tuple(r) for r in incremental.coverage(incremental.read(spark, folder)).collect()}
+        want = frame(list(now.values())).groupBy("zona").agg(F.count("*"), F.count("lat"), F.count_distinct("tipo"), F.round(F.avg(F.when(F.col("precio_usd") > 0, F.round("precio_usd", 2))), 0))
+        assert got == {tuple(r) for r in want.collect()}
+    assert "alone" not in {r[0] for r in got} and "brand new" in {r[0] for r in got}
