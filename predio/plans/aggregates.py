@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from predio import schema
 from predio.functions.geo import in_box
+from predio.operators import incremental
+from predio.operators.graph import scratch_folder
 from predio.operators.quantiles import exact_quantiles
 from predio.plans.registry import query
 from predio.sources.views import agentes, crudos, metricas, propiedades, servicios
@@ -119,6 +123,19 @@ def zone_coverage(spark, sf):
     return propiedades(spark, sf).groupBy("zona").agg(F.count("*").alias("n"), F.count("lat").alias("con_coordenadas"), F.count_distinct("tipo").alias("tipos"), F.round(F.avg(F.when(precio() > 0, precio())), 0).alias("media"))
 
 
+@query("a18_refreshed_coverage", "SELECT zona, count(*) AS n, count(*) FILTER (WHERE lat IS NOT NULL) AS con_coordenadas, count(DISTINCT tipo) AS tipos, round(avg(precio_usd) FILTER (WHERE precio_usd > 0), 0) AS media FROM propiedades WHERE id % 9 <> 0 GROUP BY zona")
+def refreshed_coverage(spark, sf):
+    """The coverage of A18 after changes: first entries of two thirds, wrong prices corrected, the rest added, some deleted."""
+    p = propiedades(spark, sf).select("id", "zona", "tipo", "lat", "precio_usd")
+    first = p.where("id % 3 <> 0").withColumn("precio_usd", F.when(F.col("id") % 7 == 0, precio() * 10).otherwise(precio()))
+    folder = f"{scratch_folder(spark)}/zone-coverage-{uuid.uuid4().hex}"
+    incremental.create(incremental.counted(first.unionByName(p.where("id % 9 = 0"))), folder)
+    wrong, right = first.where("id % 7 = 0"), p.where("id % 3 <> 0 and id % 7 = 0")
+    incremental.refresh(spark, folder, incremental.changes(wrong, right))
+    incremental.refresh(spark, folder, incremental.changes(p.where("id % 9 = 0"), p.where("id % 3 = 0 and id % 9 <> 0")))
+    return incremental.coverage(incremental.read(spark, folder))
+
+
 @query("a19_top_agents", "SELECT a.id, count(p.id) AS n, round(avg(p.precio_usd), 2) AS media, count(DISTINCT p.zona) AS zonas FROM agentes a LEFT JOIN propiedades p ON p.agente_id = a.id GROUP BY a.id HAVING count(p.id) > 0 ORDER BY n DESC, a.id LIMIT 10")
 def top_agents(spark, sf):
     p = propiedades(spark, sf).select("agente_id", F.col("id").alias("pid"), "precio_usd", "zona")

@@ -136,8 +136,7 @@ def briefing(spark, sf):
 
 @query("p05_zone_view", "SELECT zona, count(*) AS n FROM propiedades GROUP BY zona HAVING count(*) > 5")
 def zone_view(spark, sf):
-    propiedades(spark, sf).createOrReplaceTempView("vista_propiedades")
-    return spark.sql("SELECT zona, count(*) AS n FROM vista_propiedades GROUP BY zona HAVING count(*) > 5")
+    return spark.sql("SELECT zona, count(*) AS n FROM {vista} GROUP BY zona HAVING count(*) > 5", vista=propiedades(spark, sf))
 
 
 @query("x04_points", "SELECT id, lat IS NOT NULL AND lng IS NOT NULL AND abs(lat) <= 90 AND abs(lng) <= 180 AS valido FROM servicios")
