@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -15,9 +17,27 @@ from predio.schema import BOB_PER_USD
 BLANKS = ("", "nan", "none", "null")
 
 
+#: A pattern that is only texts to be found, one of them.
+TEXTS = re.compile(r"(?:[\w ]|\\\.)+(?:\|(?:[\w ]|\\\.)+)*")
+
+
+def found(text: Column, pattern: str) -> Column:
+    """Whether ``pattern`` is found.  Alternatives that are plain texts are searched as bytes, without one that holds another."""
+    if not TEXTS.fullmatch(pattern):
+        return text.rlike(pattern)
+    options = [o.replace("\\.", ".") for o in pattern.split("|")]
+    least = [o for i, o in enumerate(options) if not any(other in o for j, other in enumerate(options) if other != o or j < i)]
+    return reduce(lambda a, b: a | b, [text.contains(o) for o in least])
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` names it; generated code stays small."""
+    return F.transform(F.array(value), use)[0]
+
+
 def first_match(text: Column, rules: list[tuple[str, str]]) -> Column:
     """Value of the first pattern that is found in ``text``; null if none is."""
-    chain = reduce(lambda acc, rule: acc.when(text.rlike(rule[0]), F.lit(rule[1])), rules[1:], F.when(text.rlike(rules[0][0]), F.lit(rules[0][1])))
+    chain = reduce(lambda acc, rule: acc.when(found(text, rule[0]), F.lit(rule[1])), rules[1:], F.when(found(text, rules[0][0]), F.lit(rules[0][1])))
     return chain.otherwise(F.lit(None).cast("string"))
 
 
@@ -137,11 +157,11 @@ ASKED_ZONES = [
 ASKED_TYPES = [("departamento", "departamento"), ("apartamento", "departamento"), ("casa", "casa"), ("penthouse", "penthouse"), ("terreno", "terreno"), ("local", "local"), ("oficina", "oficina")]
 
 def zone_of(text: Column) -> Column:
-    return first_match(F.lower(text), ZONE_RULES)
+    return once(F.lower(text), lambda low: first_match(low, ZONE_RULES))
 
 
 def type_of(text: Column) -> Column:
-    return first_match(F.lower(text), TYPE_RULES)
+    return once(F.lower(text), lambda low: first_match(low, TYPE_RULES))
 
 
 def issues(titulo: Column, lat: Column, lng: Column, in_range: Column, precio: Column, zona: Column, tipo: Column) -> Column:

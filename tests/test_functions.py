@@ -102,7 +102,7 @@ def test_text_price_and_currency(spark, text, price, currency):
 @pytest.mark.parametrize(
     ("text", "want"),
     [
-        ("Superficie: 2.500 m2", 2500.0), ("superficie construida: 12 m", 12.0), ("1.234,5 m2", 234.5), ("superficie: 1.234,5 m2", 1234.5), ("16 m²", 16.0), ("12,5 m2", 12.5), ("sup. 3.5x2.5, terreno de 200 m", 8.75),
+        ("Superficie: 2.500 m2", 2500.0), ("superficie construida: 12 m", 12.0), ("1.234,5 m2", 1234.5), ("1.234.567 mt2", 1234567.0), ("superficie: 1.234,5 m2", 1234.5), ("16 m²", 16.0), ("12,5 m2", 12.5), ("sup. 3.5x2.5, terreno de 200 m", 8.75),
         ("sup.(6.50x3.25)", 21.13), ("250 mt2", 250.0), ("lote 300m", 300.0), ("área construida 120 m", 120.0), ("nada", None), (None, None),
     ],
 )
@@ -173,3 +173,19 @@ def test_agents_of_different_names_stay_apart(spark, sf_dir):
     names = [r.nombre.strip().lower() for r in agentes(spark, sf_dir).collect()]
     merged = queries["a29_agent_merge_names"](spark, sf_dir).collect()
     assert sorted(r.clave for r in merged) == sorted(set(names)) and sum(r.n for r in merged) == len(names)
+
+
+def test_plain_texts_are_found_as_the_pattern_finds_them(spark):
+    from functools import reduce
+
+    from predio.functions import cleansing as c
+
+    texts = ["oeste", "Zona SUR", "av. san martín", "avxsan martín", "urb. sol", "urbx", "plaza principal", "santa cruz de la sierra", "equipetrol sur", "radial 13", "", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for rules, fn in ((c.ZONE_RULES, c.zone_of), (c.TYPE_RULES, c.type_of)):
+        low = F.lower("t")
+        want = reduce(lambda acc, r: acc.when(low.rlike(r[0]), r[1]), rules[1:], F.when(low.rlike(rules[0][0]), rules[0][1]))
+        assert [tuple(r) for r in rows.select(want, fn(F.col("t"))).collect() if r[0] != r[1]] == []
+    mixed = [(r"a\d+", "digits"), (r"b\.c|xb\.c", "dot")]
+    got = spark.createDataFrame([("a1",), ("b.c",), ("bxc",), (None,)], "t string").select(c.first_match(F.col("t"), mixed)).collect()
+    assert [r[0] for r in got] == ["digits", "dot", None, None]
