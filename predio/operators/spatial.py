@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from predio.functions.geo import PLANAR_METRES, haversine_km
-from predio.operators.graph import written
 
 #: Kilometres of a degree of latitude, a little short, so that a cell is never smaller than the radius.
 KM_PER_DEGREE = 111.0
@@ -75,28 +74,3 @@ def within(df: DataFrame, lat: float, lng: float, km: float) -> DataFrame:
     dx = dy / math.cos(math.radians(min(89.0, abs(lat) + dy)))
     near = df.where(F.col("lat").between(lat - dy, lat + dy) & F.col("lng").between(lng - dx, lng + dx))
     return near.withColumn("km", haversine_km(F.lit(lat), F.lit(lng), F.col("lat"), F.col("lng"))).where(F.col("km") <= km)
-
-
-def nearest(left: DataFrame, right: DataFrame, k: int, start_km: float, *, right_columns: dict[str, str], key: str = "id", tie: str) -> DataFrame:
-    """The ``k`` rows of ``right`` nearest to every row of ``left``, with their rank.
-
-    Radii double until every row has ``k`` within one; rows already served
-    leave after each round, so a round costs what it still has to find.  Each
-    round is written, so that the next does not run it again.
-    """
-    from pyspark.sql import Window
-
-    want = min(k, right.where("lat is not null and lng is not null").count())
-    out, open_, km = None, left.where("lat is not null and lng is not null"), start_km
-    while want and km < 40_000:
-        found = radius_join(open_, right, km, right_columns=right_columns, max_lat=60.0 if km < 2000 else 89.0)
-        rank = F.row_number().over(Window.partitionBy(key).orderBy("km", tie))
-        found = found.withColumn("rank", rank).where(F.col("rank") <= want)
-        served = found.where(F.col("rank") == want).select(key)
-        done = written(found.join(served, key, "left_semi"), "nearest")
-        out = done if out is None else out.unionByName(done)
-        open_ = written(open_.join(done.select(key).distinct(), key, "left_anti"), "not-served")
-        if open_.isEmpty():
-            break
-        km *= 2
-    return out if out is not None else radius_join(left, right, start_km, right_columns=right_columns).withColumn("rank", F.lit(0)).where("false")

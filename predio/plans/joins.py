@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from predio.functions.geo import haversine_km
-from predio.operators.spatial import nearest, radius_join, within
+from predio.operators.knn import nearest
+from predio.operators.spatial import radius_join, within
 from predio.plans.registry import haversine, query
 from predio.sources.views import agentes, propiedades, servicios, table
 
@@ -67,7 +68,7 @@ def near_pairs(spark, sf):
 @query("j09_nearest_services", f"d AS (SELECT p.id, s.id AS servicio_id, {haversine('p', 's')} AS km FROM propiedades p, servicios s WHERE p.lat IS NOT NULL AND s.lat IS NOT NULL AND p.id % 50 = 1 AND s.categoria = 'salud'), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY km, servicio_id) AS rn FROM d) SELECT id, servicio_id, CAST(rn AS INTEGER) AS puesto, round(km, 6) AS km FROM r WHERE rn <= 3".replace(" AND p.id % 50 = 1", ""))
 def knn(spark, sf):
     health = servicios(spark, sf).where("categoria = 'salud'")
-    found = nearest(propiedades(spark, sf), health, 3, 4.0, right_columns={"id": "servicio_id"}, tie="servicio_id")
+    found = nearest(propiedades(spark, sf).select("id", "lat", "lng"), health, 3, right_columns={"id": "servicio_id"}, tie="servicio_id")
     return found.select("id", "servicio_id", F.col("rank").alias("puesto"), F.round("km", 6).alias("km"))
 
 

@@ -11,7 +11,8 @@ from predio.functions.geo import haversine_km
 from predio.operators import duplicates, filters, incremental, leads, recommend, router
 from predio.operators.graph import groups
 from predio.operators.quantiles import exact_quantiles
-from predio.operators.spatial import nearest, radius_join, within
+from predio.operators.knn import nearest
+from predio.operators.spatial import radius_join, within
 from predio.operators.upsert import insert_ignore, upsert
 from predio.sources import io
 from predio.sources.views import metricas, propiedades
@@ -33,17 +34,42 @@ def test_grid_join_equals_all_pairs(spark, km):
     assert got == {(r[0], r[1]) for r in x.join(y, near).select("x.id", "y.id").collect()}
 
 
+def by_sorting(left, right, k):
+    """{(id, rank): other} by sorting all of ``right`` for every row of ``left``."""
+    lat, lng = (np.radians([r[c] for r in right]) for c in ("lat", "lng"))
+    ids, out = np.array([r.id for r in right]), {}
+    for p in left:
+        y, x = np.radians(p.lat), np.radians(p.lng)
+        h = np.sin((lat - y) / 2) ** 2 + np.cos(y) * np.cos(lat) * np.sin((lng - x) / 2) ** 2
+        km = np.round(2 * 6371 * np.arcsin(np.sqrt(np.minimum(h, 1))), 9)
+        out.update({(p.id, i + 1): int(ids[j]) for i, j in enumerate(np.lexsort((ids, km))[:k])})
+    return out
+
+
+def served(left, right, k, **more):
+    return {(r.id, r["rank"]): r.other for r in nearest(left, right, k, right_columns={"id": "other"}, tie="other", **more).collect()}
+
+
 def test_nearest_equals_sorted_pairs(spark):
     a, b = points(spark, 40, 3), points(spark, 30, 4)
-    got = {(r.id, r["rank"]): r.other for r in nearest(a, b, 4, 0.5, right_columns={"id": "other"}, tie="other").collect()}
     x, y = a.where("lat is not null").collect(), b.where("lat is not null").collect()
-    import math
-
-    def km(p, q):
-        h = math.sin(math.radians(q.lat - p.lat) / 2) ** 2 + math.cos(math.radians(p.lat)) * math.cos(math.radians(q.lat)) * math.sin(math.radians(q.lng - p.lng) / 2) ** 2
-        return 2 * 6371 * math.asin(math.sqrt(h))
-
-    assert got == {(p.id, i + 1): q.id for p in x for i, q in enumerate(sorted(y, key=lambda q: (km(p, q), q.id))[:4])}
+    assert served(a, b, 4) == by_sorting(x, y, 4)
+    assert served(a, b, 50) == by_sorting(x, y, 50)  # all there are
+    assert served(a, b.where("false"), 4) == served(a.where("false"), b, 4) == {}
+    wide = nearest(a.withColumn("name", F.lit("x")), b, 1, right_columns={"id": "other"}, tie="other")
+    assert wide.columns == ["id", "lat", "lng", "name", "other", "km", "rank"] and wide.count() == 40
+
+
+def test_nearest_of_a_town_and_of_lone_points_on_the_whole_globe(spark):
+    rng = random.Random(11)
+    town = [(-17.78 + rng.gauss(0, 0.01), -63.18 + rng.gauss(0, 0.01)) for _ in range(2500)]
+    copies = [(-17.78, -63.18)] * 400  # one spot
+    lone = [(rng.uniform(-90, 90), rng.uniform(-180, 180)) for _ in range(60)] + [(0.0, 179.998), (0.0, -179.999), (90.0, 0.0), (-90.0, 12.0), (89.99, 170.0)]
+    right = spark.createDataFrame([(i, *p) for i, p in enumerate(town + copies + lone)], "id long, lat double, lng double")
+    asked = town[:60] + [(-17.78, -63.18), (-17.0, -63.18), (0.0, 180.0), (0.0, -180.0), (90.0, 50.0), (-89.9, -100.0)] + [(rng.uniform(-90, 90), rng.uniform(-180, 180)) for _ in range(60)]
+    left = spark.createDataFrame([(i, *p) for i, p in enumerate(asked)], "id long, lat double, lng double")
+    for leaf in (16, 64):
+        assert served(left, right, 5, leaf=leaf) == by_sorting(left.collect(), right.collect(), 5)
 
 
 def test_within_box_loses_nothing(spark):
