@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from predio.operators import buckets
+from predio.operators.graph import scratch_folder
 from predio.operators.upsert import keep_first, keep_last, insert_ignore, upsert
 from predio.plans.registry import haversine, query
 from predio.sources.views import agentes, metricas, propiedades, servicios
@@ -124,12 +128,25 @@ ultimas AS (SELECT * FROM fuente WHERE nombre IS NOT NULL QUALIFY row_number() O
 primeras AS (SELECT * FROM fuente WHERE nombre IS NOT NULL QUALIFY row_number() OVER (PARTITION BY nombre ORDER BY id) = 1)"""
 
 
-@query("s10_upsert", f"{DELIVERY} SELECT * FROM destino WHERE nombre NOT IN (SELECT nombre FROM ultimas) UNION ALL SELECT u.nombre, coalesce(u.telefono, d.telefono), u.id FROM ultimas u LEFT JOIN destino d USING (nombre) UNION ALL SELECT * FROM fuente WHERE nombre IS NULL")
+UPSERTED = f"{DELIVERY} SELECT * FROM destino WHERE nombre NOT IN (SELECT nombre FROM ultimas) UNION ALL SELECT u.nombre, coalesce(u.telefono, d.telefono), u.id FROM ultimas u LEFT JOIN destino d USING (nombre) UNION ALL SELECT * FROM fuente WHERE nombre IS NULL"
+
+
+@query("s10_upsert", UPSERTED)
 def merged(spark, sf):
     target, source = deliveries(spark, sf)
     return upsert(target, source, ["nombre"], "id", preserve=("telefono",))
 
 
+@query("s10_bucketed_upsert", UPSERTED)
+def bucketed(spark, sf):
+    """The same merge into a table on disk, of which only the buckets that the delivery touches are rewritten."""
+    target, source = deliveries(spark, sf)
+    folder = f"{scratch_folder(spark)}/agentes-{uuid.uuid4().hex}"
+    buckets.create(target, folder, ["nombre"])
+    buckets.merge(spark, folder, source, "id", preserve=("telefono",))
+    return buckets.read(spark, folder)
+
+
 @query("p03_stamped_upsert", f"{DELIVERY} SELECT id, nombre, CAST(NULL AS VARCHAR) AS actualizado FROM destino WHERE nombre NOT IN (SELECT nombre FROM ultimas) UNION ALL SELECT id, nombre, '2025-01-01 00:00:00' FROM ultimas UNION ALL SELECT id, nombre, '2025-01-01 00:00:00' FROM fuente WHERE nombre IS NULL")
 def stamped(spark, sf):
     target, source = deliveries(spark, sf)

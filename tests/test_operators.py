@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from predio.functions.geo import haversine_km
-from predio.operators import duplicates, filters, incremental, leads, recommend, router
+from predio.operators import buckets, duplicates, filters, incremental, leads, recommend, router
 from predio.operators.graph import groups
 from predio.operators.quantiles import exact_quantiles
 from predio.operators.knn import nearest
@@ -101,6 +101,34 @@ def test_upsert_is_idempotent_and_keeps_nulls(spark):
     assert insert_ignore(t, keyed, ["k"], "o").count() == 3
 
 
+def test_bucketed_merge_rewrites_only_what_it_touches(spark, tmp_path):
+    folder, names = f"file://{tmp_path}/t", "k string, o int, v string"
+    target = spark.createDataFrame([(f"k{i}", i, "x") for i in range(200)] + [(None, 1, "n")], names)
+    source = spark.createDataFrame([("k7", 300, None), ("k7", 301, None), ("new", 302, "z"), (None, 303, "m")], names)
+    buckets.create(target, folder, ["k"], buckets=16)
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    before = buckets.manifest(spark, folder)["buckets"]
+    assert rows(buckets.read(spark, folder)) == rows(target)
+    assert buckets.merge(spark, folder, source, "o", preserve=("v",)) == 1
+    want = rows(upsert(target, source, ["k"], "o", preserve=("v",)))
+    after = buckets.manifest(spark, folder)["buckets"]
+    assert rows(buckets.read(spark, folder)) == want and ("k7", 301, "x") in want
+    assert 1 <= sum(after[b] != before.get(b) for b in after) <= 3  # the buckets of k7, new and the row without a key
+    keyed = source.where("k is not null")
+    assert buckets.merge(spark, folder, keyed, "o", preserve=("v",)) == 2 and rows(buckets.read(spark, folder)) == want
+    assert rows(buckets.read(spark, folder, 0)) == rows(target)  # versions stay readable
+    assert buckets.merge(spark, folder, source.where("false"), "o") == 2
+    with pytest.raises(RuntimeError):
+        buckets._publish(spark, folder, 2, {})
+    buckets.expire(spark, folder, keep=1)
+    assert buckets.versions(spark, folder) == [2] and rows(buckets.read(spark, folder)) == want
+    empty = f"file://{tmp_path}/e"
+    buckets.create(target.where("false"), empty, ["k"], buckets=4)
+    assert buckets.read(spark, empty).count() == 0
+    buckets.merge(spark, empty, keyed, "o")
+    assert rows(buckets.read(spark, empty)) == [("k7", 301, None), ("new", 302, "z")]
+
+
 def test_groups_of_a_long_chain(spark):
     pairs = spark.range(1, 60).select((F.col("id") - 1).alias("a"), F.col("id").alias("b")).unionByName(spark.createDataFrame([(100, 101)], "a long, b long"))
     got = {r.id: r.grupo for r in groups(pairs).collect()}
