@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import datetime
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from predio.functions.geo import haversine_km
+from predio.operators import proximity as cache
+from predio.operators.graph import scratch_folder
 from predio.operators.knn import nearest
 from predio.operators.spatial import radius_join, within
 from predio.plans.registry import haversine, query
@@ -128,11 +133,27 @@ def distance(spark, sf):
     return propiedades(spark, sf).select("id", F.round(haversine_km(F.lit(-17.7833), F.lit(-63.1821), F.col("lat"), F.col("lng")), 6).alias("km"))
 
 
-@query("a30_proximity_cache", f"{PAIRS} SELECT id, categoria, count(*) AS cantidad, round(avg(km) * 1000, 2) AS distancia, string_agg(CAST(servicio_id AS VARCHAR), ',' ORDER BY servicio_id) AS servicios FROM pares GROUP BY id, categoria")
+CACHE = f"{PAIRS} SELECT id, categoria, count(*) AS cantidad, round(avg(km) * 1000, 2) AS distancia, string_agg(CAST(servicio_id AS VARCHAR), ',' ORDER BY servicio_id) AS servicios FROM pares GROUP BY id, categoria"
+
+
+@query("a30_proximity_cache", CACHE)
 def proximity(spark, sf):
     return pairs(spark, sf).groupBy("id", "categoria").agg(F.count("*").alias("cantidad"), F.round(F.avg("km") * 1000, 2).alias("distancia"), F.array_join(F.array_sort(F.collect_list("servicio_id")), ",").alias("servicios"))
 
 
+@query("a30_refreshed_cache", CACHE)
+def refreshed(spark, sf):
+    """The same cache, computed before a tenth of the services opened or moved, and refreshed from what changed."""
+    p, after = propiedades(spark, sf).select("id", "lat", "lng"), servicios(spark, sf).select("id", "categoria", "lat", "lng")
+    shifted = after.withColumn("lat", F.when(F.col("id") % 20 == 3, F.col("lat") + 0.01).otherwise(F.col("lat")))
+    before, folder = shifted.where("id % 20 <> 13"), f"{scratch_folder(spark)}/cercania-{uuid.uuid4().hex}"
+    moved = before.where("id % 20 = 3").unionByName(after.where("id % 20 in (3, 13)"))
+    cache.create(p, before, 1.0, folder, datetime.datetime(2025, 1, 1))
+    cache.refresh(spark, folder, p, after, 1.0, datetime.datetime(2025, 1, 2), moved=moved)
+    rows = cache.read(spark, folder)
+    return rows.select("id", "categoria", "cantidad", F.round("metros", 2).alias("distancia"), F.array_join("servicios", ",").alias("servicios"))
+
+
 @query("a08_services_per_zone", f"{PAIRS} SELECT zona, count(DISTINCT servicio_id) AS servicios, count(DISTINCT CASE WHEN categoria = 'salud' THEN id END) AS con_salud, round(avg(km), 4) AS km FROM pares GROUP BY zona")
 def per_zone(spark, sf):
     return pairs(spark, sf).groupBy("zona").agg(F.count_distinct("servicio_id").alias("servicios"), F.count_distinct(F.when(F.col("categoria") == "salud", F.col("id"))).alias("con_salud"), F.round(F.avg("km"), 4).alias("km"))

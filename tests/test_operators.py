@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from predio.functions.geo import haversine_km
-from predio.operators import buckets, duplicates, filters, incremental, leads, recommend, router
+from predio.operators import buckets, duplicates, filters, incremental, leads, proximity, recommend, router
 from predio.operators.graph import groups
 from predio.operators.quantiles import exact_quantiles
 from predio.operators.knn import nearest
@@ -129,6 +129,33 @@ def test_bucketed_merge_rewrites_only_what_it_touches(spark, tmp_path):
     assert rows(buckets.read(spark, empty)) == [("k7", 301, None), ("new", 302, "z")]
 
 
+def test_proximity_cache_recomputes_only_what_is_outdated(spark, tmp_path):
+    import datetime
+
+    folder, day = f"file://{tmp_path}/c", datetime.datetime(2025, 1, 1)
+    listings, services = points(spark, 120, 6), points(spark, 60, 7).withColumn("categoria", F.when(F.col("id") % 2 == 0, "salud").otherwise("comercio"))
+    rows = lambda df: sorted((r.id, r.categoria, r.cantidad, round(r.metros, 6), tuple(r.servicios)) for r in df.collect())
+    whole = lambda p, s: rows(proximity.near(p, s, 3.0, day).select("id", F.inline("cerca")))
+    proximity.create(listings, services, 3.0, folder, day, of=8)
+    assert rows(proximity.read(spark, folder)) == whole(listings, services) != []
+    # a service moves, one closes, one opens
+    spots = "id long, lat double, lng double, categoria string"
+    opened = spark.createDataFrame([(900, -17.81, -63.21, "salud")], spots)
+    later = services.where("id <> 4").withColumn("lat", F.when(F.col("id") == 9, F.col("lat") + 0.05).otherwise(F.col("lat"))).unionByName(opened)
+    moved = services.where("id in (4, 9)").unionByName(later.where("id in (9, 900)"))
+    n = proximity.refresh(spark, folder, listings, later, 3.0, day + datetime.timedelta(hours=1), moved=moved)
+    assert rows(proximity.read(spark, folder)) == whole(listings, later) and 0 < n < 60
+    # listings come, go and move
+    after = listings.where("id <> 5").withColumn("lng", F.when(F.col("id") == 8, F.col("lng") + 0.1).otherwise(F.col("lng"))).unionByName(spark.createDataFrame([(500, -17.8, -63.2)], "id long, lat double, lng double"))
+    n = proximity.refresh(spark, folder, after, later, 3.0, day + datetime.timedelta(hours=2), changed=spark.createDataFrame([(5,), (8,)], "id long"))
+    assert rows(proximity.read(spark, folder)) == whole(after, later) and n == 3  # the new one is not cached yet
+    # nothing changed: nothing is computed; what was never touched ages first
+    soon = day + datetime.timedelta(hours=3)
+    assert proximity.refresh(spark, folder, after, later, 3.0, soon) == 0
+    aged = proximity.refresh(spark, folder, after, later, 3.0, soon, keep=datetime.timedelta(hours=2, minutes=30))
+    assert 0 < aged < after.count() and rows(proximity.read(spark, folder)) == whole(after, later)
+
+
 def test_groups_of_a_long_chain(spark):
     pairs = spark.range(1, 60).select((F.col("id") - 1).alias("a"), F.col("id").alias("b")).unionByName(spark.createDataFrame([(100, 101)], "a long, b long"))
     got = {r.id: r.grupo for r in groups(pairs).collect()}
