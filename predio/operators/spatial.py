@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from predio.functions.geo import PLANAR_METRES, haversine_km
+from predio.functions.geo import LEAST_STRETCH, PLANAR_METRES, haversine_km, with_geodesic
 
 #: Kilometres of a degree of latitude, a little short, so that a cell is never smaller than the radius.
 KM_PER_DEGREE = 111.0
@@ -41,6 +41,18 @@ def radius_join(left: DataFrame, right: DataFrame, km: float, *, right_columns:
     return joined.where(F.col("km") <= km).drop("_lat", "_lng", *keys)
 
 
+def geodesic_join(left: DataFrame, right: DataFrame, metres: float, *, right_columns: dict[str, str], equal: tuple[tuple[str, str], ...] = (), max_lat: float = 60.0) -> DataFrame:
+    """``radius_join`` by length on the spheroid, as ``metros``.
+
+    The grid and the sphere's distance leave every pair that may lie within
+    ``metres``, as the spheroid shortens no line below ``LEAST_STRETCH``; only
+    these are measured on the spheroid.
+    """
+    km = metres / 1000 / LEAST_STRETCH * (1 + 1e-9)
+    near = radius_join(left, right, km, right_columns=right_columns | {"lat": "_y", "lng": "_x"}, equal=equal, max_lat=max_lat)
+    return with_geodesic(near, "lat", "lng", "_y", "_x", "metros").where(F.col("metros") <= metres).drop("_y", "_x", "km")
+
+
 def planar_neighbours(rows: DataFrame, metres: float) -> DataFrame:
     """All pairs of ``rows`` (id, lat, lng, others) less than ``metres`` apart by the planar measure of ``planar_closeness``, as structs a and b, a's id the smaller.
 
