@@ -125,8 +125,10 @@ def index(spark: SparkSession, folder: str) -> DataFrame:
 def _load(spark: SparkSession, folder: str, entries: DataFrame) -> DataFrame:
     """Rows of the files named; their names are collected, as Spark's own list of files would be."""
     names = [f"{folder}/data/{r.run}/{r.file}" for r in entries.select("run", "file").collect()]
-    some = f"{folder}/data/{index(spark, folder).first().run}"
-    schema = spark.read.parquet(some).schema
+    kind = spark._jvm.org.apache.hadoop.fs.Path
+    fs = kind(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    runs = [s.getPath().getName() for s in fs.listStatus(kind(f"{folder}/index")) if s.getPath().getName()[0] != "_"]
+    schema = spark.read.parquet(f"{folder}/data/{min(runs)}").schema  # a delivery without rows has one too
     return spark.read.schema(schema).parquet(*names) if names else spark.createDataFrame([], schema)
 
 
@@ -143,7 +145,7 @@ def _any(conditions: list[Column]) -> Column:
 
 
 def _scan(spark: SparkSession, folder: str, places: list[Box]) -> DataFrame:
-    ranges = [[r for r in key_ranges(b)] for b in places]
+    ranges = [key_ranges(b) for b in places]
     meets = lambda b, rs: (F.col("lat_max") >= b[0]) & (F.col("lat_min") <= b[1]) & (F.col("lng_max") >= b[2]) & (F.col("lng_min") <= b[3]) & _any([(F.col(f"{KEY}_max") >= lo) & (F.col(f"{KEY}_min") <= hi) for lo, hi in rs])
     rows = _load(spark, folder, index(spark, folder).where(_any([meets(b, rs) for b, rs in zip(places, ranges, strict=True)])))
     keys = _any([F.col(KEY).between(lo, hi) for rs in ranges for lo, hi in rs])

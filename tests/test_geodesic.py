@@ -134,3 +134,11 @@ def test_an_unpublished_delivery_is_not_seen(spark, tmp_path):
     morton.append(cloud(spark, 20, 3), folder, files=2)
     cloud(spark, 20, 4).withColumn("_morton", F.lit(0).cast("long")).write.parquet(f"{folder}/data/half")
     assert morton.read(spark, folder).count() == 22
+
+
+def test_a_delivery_without_rows(spark, tmp_path):
+    folder, rows = f"file://{tmp_path}/none", cloud(spark, 20, 3)
+    morton.append(rows.where("id < 0"), folder, files=2)
+    assert morton.read(spark, folder).count() == 0 and morton.in_box(spark, folder, (-90.0, 90.0, -180.0, 180.0)).columns == rows.columns
+    morton.append(rows, folder, files=2)
+    assert morton.read(spark, folder).count() == 22 and morton.in_box(spark, folder, (-90.0, 90.0, -180.0, 180.0)).count() == 20
