@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from predio.operators.filters import soft_filter, zone_match
-from predio.operators.spatial import radius_join
+from predio.operators.spatial import radius_join, ring_counts
 
 # Weights of the five factors.
 WEIGHTS = {"ubicacion": 0.35, "precio": 0.25, "servicios": 0.20, "caracteristicas": 0.15, "disponibilidad": 0.05}
@@ -74,10 +74,10 @@ def availability(p: Profile) -> Column:
 
 def service_counts(listings: DataFrame, points: DataFrame) -> DataFrame:
     """By listing, how many valued services and categories lie within 1, 2 and 3 km, and transport within 2 km: one join at 3 km."""
-    near = radius_join(listings.select("id", "lat", "lng"), points.where(F.col("categoria").isin(*VALUED_SERVICES)), 3.0, right_columns={"categoria": "categoria"})
-    kilometres = F.col("km")
-    counts = [c for r in (1, 2, 3) for c in (F.count_if(kilometres <= r).alias(f"servicios_{r}km"), F.count_distinct(F.when(kilometres <= r, F.col("categoria"))).alias(f"categorias_{r}km"))]
-    return near.groupBy("id").agg(*counts, F.count_if((kilometres <= 2) & (F.col("categoria") == "transporte")).alias("transporte_2km"))
+    near = radius_join(listings.select("id", "lat", "lng"), points.where(F.col("categoria").isin(*VALUED_SERVICES)), 3.0, right_columns={"categoria": "categoria"}, cells=True, rings=(1, 2, 3))
+    transport = F.coalesce(F.sum(F.when(F.col("categoria") == "transporte", F.col("n2"))), F.lit(0)).alias("transporte_2km")
+    counts = ring_counts(near, (1, 2, 3), "categoria", more=[transport])
+    return counts.select("id", *[c for r in (1, 2, 3) for c in (F.col(f"n{r}").alias(f"servicios_{r}km"), F.col(f"kinds{r}").alias(f"categorias_{r}km"))], "transporte_2km")
 
 
 def scored(listings: DataFrame, points: DataFrame, p: Profile) -> DataFrame:

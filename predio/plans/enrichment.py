@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from predio.functions import enrichment as e
 from predio.functions import extraction as x
-from predio.operators.spatial import radius_join
+from predio.operators.spatial import radius_join, ring_counts
 from predio.plans.registry import haversine, query
 from predio.plans.scoring import PROFILE, listings
 from predio.sources.views import crudos, propiedades, servicios
@@ -81,9 +81,9 @@ v AS (SELECT id, s1 + s2 + s3 + s5 AS todos, greatest((c1 / 2.0::DOUBLE * 0.5::D
 @query("r07_georeferenced_services", f"{R07} SELECT p.id, CAST(floor(1000 * CASE WHEN p.lat IS NULL THEN 0.3::DOUBLE WHEN todos IS NULL THEN 0.1::DOUBLE WHEN todos <= 3 THEN least(0.6::DOUBLE, mejor) WHEN todos <= 8 THEN least(0.8::DOUBLE, mejor) ELSE least(1.0::DOUBLE, mejor) END + 0.000001::DOUBLE) AS BIGINT) AS puntaje FROM propiedades p LEFT JOIN v USING (id)")
 def georeferenced(spark, sf):
     p, wanted = propiedades(spark, sf).select("id", "lat", "lng"), ("educacion", "salud")
-    near = radius_join(p, servicios(spark, sf).where(F.col("categoria").isin(*wanted)), 5.0, right_columns={"categoria": "categoria"})
-    km, rings = F.col("km"), (1, 2, 3, 5)
-    n = near.groupBy("id").agg(*[c for r in rings for c in (F.count_if(km <= r).alias(f"s{r}"), F.count_distinct(F.when(km <= r, F.col("categoria"))).alias(f"c{r}"))])
+    rings = (1, 2, 3, 5)
+    near = radius_join(p, servicios(spark, sf).where(F.col("categoria").isin(*wanted)), 5.0, right_columns={"categoria": "categoria"}, cells=True, rings=rings)
+    n = ring_counts(near, rings, "categoria").select("id", *[c for r in rings for c in (F.col(f"n{r}").alias(f"s{r}"), F.col(f"kinds{r}").alias(f"c{r}"))])
     best = F.greatest(*[(F.col(f"c{r}") / 2.0 * 0.5 + F.least(F.col(f"s{r}") / 5.0, F.lit(1.0)) * 0.5) / r for r in rings])
     every = sum((F.col(f"s{r}") for r in rings), F.lit(0))
     n = n.select("id", every.alias("todos"), best.alias("mejor"))
