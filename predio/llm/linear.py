@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 
 
+def _narrowest(n: int) -> type:
+    """What holds the numbers below ``n``."""
+    return np.uint16 if n <= 1 << 16 else np.int32
+
+
 @dataclass
 class Sparse:
     """Rows of feature numbers, one after the other; their values are 1 unless given."""
@@ -18,36 +24,59 @@ class Sparse:
     def __post_init__(self) -> None:
         counts = np.diff(self.edges)
         self._full = np.flatnonzero(counts)
-        order = np.argsort(self.index, kind="stable").astype(np.int32)
-        self._row = np.repeat(np.arange(len(counts), dtype=np.int32), counts)[order]
-        self._order = None if self.value is None else order
-        features = self.index[order]
-        self._first = np.flatnonzero(np.concatenate([[True], features[1:] != features[:-1]])) if len(features) else np.empty(0, np.int64)
-        self._feature = features[self._first]
+        rows = np.repeat(np.arange(len(counts), dtype=_narrowest(len(counts))), counts)
+        top = int(self.index.max()) + 1 if len(self.index) else 0
+        parts = []
+        for low in range(0, top, step := top // 16 + 1):  # a sixteenth of the features at a time, as places take 8 bytes each
+            at = np.flatnonzero((self.index >= low) & (self.index < low + step)).astype(np.int32)
+            at = at[np.argsort(self.index[at], kind="stable")]
+            own = self.index[at]
+            first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.empty(0, np.int64)
+            parts.append((rows[at], own[first], first, at if self.value is not None else at[:0]))
+        joined = [np.concatenate(c) if c else np.empty(0, np.int64) for c in zip(*parts, strict=True)] or [np.empty(0, np.int64)] * 4
+        before = np.cumsum([0, *(len(p[0]) for p in parts)])
+        self._row, self._feature = joined[0], joined[1].astype(np.int64)
+        self._first = np.concatenate([p[2] + n for p, n in zip(parts, before, strict=False)]) if parts else np.empty(0, np.int64)
+        self._order = None if self.value is None else joined[3]
 
     @classmethod
     def of(cls, rows: list[np.ndarray], values: list[np.ndarray] | None = None) -> Sparse:
         edges = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
-        index = np.concatenate(rows).astype(np.int32) if rows else np.empty(0, np.int32)
+        index = np.concatenate(rows) if rows else np.empty(0, np.int32)
+        index = index.astype(_narrowest(int(index.max()) + 1 if len(index) else 0), copy=False)
         return cls(edges, index, np.concatenate(values).astype(np.float64) if values else None)
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         """The sum of each row's weights."""
         out = np.zeros(len(self.edges) - 1)
-        if len(self._full):
-            each = w[self.index] if self.value is None else self.value * w[self.index]
-            out[self._full] = np.add.reduceat(each, self.edges[self._full])
+        for rows, own, first in _runs(self._full, self.edges[self._full], len(self.index)):
+            each = w[self.index[own]] if self.value is None else self.value[own] * w[self.index[own]]
+            out[rows] = np.add.reduceat(each, first)
         return out
 
     def back(self, g: np.ndarray, size: int) -> np.ndarray:
         """The sum over rows of ``g`` for each feature."""
         out = np.zeros(size)
-        if len(self._first):
-            each = g[self._row] if self._order is None else self.value[self._order] * g[self._row]
-            out[self._feature] = np.add.reduceat(each, self._first)
+        for features, own, first in _runs(self._feature, self._first, len(self.index)):
+            each = g[self._row[own]] if self._order is None else self.value[self._order[own]] * g[self._row[own]]
+            out[features] = np.add.reduceat(each, first)
         return out
 
 
+#: Entries that are summed at a time, so that a product of all of them never stands in memory.
+RUN = 1 << 18
+
+
+def _runs(names: np.ndarray, first: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, slice, np.ndarray]]:
+    """Whole segments (names, their entries, where each begins among these) of about ``RUN`` entries; a longer segment stays whole."""
+    at = 0
+    while at < len(first):
+        stop = max(at + 1, int(np.searchsorted(first, first[at] + RUN)))
+        end = int(first[stop]) if stop < len(first) else n
+        yield names[at:stop], slice(int(first[at]), end), first[at:stop] - first[at]
+        at = stop
+
+
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 

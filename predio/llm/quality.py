@@ -220,9 +220,13 @@ def train(features: DataFrame, labels: DataFrame, *, id_col: str, label_col: str
     views = [[np.frombuffer(b, "<u2") for b in got[v]] for v in ("a", "b")]
     y = got["label"].to_numpy(dtype=float)
     fold = np.array([zlib.crc32(f"fold {i}".encode()) % 5 == 0 for i in got["doc_id"]])
+    del got
     learn, check = np.flatnonzero(~fold), np.flatnonzero(fold)
     prior = float(np.clip(y[learn].mean() if len(learn) else 0.5, 0.01, 0.99))
-    often = np.bincount(np.concatenate([views[0][i] for i in learn] or [np.empty(0, np.uint16)]), minlength=size) >= LEAST_ROWS
+    often = np.zeros(size, np.int64)
+    for i in learn:
+        often[views[0][i]] += 1  # a row names a feature once
+    often = often >= LEAST_ROWS
     pool = features.join(F.broadcast(sample.select("doc_id")), "doc_id", "left_anti").select("a", "b", (F.pmod(F.xxhash64("row_key"), F.lit(1 << 30)) / float(1 << 30)).alias("draw"))
     rows = check if len(check) else learn
     checked = [Sparse.of([view[i] for i in rows]) for view in views]
