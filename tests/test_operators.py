@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from predio.functions.geo import haversine_km
-from predio.operators import buckets, duplicates, filters, incremental, leads, proximity, recommend, router
+from predio.operators import buckets, duplicates, filters, graph, incremental, knn, leads, proximity, recommend, router
 from predio.operators.graph import groups
 from predio.operators.quantiles import exact_quantiles
 from predio.operators.knn import nearest
@@ -72,6 +72,22 @@ def test_nearest_of_a_town_and_of_lone_points_on_the_whole_globe(spark):
         assert served(left, right, 5, leaf=leaf) == by_sorting(left.collect(), right.collect(), 5)
 
 
+def test_nearest_writes_a_row_of_left_once(spark, monkeypatch):
+    rows = []
+
+    def counted(df, name):
+        out = graph.written(df, name)
+        rows.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(knn, "written", counted)
+    monkeypatch.setattr(knn, "TASK_ROWS", 500)  # crowded boxes hand their lists to several tasks
+    a, b = points(spark, 6000, 13), points(spark, 600, 14)
+    x, y = a.where("lat is not null").collect(), b.where("lat is not null").collect()
+    assert served(a, b, 3) == by_sorting(x, y, 3)
+    assert sum(n for _, n in rows) < 2 * 6000, rows
+
+
 def test_within_box_loses_nothing(spark):
     p = points(spark, 200, 5)
     every = p.where(haversine_km(F.lit(-17.8), F.lit(-63.2), F.col("lat"), F.col("lng")) <= 8).count()
