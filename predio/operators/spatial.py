@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from predio.functions.geo import EARTH_KM, LEAST_STRETCH, PLANAR_METRES, haversine_km, with_geodesic
+from predio.functions.geo import EARTH_KM, LEAST_STRETCH, PLANAR_METRES, SHORT_M, haversine_km, short_metres, spheroid_place, with_geodesic
 from predio.operators.graph import written
 
 #: Kilometres of a degree of latitude, a little short, so that a cell is never smaller than the radius.
@@ -38,6 +39,10 @@ def _sphere(lat: str, lng: str, name: str) -> dict[str, Column]:
     return {f"_{name}x": F.cos(y) * F.cos(x), f"_{name}y": F.cos(y) * F.sin(x), f"_{name}z": F.sin(y)}
 
 
+def _spheroid(lat: str, lng: str, name: str) -> dict[str, Column]:
+    return {f"_{name}{c}": v for c, v in zip("xyz", spheroid_place(F.col(lat), F.col(lng)), strict=True)}
+
+
 def _within(km: float) -> Column:
     """Whether a pair is ``km`` apart at most: as haversine says, which is asked only where the chord leaves it open."""
     x, y, z = (F.col(f"_a{c}") - F.col(f"_b{c}") for c in "xyz")
@@ -46,8 +51,23 @@ def _within(km: float) -> Column:
     return (chord <= limit * (1 - SPARE) - LEAST) | ((chord <= limit * (1 + SPARE) + LEAST) & (distance <= km))
 
 
-#: Columns of the cell in which a pair was found.
-CELL = ["_cy", "_cx"]
+#: Columns of the cell in which a pair was found, and of the places of its two rows.
+CELL, SIDES = ["_cy", "_cx"], [f"_{s}{c}" for s in "ab" for c in "xyz"]
+
+
+def _met(left: DataFrame, right: DataFrame, km: float, place: Callable[[str, str, str], dict[str, Column]], *, right_columns: dict[str, str], equal: tuple[tuple[str, str], ...] = (), max_lat: float, around: list[tuple[int, int]] = AROUND, tasks: int | None = None) -> DataFrame:
+    """Rows of ``left`` with those of ``right`` in the cells around theirs, and what ``place`` makes of either's coordinates.
+
+    That is worked out where the rows meet, so that it is not shuffled.
+    """
+    r = right.where("lat is not null and lng is not null").select(F.col("lat").alias("_lat"), F.col("lng").alias("_lng"), *[F.col(c).alias(n) for c, n in right_columns.items()], *[F.col(b).alias(f"_eq{i}") for i, (_, b) in enumerate(equal)])
+    y, x = _cell(F.col("_lat"), F.col("_lng"), km, max_lat)
+    r = _spread(r.withColumns({"_cy": y, "_cx": x}), around)
+    y, x = _cell(F.col("lat"), F.col("lng"), km, max_lat)
+    placed = left.where("lat is not null and lng is not null").withColumns({"_cy": y, "_cx": x} | {f"_eq{i}": F.col(a) for i, (a, _) in enumerate(equal)})
+    keys = [*CELL, *[f"_eq{i}" for i in range(len(equal))]]
+    placed, r = (side.repartition(*([tasks] if tasks else []), *keys) for side in (placed, r))
+    return placed.withColumns(place("lat", "lng", "a")).join(r.withColumns(place("_lat", "_lng", "b")).hint("merge"), keys).drop(*keys[len(CELL) :])
 
 
 def radius_join(
@@ -70,17 +90,7 @@ def radius_join(
     radii that holds the pair as ``ring`` instead of the distance.  ``tasks``
     fixes in how many tasks pairs are made (``pair_tasks``).
     """
-    r = right.where("lat is not null and lng is not null").select(F.col("lat").alias("_lat"), F.col("lng").alias("_lng"), *[F.col(c).alias(n) for c, n in right_columns.items()], *[F.col(b).alias(f"_eq{i}") for i, (_, b) in enumerate(equal)])
-    y, x = _cell(F.col("_lat"), F.col("_lng"), km, max_lat)
-    r = _spread(r.withColumns({**_sphere("_lat", "_lng", "b"), "_cy": y, "_cx": x}), around)
-    y, x = _cell(F.col("lat"), F.col("lng"), km, max_lat)
-    placed = left.where("lat is not null and lng is not null").withColumns({**_sphere("lat", "lng", "a"), "_cy": y, "_cx": x})
-    for i, (a, _) in enumerate(equal):
-        placed = placed.withColumn(f"_eq{i}", F.col(a))
-    keys = [*CELL, *[f"_eq{i}" for i in range(len(equal))]]
-    if tasks:
-        placed, r = placed.repartition(tasks, *keys), r.repartition(tasks, *keys)
-    joined = placed.join(r.hint("merge"), keys).where(_within(km))
+    joined = _met(left, right, km, _sphere, right_columns=right_columns, equal=equal, max_lat=max_lat, around=around, tasks=tasks).where(_within(km))
     if rings:
         ring = F.lit(None)
         for radius in sorted(rings, reverse=True):
@@ -88,8 +98,7 @@ def radius_join(
         joined = joined.withColumn("ring", ring)
     else:
         joined = joined.withColumn("km", haversine_km(F.col("lat"), F.col("lng"), F.col("_lat"), F.col("_lng")))
-    sides = [f"_{s}{c}" for s in "ab" for c in "xyz"]
-    return joined.drop("_lat", "_lng", *sides, *keys[len(CELL) :], *([] if cells else CELL))
+    return joined.drop("_lat", "_lng", *SIDES, *([] if cells else CELL))
 
 
 #: Pairs that one task compares.
@@ -178,9 +187,14 @@ def geodesic_join(left: DataFrame, right: DataFrame, metres: float, *, right_col
 
     The grid and the sphere's distance leave every pair that may lie within
     ``metres``, as the spheroid shortens no line below ``LEAST_STRETCH``; only
-    these are measured on the spheroid.
+    these are measured on the spheroid.  Up to ``SHORT_M`` that is done by the
+    straight line between two places, which are worked out once a row.
     """
     km = metres / 1000 / LEAST_STRETCH * (1 + 1e-9)
+    if metres <= SHORT_M:
+        met = _met(left, right, km, _spheroid, right_columns=right_columns, equal=equal, max_lat=max_lat)
+        chord2 = sum(((F.col(f"_a{c}") - F.col(f"_b{c}")) * (F.col(f"_a{c}") - F.col(f"_b{c}")) for c in "xyz"), F.lit(0.0))
+        return met.where(chord2 <= metres * metres).withColumn("metros", short_metres(F.sqrt(chord2))).where(F.col("metros") <= metres).drop("_lat", "_lng", *SIDES, *CELL)
     near = radius_join(left, right, km, right_columns=right_columns | {"lat": "_y", "lng": "_x"}, equal=equal, max_lat=max_lat)
     return with_geodesic(near, "lat", "lng", "_y", "_x", "metros").where(F.col("metros") <= metres).drop("_y", "_x", "km")
 

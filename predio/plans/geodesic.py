@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from predio.functions.geo import FLATTENING, MAJOR_M, with_geodesic
+from predio.functions.geo import FLATTENING, MAJOR_M, rounded, with_geodesic
 from predio.operators import morton
 from predio.operators.graph import scratch_folder
 from predio.operators.spatial import geodesic_join
@@ -49,7 +49,7 @@ NEAR = f"r AS (SELECT p.id, s.id AS servicio_id, p.lat, p.lng, s.lat AS lat2, s.
 @query("j01_geodesic_join", f"{NEAR} SELECT id, servicio_id, round(metros, 3) AS metros FROM geo WHERE metros <= 500")
 def radius(spark, sf):
     found = geodesic_join(propiedades(spark, sf).select("id", "lat", "lng"), servicios(spark, sf), 500, right_columns={"id": "servicio_id"})
-    return found.select("id", "servicio_id", F.round("metros", 3).alias("metros"))
+    return found.select("id", "servicio_id", rounded(F.col("metros"), 3).alias("metros"))
 
 
 def stored(spark, sf):

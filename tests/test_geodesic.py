@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from predio.functions.geo import LEAST_STRETCH, MOST_STRETCH, geodesic_metres, haversine_km, with_geodesic
+from predio.functions.geo import LEAST_STRETCH, MOST_STRETCH, geodesic_metres, haversine_km, short_metres, spheroid_place, with_geodesic
 from predio.operators import morton
 from predio.operators.spatial import geodesic_join
 
@@ -142,3 +142,21 @@ def test_a_delivery_without_rows(spark, tmp_path):
     assert morton.read(spark, folder).count() == 0 and morton.in_box(spark, folder, (-90.0, 90.0, -180.0, 180.0)).columns == rows.columns
     morton.append(rows, folder, files=2)
     assert morton.read(spark, folder).count() == 22 and morton.in_box(spark, folder, (-90.0, 90.0, -180.0, 180.0)).count() == 20
+
+
+def test_short_lines_by_the_straight_line(spark):
+    """Lines of up to two kilometres anywhere, and of none, as the steps on the spheroid give them."""
+    rng = random.Random(9)
+    near = [(y, x, y + rng.gauss(0, 0.004), x + rng.gauss(0, 0.004)) for y, x in ((rng.uniform(-85, 85), rng.uniform(-179, 179)) for _ in range(400))] + [(12.5, 7.0, 12.5, 7.0)]
+    rows = spark.createDataFrame(near, "a double, b double, c double, d double")
+    p, q = spheroid_place(F.col("a"), F.col("b")), spheroid_place(F.col("c"), F.col("d"))
+    chord = F.sqrt(sum(((u - v) * (u - v) for u, v in zip(p, q, strict=True)), F.lit(0.0)))
+    got = with_geodesic(rows.withColumn("s", short_metres(chord)), "a", "b", "c", "d", "m").where("m <= 2000").collect()
+    assert len(got) > 300 and all(abs(r.s - r.m) < 2e-7 for r in got)
+
+
+def test_short_join_measures_no_pair_by_steps(spark):
+    """Places are worked out once a row: above the join of the pairs no trigonometry is left."""
+    plan = geodesic_join(cloud(spark, 9, 1), cloud(spark, 9, 2), 500.0, right_columns={"id": "other"})._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("Join Inner")]
+    assert "metros" in above and not any(f in above.lower() for f in ("sin(", "cos(", "atan"))
