@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from predio.operators.filters import soft_filter, zone_match
-from predio.operators.spatial import radius_join, ring_counts
+from predio.operators.spatial import counts_up_to
 
 # Weights of the five factors.
 WEIGHTS = {"ubicacion": 0.35, "precio": 0.25, "servicios": 0.20, "caracteristicas": 0.15, "disponibilidad": 0.05}
@@ -72,17 +72,25 @@ def availability(p: Profile) -> Column:
     return cap(recent + state)
 
 
+#: The score looks at so many services of a radius, and no further.
+ENOUGH = 10
+
+
 def service_counts(listings: DataFrame, points: DataFrame) -> DataFrame:
-    """By listing, how many valued services and categories lie within 1, 2 and 3 km, and transport within 2 km: one join at 3 km."""
-    near = radius_join(listings.select("id", "lat", "lng"), points.where(F.col("categoria").isin(*VALUED_SERVICES)), 3.0, right_columns={"categoria": "categoria"}, cells=True, rings=(1, 2, 3))
-    transport = F.coalesce(F.sum(F.when(F.col("categoria") == "transporte", F.col("n2"))), F.lit(0)).alias("transporte_2km")
-    counts = ring_counts(near, (1, 2, 3), "categoria", more=[transport])
-    return counts.select("id", *[c for r in (1, 2, 3) for c in (F.col(f"n{r}").alias(f"servicios_{r}km"), F.col(f"kinds{r}").alias(f"categorias_{r}km"))], "transporte_2km")
+    """Listings with how many valued services and categories lie within 1, 2 and 3 km, and transport within 2 km.
+
+    Services of one category are counted up to ``ENOUGH``, as the score reads no more of them.
+    """
+    rows = counts_up_to(listings, points.where(F.col("categoria").isin(*VALUED_SERVICES)), (1, 2, 3), "categoria", ENOUGH)
+    total = lambda near: F.aggregate(near, F.lit(0).cast("long"), lambda n, k: n + k["n"])
+    counts = {f"servicios_{r}km": total(F.col(f"near{r}")) for r in (1, 2, 3)} | {f"categorias_{r}km": F.size(f"near{r}").cast("long") for r in (1, 2, 3)}
+    transport = total(F.filter("near2", lambda k: k["kind"] == "transporte"))
+    return rows.withColumns(counts | {"transporte_2km": transport}).drop("near1", "near2", "near3")
 
 
 def scored(listings: DataFrame, points: DataFrame, p: Profile) -> DataFrame:
     """Listings with the five factors and ``compatibilidad`` (0 to 100)."""
-    rows = listings.join(service_counts(listings, points), "id", "left").na.fill(0, [f"{n}_{r}km" for n in ("servicios", "categorias") for r in (1, 2, 3)] + ["transporte_2km"])
+    rows = service_counts(listings, points)
     rows = rows.select("*", location(p).alias("ubicacion"), price(p).alias("s_precio"), services().alias("s_servicios"), features(p).alias("caracteristicas"), availability(p).alias("disponibilidad"))
     total = WEIGHTS["ubicacion"] * F.col("ubicacion") + WEIGHTS["precio"] * F.col("s_precio") + WEIGHTS["servicios"] * F.col("s_servicios") + WEIGHTS["caracteristicas"] * F.col("caracteristicas") + WEIGHTS["disponibilidad"] * F.col("disponibilidad")
     return rows.withColumn("compatibilidad", F.round(100 * total, 1))

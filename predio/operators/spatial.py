@@ -7,9 +7,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from predio.functions.geo import EARTH_KM, LEAST_STRETCH, PLANAR_METRES, SHORT_M, haversine_km, short_metres, spheroid_place, with_geodesic
-from predio.operators.graph import written
+from predio.operators.graph import BROADCAST_ROWS, written
 
 #: Kilometres of a degree of latitude, a little short, so that a cell is never smaller than the radius.
 KM_PER_DEGREE = 111.0
@@ -105,12 +106,17 @@ def radius_join(
 TASK_PAIRS = 4_000_000
 
 
-def pair_tasks(left: DataFrame, right: DataFrame, km: float, *, max_lat: float = 60.0, around: list[tuple[int, int]] = AROUND) -> int:
-    """Tasks for a radius join whose pairs are sorted where they are made, so that these fit a task's memory: by the pairs that its cells hold, counted."""
+def cell_pairs(left: DataFrame, right: DataFrame, km: float, *, max_lat: float = 60.0, around: list[tuple[int, int]] = AROUND) -> float:
+    """How many pairs the cells of a radius join hold."""
     y, x = _cell(F.col("lat"), F.col("lng"), km, max_lat)
     held = lambda rows, n: rows.where("lat is not null and lng is not null").groupBy(y.alias("_cy"), x.alias("_cx")).agg(F.count("*").cast("double").alias(n))
     near = _spread(held(right, "_b"), around).groupBy(*CELL).agg(F.sum("_b").alias("_b"))
-    pairs = held(left, "_a").join(near, CELL).agg(F.sum(F.col("_a") * F.col("_b"))).first()[0] or 0
+    return held(left, "_a").join(near, CELL).agg(F.sum(F.col("_a") * F.col("_b"))).first()[0] or 0.0
+
+
+def pair_tasks(left: DataFrame, right: DataFrame, km: float, *, max_lat: float = 60.0, around: list[tuple[int, int]] = AROUND) -> int:
+    """Tasks for a radius join whose pairs are sorted where they are made, so that these fit a task's memory: by the pairs that its cells hold, counted."""
+    pairs = cell_pairs(left, right, km, max_lat=max_lat, around=around)
     least = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(least, min(20_000, math.ceil(pairs / TASK_PAIRS)))
 
@@ -141,6 +147,81 @@ def ring_counts(near: DataFrame, rings: tuple[int, ...], kind: str, *, key: str
     return counted.groupBy(key).agg(*sums, *(more or []))
 
 
+#: Small cells along a radius; pairs that are made without asking cells first; steps between two small cells that keep all their points within the radius.
+FINE = 4
+FEW_PAIRS = 1 << 26
+SURE = [(dy, dx) for dy in range(-FINE, FINE + 1) for dx in range(-FINE, FINE + 1) if (abs(dy) + 1) ** 2 + (abs(dx) + 1) ** 2 <= FINE**2]
+
+
+def counts_up_to(points: DataFrame, others: DataFrame, rings: tuple[int, ...], kind: str, enough: int, *, max_lat: float = 60.0) -> DataFrame:
+    """``points`` with an array ``near<r>`` for each radius of ``rings`` (kilometres, at most 300): struct(kind, n) for every kind of ``others`` that has a row within it.
+
+    ``n`` is exact below ``enough``; beyond, it is only known to be ``enough`` or
+    more, and ``enough`` is given.  For scores that look no further.  What small cells wholly within
+    the radius hold settles dense places without pairs; pairs are made for
+    places and kinds that these leave open, so work grows with the rows.  A point is not
+    shuffled where the cells are few.  Up to ``FEW_PAIRS`` in all, pairs are made at once.
+    """
+    known = others.where("lat is not null and lng is not null").select("lat", "lng", F.struct(F.col(kind).alias("kind")).alias("_kind"))
+    spots = points.where("lat is not null and lng is not null").select("lat", "lng")
+    if cell_pairs(spots, known, max(rings), max_lat=max_lat) <= FEW_PAIRS:
+        met = radius_join(spots.distinct(), known, max(rings), right_columns={"_kind": "_kind"}, max_lat=max_lat, cells=True, rings=rings)
+        counted = met.groupBy(*CELL, "lat", "lng", "_kind").agg(*[F.least(F.count_if(F.col("ring") <= r), F.lit(enough)).alias(f"n{r}") for r in rings])
+        every = counted.groupBy("lat", "lng").agg(F.collect_list(F.struct("_kind.kind", *[f"n{r}" for r in rings])).alias("_every"))
+        points = points.join(every, ["lat", "lng"], "left")
+        every = F.coalesce("_every", F.array().cast(every.schema["_every"].dataType))
+        near = lambda n: F.transform(F.filter(every, lambda k: k[n] > 0), lambda k: F.struct(k["kind"].alias("kind"), k[n].alias("n")))
+        return points.withColumns({f"near{r}": near(f"n{r}") for r in rings}).drop("_every")
+
+    def cell(r: int, fine: bool) -> dict[str, Column]:
+        side = math.degrees(r * 0.999 / FINE / EARTH_KM)
+        y, x = (F.floor(F.col(c) / side).cast("long") for c in ("lat", "lng")) if fine else _cell(F.col("lat"), F.col("lng"), r, max_lat)
+        return {"_cy": y, "_cx": x}
+
+    def kinds(r: int, fine: bool) -> DataFrame:
+        """The kinds of which a small cell and those wholly near it have enough, or those that lie in or around a wide one."""
+        if fine:
+            held = known.withColumns(cell(r, True)).groupBy(*CELL, "_kind").agg(F.count("*").alias("n"))
+            return _spread(held, SURE).groupBy(*CELL, "_kind").agg(F.sum("n").alias("n")).where(F.col("n") >= enough).select(*CELL, "_kind", F.lit(r).alias("_r"), F.lit(True).alias("_fine"))
+        return _spread(known.withColumns(cell(r, False)).select(*CELL, "_kind").distinct()).distinct().select(*CELL, "_kind", F.lit(r).alias("_r"), F.lit(False).alias("_fine"))
+
+    flat = None
+    for r in rings:
+        for part in (kinds(r, True), kinds(r, False)):
+            flat = part if flat is None else flat.unionByName(part)
+    flat = written(flat, "kinds-by-cell")
+    rows = {(row["_r"], row["_fine"]): row["count"] for row in flat.groupBy("_r", "_fine").count().collect()}  # two a radius
+
+    def looked_up(df: DataFrame, r: int, fine: bool, name: str) -> DataFrame:
+        table = flat.where((F.col("_r") == r) & (F.col("_fine") == fine)).groupBy(*CELL).agg(F.collect_list("_kind").alias(name))
+        table = F.broadcast(table) if rows.get((r, fine), 0) <= BROADCAST_ROWS else table.hint("merge")
+        return df.withColumns(cell(r, fine)).join(table, CELL, "left").drop(*CELL)
+
+    none = F.array().cast(T.ArrayType(known.schema["_kind"].dataType))
+    settled, open_ = {r: F.coalesce(f"_sure{r}", none) for r in rings}, []
+    for r in rings:
+        spots = looked_up(looked_up(spots, r, True, f"_sure{r}"), r, False, f"_about{r}")
+        open_.append(F.struct(F.lit(r).alias("r"), F.array_except(F.coalesce(f"_about{r}", none), settled[r]).alias("kinds")))
+    asked = spots.select("lat", "lng", F.explode(F.array(*open_)).alias("_o")).select("lat", "lng", F.col("_o.r").alias("_r"), F.explode("_o.kinds").alias("_open")).distinct()
+    asked = written(asked, "open-kinds")
+    many = {row["_r"]: row["count"] for row in asked.groupBy("_r").count().collect()}  # a row a radius
+    size = known.count()
+    for r in rings:
+        points = looked_up(points, r, True, f"_sure{r}")
+        near = F.transform(settled[r], lambda k: F.struct(k["kind"].alias("kind"), F.lit(enough).cast("long").alias("n")))
+        if r in many:
+            left, at = asked.where(F.col("_r") == r), ["lat", "lng"]
+            if many[r] > size:
+                met = radius_join(left, known, r, right_columns={}, equal=(("_open", "_kind"),), max_lat=max_lat, cells=True).groupBy(*CELL, *at, F.col("_open").alias("_kind"))
+            else:
+                met = radius_join(known, left, r, right_columns={"lat": "_y", "lng": "_x"}, equal=(("_kind", "_open"),), max_lat=max_lat).select(F.col("_y").alias("lat"), F.col("_x").alias("lng"), "_kind").groupBy(*at, "_kind")
+            found = met.agg(F.least(F.count("*"), F.lit(enough)).alias("n")).groupBy(*at).agg(F.collect_list(F.struct(F.col("_kind.kind").alias("kind"), "n")).alias("_more"))
+            points = points.join(found, at, "left")
+            near = F.concat(near, F.coalesce("_more", F.array().cast(found.schema["_more"].dataType)))
+        points = points.withColumn(f"near{r}", near).drop(f"_sure{r}", "_more")
+    return points
+
+
 #: Of every two cells side by side, one goes to the other.
 HALF = [(0, 0), (0, 1), (1, -1), (1, 0), (1, 1)]
 

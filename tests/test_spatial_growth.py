@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from predio.functions.geo import haversine_km
-from predio.operators import proximity
-from predio.operators.spatial import CELL, kinds_within, lists_within, radius_join, radius_pairs, ring_counts
+from predio.operators import proximity, spatial
+from predio.operators.spatial import CELL, counts_up_to, kinds_within, lists_within, radius_join, radius_pairs, ring_counts
 from predio.plans import registered
 
 QUERIES, _ = registered()
@@ -93,3 +93,26 @@ def test_outdated_listings_by_moved_services(spark, tmp_path):
     ids = proximity.outdated(spark, str(tmp_path / "cache"), listings, 1.0, moved=services.limit(2), changed=None, now=day, keep=None)
     want = all_pairs(a, services.limit(2).withColumn("kind", F.lit("x")), 1.0).select("id").distinct()
     assert sorted(ids.collect()) == sorted(want.collect())
+
+
+@pytest.mark.parametrize(("enough", "few"), [(2, 0), (6, 0), (1000, 0), (6, 1e9)])
+def test_counts_up_to_enough_are_those_of_all_pairs(spark, monkeypatch, enough, few):
+    monkeypatch.setattr(spatial, "FEW_PAIRS", few)
+    a, b = placed(spark, 60, 12), placed(spark, 400, 13)
+    rings = (1, 2, 5)
+    got = counts_up_to(a.drop("kind"), b, rings, "kind", enough).collect()
+    at = ["id", "lat", "lng"]
+    pairs = a.alias("x").join(b.alias("y"), F.lit(True)).select(*[F.col(f"x.{c}") for c in at], "y.kind", haversine_km(F.col("x.lat"), F.col("x.lng"), F.col("y.lat"), F.col("y.lng")).alias("km"))
+    for r in rings:
+        want = {(x.id, x.lat, x.lng, x.kind): min(enough, x["n"]) for x in pairs.where(F.col("km") <= r).groupBy(*at, "kind").agg(F.count("*").alias("n")).collect()}
+        assert {(x.id, x.lat, x.lng, k.kind): k.n for x in got for k in x[f"near{r}"]} == want
+    assert len(got) == a.count()
+
+
+def test_counts_of_a_dense_place_need_no_pairs(spark, monkeypatch):
+    """Three thousand rows on each side of one small cell: the cells settle every count, and no join by distance is made."""
+    town = spark.range(3000).select("id", (F.lit(-17.8001) - F.col("id") * 1e-8).alias("lat"), F.lit(-63.2001).alias("lng"), (F.col("id") % 3).cast("string").alias("kind"))
+    monkeypatch.setattr(spatial, "radius_join", None)
+    monkeypatch.setattr(spatial, "FEW_PAIRS", 1e6)
+    got = counts_up_to(town.drop("kind"), town, (1, 3), "kind", 10)
+    assert got.where("size(near1) = 3 and size(near3) = 3 and forall(near1, k -> k.n = 10)").count() == 3000
