@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from predio.functions import enrichment as e
 from predio.functions import extraction as x
-from predio.operators.spatial import radius_join, ring_counts
+from predio.operators.spatial import counts_up_to
 from predio.plans.registry import haversine, query
 from predio.plans.scoring import PROFILE, listings
 from predio.sources.views import crudos, propiedades, servicios
@@ -82,13 +82,14 @@ v AS (SELECT id, s1 + s2 + s3 + s5 AS todos, greatest((c1 / 2.0::DOUBLE * 0.5::D
 def georeferenced(spark, sf):
     p, wanted = propiedades(spark, sf).select("id", "lat", "lng"), ("educacion", "salud")
     rings = (1, 2, 3, 5)
-    near = radius_join(p, servicios(spark, sf).where(F.col("categoria").isin(*wanted)), 5.0, right_columns={"categoria": "categoria"}, cells=True, rings=rings)
-    n = ring_counts(near, rings, "categoria").select("id", *[c for r in rings for c in (F.col(f"n{r}").alias(f"s{r}"), F.col(f"kinds{r}").alias(f"c{r}"))])
+    near = counts_up_to(p, servicios(spark, sf).where(F.col("categoria").isin(*wanted)), rings, "categoria", 9)  # the score tells no more than eight apart
+    total = lambda kinds: F.aggregate(kinds, F.lit(0).cast("long"), lambda n, k: n + k["n"])
+    n = near.select("id", "lat", *[c for r in rings for c in (total(F.col(f"near{r}")).alias(f"s{r}"), F.size(f"near{r}").alias(f"c{r}"))])
     best = F.greatest(*[(F.col(f"c{r}") / 2.0 * 0.5 + F.least(F.col(f"s{r}") / 5.0, F.lit(1.0)) * 0.5) / r for r in rings])
     every = sum((F.col(f"s{r}") for r in rings), F.lit(0))
-    n = n.select("id", every.alias("todos"), best.alias("mejor"))
+    n = n.select("id", "lat", F.when(F.col("s5") > 0, every).alias("todos"), best.alias("mejor"))
     score = F.when(F.col("lat").isNull(), 0.3).when(F.col("todos").isNull(), 0.1).when(F.col("todos") <= 3, F.least(F.lit(0.6), "mejor")).when(F.col("todos") <= 8, F.least(F.lit(0.8), "mejor")).otherwise(F.least(F.lit(1.0), "mejor"))
-    return p.join(n, "id", "left").select("id", F.floor(1000 * score + 0.000001).cast("long").alias("puntaje"))
+    return n.select("id", F.floor(1000 * score + 0.000001).cast("long").alias("puntaje"))
 
 
 LEVELS = "CASE WHEN id % 3 = 0 THEN 'alta' WHEN id % 3 = 1 THEN 'media' ELSE 'baja' END"
