@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from predio.functions.geo import haversine_km
 from predio.operators import proximity, spatial
-from predio.operators.spatial import CELL, counts_up_to, kinds_within, lists_within, radius_join, radius_pairs, ring_counts
+from predio.operators.spatial import CELL, counts_up_to, ids_within, kinds_within, lists_within, radius_join, radius_pairs, ring_counts
 from predio.plans import registered
 
 QUERIES, _ = registered()
@@ -116,3 +116,25 @@ def test_counts_of_a_dense_place_need_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(spatial, "FEW_PAIRS", 1e6)
     got = counts_up_to(town.drop("kind"), town, (1, 3), "kind", 10)
     assert got.where("size(near1) = 3 and size(near3) = 3 and forall(near1, k -> k.n = 10)").count() == 3000
+
+
+@pytest.mark.parametrize(("km", "rows"), [(0.3, 8192), (2.0, 7), (25.0, 3)])
+def test_ids_within_are_those_of_all_pairs(spark, monkeypatch, km, rows):
+    """Small blocks, null kinds, ids of several rows; equal rows count as often as there are."""
+    monkeypatch.setattr(spatial, "BLOCK_ROWS", rows)
+    monkeypatch.setattr(spatial, "AT_ONCE", 50)
+    a, b = placed(spark, 60, 14), placed(spark, 90, 15)
+    a = a.unionByName(a.where("id = 3"))
+    got = {(r.id, r.kind): (r.n, round(r.km, 9), r.ids) for r in ids_within(a.drop("kind"), b, km, "kind").collect()}
+    pairs = all_pairs(a, b, km).groupBy("id", "kind").agg(F.count("*").alias("n"), F.avg("km").alias("m"), F.array_sort(F.collect_list("other")).alias("ids"))
+    assert got == {(r.id, r.kind): (r.n, round(r.m, 9), r.ids) for r in pairs.collect()} != {}
+
+
+def test_no_pair_of_a_list_is_a_row(spark):
+    """1,000 rows on each side of one place: above the join, which gives two rows, lists come from blocks."""
+    town = spark.range(1000).select("id", (F.lit(-17.8001) - F.col("id") * 1e-8).alias("lat"), F.lit(-63.2001).alias("lng"), F.lit("x").alias("kind"))
+    found = ids_within(town.drop("kind"), town, 1.0, "kind")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("SortMergeJoin")]
+    assert "MapInArrow" in above and "Exchange" not in above and "Aggregate" not in above
+    assert found.agg(F.count("*"), F.sum("n"), F.sum(F.size("ids"))).collect() == [(1000, 1_000_000, 1_000_000)]
