@@ -172,6 +172,20 @@ def test_proximity_cache_recomputes_only_what_is_outdated(spark, tmp_path):
     assert 0 < aged < after.count() and rows(proximity.read(spark, folder)) == whole(after, later)
 
 
+def test_a_bucketed_table_is_written_once(spark, tmp_path, monkeypatch):
+    """A new table is not written to the scratch folder before; sorted ids are stored by their differences."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(buckets, "written", None)
+    lists = spark.range(4).select("id", F.sequence(F.col("id"), F.lit(2_000_000), F.lit(3)).alias("ids"))
+    buckets.create(lists, f"file://{tmp_path}/b", ["id"], 1)
+    column = pq.ParquetFile(glob.glob(f"{tmp_path}/b/data/*/*/*.parquet")[0]).metadata.row_group(0).column(1)
+    assert "DELTA_BINARY_PACKED" in column.encodings and column.total_compressed_size < column.num_values
+    assert buckets.read(spark, f"file://{tmp_path}/b").orderBy("id").collect() == lists.orderBy("id").collect()
+
+
 def test_groups_of_a_long_chain(spark):
     pairs = spark.range(1, 60).select((F.col("id") - 1).alias("a"), F.col("id").alias("b")).unionByName(spark.createDataFrame([(100, 101)], "a long, b long"))
     got = {r.id: r.grupo for r in groups(pairs).collect()}
